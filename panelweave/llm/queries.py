@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import line_dedup, mixing, packing, quality_rules, token_store
+from .common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write(_table(spark, sf_dir, "documents"), path)
+    rows = token_store.with_starts(token_store.checksums(token_store.read(spark, path)))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, places = packing.pack(_table(spark, sf_dir, "documents"))
+    digests = pieces.select("piece_id", "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    got = digests.join(places, "piece_id")
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.copies(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, keep="none")
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_packing, op6_mixing, op7_line_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
