@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, token_store
+from . import line_dedup, mixing, packing, quality_rules, secrets, token_store, toxicity
 from .common import scratch_path
 
 
@@ -20,6 +20,15 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    joined = lambda spans: F.array_join(F.transform(spans, written), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return got.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, places = packing.pack(_table(spark, sf_dir, "documents"))
     digests = pieces.select("piece_id", "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"))
@@ -37,10 +46,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~fold)
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_packing, op6_mixing, op7_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_secrets, op4_packing, op6_mixing, op7_line_dedup, op8_toxicity, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
