@@ -1,6 +1,6 @@
 """Toxicity by gradient-boosted trees over dense features of whole texts, with isotonic calibration.
 
-The features are rates: words of an insult lexicon and of a lexicon learned from labelled texts,
+The features are rates: words of an insult lexicon, words and stems learned from labelled texts,
 their nearness to second-person words, capitals, punctuation, and ways of writing around a filter
 (digits or symbols for letters, letters apart, letters repeated). The trees are fitted in numpy on a
 bounded sample of labelled rows, `sample` per class, taken by a hash of the id; the learned words, too,
@@ -39,14 +39,30 @@ NEAR = 6
 FEATURES = ("log_words", "insults", "insult_rate", "insult_kinds", "learned", "learned_rate", "learned_kinds", "second_person_rate", "near_second_person", "capital_share", "capital_words", "exclamations", "mark_runs", "masked_rate", "masked_insults", "apart", "drawn_rate")
 
 
-def features(text: str, learned: frozenset[str]) -> list[float]:
+STEMS = (4, 5, 6)
+
+
+class Kinds(dict):
+    """1 insult, 2 learned word or stem ("stem*"), 4 second person, 0 other; words are kept as they come, up to `most`."""
+
+    def __init__(self, learned: frozenset[str], most: int = 300_000) -> None:
+        self.learned, self.most = learned, most
+
+    def __missing__(self, word: str) -> int:
+        own = word in self.learned or any(len(word) >= k and word[:k] + "*" in self.learned for k in STEMS)
+        kind = (word in INSULTS) + 2 * own + 4 * (word in SECOND_PERSON)
+        if len(self) < self.most:
+            self[word] = kind
+        return kind
+
+
+def features(text: str, kinds: Kinds) -> list[float]:
     """The dense features of one text, in the order of FEATURES."""
     low = text.lower()
     words = WORD.findall(low)
     n = max(1, len(words))
-    hits = [k for k, w in enumerate(words) if w in INSULTS]
-    own = [k for k, w in enumerate(words) if w in learned]
-    people = [k for k, w in enumerate(words) if w in SECOND_PERSON]
+    marked = [(k, x) for k, x in enumerate(map(kinds.__getitem__, words)) if x]
+    hits, own, people = ([k for k, x in marked if x & bit] for bit in (1, 2, 4))
     near = 0
     for k in {*hits, *own} if people else ():
         at = np.searchsorted(people, k)
@@ -59,7 +75,7 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
     return [
         np.log1p(len(words)), len(hits), 100 * len(hits) / n, len({words[k] for k in hits}), len(own), 100 * len(own) / n, len({words[k] for k in own}), 100 * len(people) / n, near,
         capitals / max(1, letters), 100 * len(CAPITALS.findall(text)) / n, 100 * sum(x.count("!") for x in marks) / n, sum(len(x) > 1 for x in marks),
-        100 * len(masked) / n, sum(x in INSULTS or x in learned for x in plain), len(APART.findall(text)), 100 * len(LONG_DRAWN.findall(text)) / n,
+        100 * len(masked) / n, sum(kinds[x] & 3 > 0 for x in plain), len(APART.findall(text)), 100 * len(LONG_DRAWN.findall(text)) / n,
     ]
 
 
@@ -141,9 +157,16 @@ def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.
     return steps, levels
 
 
+def _stems(words: Column, k: int) -> Column:
+    """The first k letters of the words that have as many, and an asterisk."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def _learned_words(sample: DataFrame, most: int, least_docs: int = 5) -> frozenset[str]:
-    """Words that texts of class 1 hold far more often than those of class 0; at most `most`."""
-    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), 1))).alias("w"))
+    """Words, and stems as "stem*", that texts of class 1 hold far more often than those of class 0; at most `most`."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), 1))
+    stems = [_stems(words, k) for k in STEMS]
+    words = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("w"))
     counts = words.groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     n = sample.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     odds = F.log((F.col("pos") + 0.5) / (n["pos"] + 1) / ((F.col("neg") + 0.5) / (n["neg"] + 1)))
@@ -181,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
 
 
 def _feature_rows(batches: Iterable[pa.RecordBatch], learned: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    kinds = Kinds(learned)
     for batch in small_batches(batches):
-        rows = [features(t.decode(), learned) for t in texts(batch.column("text"))]
+        rows = [features(t.decode(), kinds) for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["__id", "toxic", "f"])
 
 
@@ -194,8 +218,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        kinds = Kinds(own.learned)
         for batch in small_batches(batches):
-            x = np.array([features(t.decode(), own.learned) for t in texts(batch.column(text_col))]).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t.decode(), kinds) for t in texts(batch.column(text_col))]).reshape(batch.num_rows, len(FEATURES))
             s = own.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "toxic_score", "toxic_predicted"])
 
