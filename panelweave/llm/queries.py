@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, secrets, token_store, toxicity
+from . import language_id, line_dedup, mixing, packing, quality_rules, secrets, token_store, top_k, toxicity
 from .common import scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     written = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
@@ -36,6 +40,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = language_id.train(docs, ~fold)
+    got = language_id.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.copies(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -59,5 +71,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_secrets, op4_packing, op6_mixing, op7_line_dedup, op8_toxicity, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_top_k, op3_secrets, op4_packing, op5_language_id, op6_mixing, op7_line_dedup, op8_toxicity, op10_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op2_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+        SELECT * FROM r WHERE rank <= 10""",
+}
