@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, packing, quality_rules, secrets, token_store, top_k, toxicity
+from . import language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secrets, token_store, top_k, toxicity
 from .common import scratch_path
 
 
@@ -66,12 +66,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_top_k, op3_secrets, op4_packing, op5_language_id, op6_mixing, op7_line_dedup, op8_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_top_k, op3_secrets, op4_packing, op5_language_id, op6_mixing, op7_line_dedup, op8_toxicity, op9_ngram_join, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op2_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
