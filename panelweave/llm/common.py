@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; clear_scratch() deletes what was written there."""
+    """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/panelweave/{uuid.uuid4().hex}/{name}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
@@ -53,10 +54,15 @@ def drop_table(df: DataFrame) -> None:
             drop_path(spark, path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all tables written so far; only for callers whose earlier results are all written elsewhere."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        drop_path(spark, path)
+@contextmanager
+def recorded(spark: SparkSession, into: list[str]) -> Iterator[None]:
+    """Adds the scratch paths made meanwhile to a list, for a caller that knows when nothing reads them any more."""
+    made = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    n = len(made)
+    try:
+        yield
+    finally:
+        into.extend(made[n:])
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
