@@ -83,7 +83,7 @@ def pivotal_round(items: DataFrame, fan_in: int = 48) -> DataFrame:
         folded = folded.select("source", "g", "groups", F.expr(_fold(id_type)).alias("r"))
         if most > 1:
             folded = materialize(folded, "folded")
-        done = folded.select("source", F.explode("r.done").alias("d")).select("source", "d.*")
+        done = folded.select("source", F.explode("r.done").alias("__one")).select("source", "__one.*")
         left = folded.where("r.left is not null").select("source", "g", "groups", F.col("r.left").alias("item"))
         last = left.where("groups = 1") if most > 1 else left
         done = done.unionByName(last.select("source", "item.doc_id", "item.size", (F.col("item.p") >= 0.5).cast("int").alias("up")))
