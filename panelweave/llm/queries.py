@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write(_table(spark, sf_dir, "documents"), path)
-    rows = token_store.with_starts(token_store.checksums(token_store.read(spark, path)))
+    stored = token_store.read(spark, path)
+    rows = token_store.with_starts(token_store.checksums(stored), stored)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

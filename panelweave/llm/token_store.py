@@ -68,14 +68,14 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.select("row_no", "doc_id", "ids").mapInArrow(crc, f"row_no bigint, doc_id {id_type}, n_tokens bigint, ids_crc32 bigint")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all rows before a row. rows: row_no and n_tokens.
+def with_starts(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds start: the ids of all rows before a row. rows: row_no and n_tokens; stored: the store, whose ids aren't read for this.
 
     row_no counts within a file from file << 33, so each file is summed by itself, and only one
     number per file meets in one task.
     """
     rows = rows.withColumn("file_no", F.shiftright("row_no", 33))
-    files = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
+    files = stored.groupBy(F.shiftright("row_no", 33).alias("file_no")).agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select(F.col("file_no").alias("of_file"), before.alias("files_before"))
     own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -80,7 +81,7 @@ class Encoder:
     most: words kept at most, of each kind, at about 160 bytes a word; the first ones stay, which the frequent ones are among.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 700_000) -> None:
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
         self.tokenizer.encode_special_tokens = True
         self.model, self.shown = self.tokenizer.model, _byte_characters()
@@ -116,9 +117,15 @@ def read_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    """The worker's encoder; its words stay for the worker's next tasks."""
+    return Encoder(vocabulary)
+
+
 def encoded(batches: Iterable[pa.RecordBatch], vocabulary: Broadcast, text_col: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with the ids of each row's text, and end_id after them."""
-    encoder = Encoder(vocabulary.value)
+    encoder = encoder_of(vocabulary.value)
     end = np.array([end_id], dtype=ID)
     for batch in small_batches(batches):
         yield batch, [np.concatenate([encoder.encode(t), end]) for t in texts(batch.column(text_col))]
