@@ -4,14 +4,15 @@ Equal sets are one node, so copies are never paired. The rest goes in three step
 
 1. A count-min sketch of all shingles orders each set from rare to frequent. Any order is right;
    this one makes prefixes selective.
-2. Dense groups are contracted first. Nodes with an equal min-hash are compared with a few leaders
-   of their bucket, a linear number of pairs; the links found make components.
-3. The exact join, for pairs in different components only. If two sets reach the threshold, the
-   prefixes that leave out all but the required overlap and `l` tokens share `l` tokens at least. Each
-   set takes l = 1 if its prefix promises few candidates, and up to 4 the more it promises: its prefix
-   grows by as many tokens, and a pair needs as many common ones (the smaller l of the two) before
-   the sets are compared. A token that only one component has is dropped before any pair is
-   made, so a group of thousands of near copies, one component by then, makes no pairs.
+2. Dense groups are contracted first. Nodes of a min-hash bucket of more than `DENSE` are compared
+   with two leaders of it, a linear number of pairs; the links found make components.
+3. The exact join, for pairs in different components only. Two sets that reach the threshold have an
+   overlap of o tokens, and if p is the prefix that ends first, of a set of n, they share o - (n - p) tokens of their
+   prefixes at least. A set's prefix leaves out what any partner must share, and then grows: by one token
+   if it promises few candidates, by up to 4 the more it promises; a pair needs the more common tokens
+   the longer its prefixes are before the sets are compared. A token that only one component
+   has is dropped before any pair is made, so a group of thousands of near copies, one component by then,
+   makes no pairs.
 
 Pairs that qualify are compared on whole sets. No cap is set on partners or candidates.
 
@@ -37,6 +38,8 @@ SKETCH_BITS = 20
 SEGMENT = 1 << 16
 KEYS = 4
 MOST_MATCHES = 4
+#: Nodes of a min-hash bucket that is contracted before the join.
+DENSE = 16
 #: Expected candidates from which on a prefix grows by one token more.
 COSTS = (64, 1024, 16384)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -163,7 +166,7 @@ class Join:
         """Nodes against leaders of their min-hash buckets, where components differ."""
         member = self.nodes.select("fp", "n", F.posexplode("keys").alias("j", "key"))
         lead = F.min_by(F.struct("fp", "n"), F.xxhash64(F.lit(turn), "fp"))
-        leaders = member.groupBy("j", "key").agg(lead.alias("a"), F.max_by(F.struct("fp", "n"), F.xxhash64(F.lit(turn), "fp")).alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        leaders = member.groupBy("j", "key").agg(lead.alias("a"), F.max_by(F.struct("fp", "n"), F.xxhash64(F.lit(turn), "fp")).alias("b"), F.count(F.lit(1)).alias("size")).where(F.col("size") > DENSE)
         leaders = leaders.select("j", "key", F.explode(F.array("a", "b")).alias("l")).select(F.col("j").alias("lj"), F.col("key").alias("lkey"), F.col("l.fp").alias("lfp"), F.col("l.n").alias("ln"))
         met = member.join(leaders, (F.col("j") == F.col("lj")) & (F.col("key") == F.col("lkey")) & (F.col("fp") != F.col("lfp")))
         met = met.where((F.col("n") * 100 >= F.col("ln") * self.percent) & (F.col("ln") * 100 >= F.col("n") * self.percent))
@@ -175,7 +178,7 @@ class Join:
         return materialize(both.where("cu <> cv"), "pairs")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """fp, s of the nodes in pairs, from their texts."""
+        """fp, s of the nodes in pairs, and of a few more, from their texts."""
         wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
         first = self.rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known"))
         first = materialize(first, "wanted")
@@ -191,18 +194,16 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "s"])
 
         rows = self.docs.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id"))
-        return rows.mapInArrow(run, "fp bigint, s array<bigint>").join(wanted, "fp", "left_semi")
+        return rows.mapInArrow(run, "fp bigint, s array<bigint>")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv."""
-        sets = materialize(self.sets_of(pairs), "sets")
+        sets = self.sets_of(pairs)
         a, b = (sets.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"__s{k}")) for k in "uv")
         both = pairs.join(a, pairs["u"] == a["__u"]).join(b, F.col("v") == b["__v"])
         common = F.size(F.array_intersect("__su", "__sv"))
         union = F.size("__su") + F.size("__sv") - common
-        links = materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
-        drop_table(sets)
-        return links
+        return materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
 
     def prefix_pairs(self, comps: DataFrame | None) -> DataFrame:
         """Pairs in different components that share as many tokens of their prefixes as they must."""
@@ -211,24 +212,24 @@ class Join:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], []]
                 for t in texts(batch.column("text")):
                     s = shingles(t, words)
                     n = len(s)
                     if not n:
                         continue
                     own = levels.value[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                    probe, index = n + (-percent * n // 100), n + (-2 * percent * n // (100 + percent))
+                    probe = n + (-percent * n // 100)
                     take = min(n, probe + MOST_MATCHES)
                     order = np.lexsort((s, own))[:take]
                     cost = float((2.0 ** (own[order[: probe + 1]] / 4) - 1).sum())
                     matches = 1 + sum(cost > c for c in COSTS)
                     take = min(n, probe + matches)
-                    for held, x in zip(out, (s[order[:take]], np.full(take, fingerprint(s)), np.full(take, n), np.full(take, matches), np.arange(take) < index + matches), strict=True):
+                    for held, x in zip(out, (s[order[:take]], np.full(take, fingerprint(s)), np.full(take, n), np.full(take, take)), strict=True):
                         held.append(x)
                 if out[0]:
-                    token, fp, n, matches, small = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(small)], names=["token", "fp", "n", "matches", "small"])
+                    token, fp, n, prefix = (np.concatenate(x) for x in out)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.int64())], names=["token", "fp", "n", "prefix"])
 
         # one document of each node is enough
         one = self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known"))
@@ -239,16 +240,17 @@ class Join:
                 yield batch.filter(pa.array(in_bloom(firsts.value, batch.column("h").to_numpy()) | batch.column("no_id").to_numpy(zero_copy_only=False)))
 
         rows = self.docs.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id"))
-        tokens = rows.mapInArrow(lambda batches: run(firsts_only(batches)), "token bigint, fp bigint, n bigint, matches int, small boolean")
+        tokens = rows.mapInArrow(lambda batches: run(firsts_only(batches)), "token bigint, fp bigint, n bigint, prefix bigint")
         tokens = materialize(_with_comp(tokens, comps, "fp", "comp"), "tokens")
         shared = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         tokens = materialize(tokens.join(shared, "token", "left_semi").dropDuplicates(["token", "fp"]), "shared")
-        x = tokens.select("token", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("matches").alias("mu"), F.col("comp").alias("cu"))
-        y = tokens.where("small").select("token", F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("matches").alias("mv"), F.col("comp").alias("cv"))
+        x, y = (tokens.select("token", F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"), F.col("comp").alias(f"c{k}")) for k in "uv")
         larger = (F.col("nv") < F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))
         met = x.join(y, "token").where(larger & self.close("nv", "nu") & (F.col("cu") != F.col("cv")))
-        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("mu", "mv")).alias("needed"), F.min("cu").alias("cu"), F.min("cv").alias("cv"))
-        return materialize(pairs.where("shared >= needed").select("u", "v", "cu", "cv"), "pairs")
+        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("cu", "cv", "nu", "nv", "pu", "pv")))
+        overlap = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent) - 1e-6)
+        needed = F.greatest(F.lit(1), overlap - F.greatest(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")))
+        return materialize(pairs.where(F.col("shared") >= needed).select("u", "v", "cu", "cv"), "pairs")
 
     def run(self) -> DataFrame:
         comps = None
