@@ -57,7 +57,7 @@ def ols(rows: DataFrame, y: str, xs: Sequence[str], robust: bool = False, label:
         meat, *_ = normal_equations(rows, y, xs, residual * residual)
         cov = inverse @ meat @ inverse * n / max(1, n - k)
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    r2 = 1 - rss / tss if tss > 0 else None
+    r2 = float(1 - rss / tss) if tss > 0 else None
     out = [(label, t, float(b), float(s), float(b / s) if s > 0 else None, n, r2) for t, b, s in zip(("intercept", *xs), beta, se, strict=True)]
     return rows.sparkSession.createDataFrame(out, "model string, term string, coef double, se double, stat double, n bigint, r2 double")
 

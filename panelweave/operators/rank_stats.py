@@ -105,7 +105,7 @@ def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
 def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -> DataFrame:
     """Share of shuffles at least as far from 0 as the observed rho (one row)."""
     o = observed.select(F.col("rho").alias("observed_rho"), "n")
-    rows = rhos.where("rho is not null").join(F.broadcast(o))
+    rows = rhos.where("rho is not null").select("rho").join(F.broadcast(o))
     return rows.groupBy("observed_rho", "n").agg(F.count(F.lit(1)).alias("n_permutations"), F.round(F.avg((F.abs("rho") >= F.abs("observed_rho")).cast("double")), places).alias("permutation_p"), F.round(F.avg("rho"), places).alias("null_mean"), F.round(F.stddev_samp("rho"), places).alias("null_std"), F.round(F.percentile(F.abs("rho"), F.lit(0.95)), places).alias("null_95th"))
 
 
