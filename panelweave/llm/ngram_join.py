@@ -5,7 +5,8 @@ Equal sets are one node, so copies are never paired. The rest goes in three step
 1. A count-min sketch of all shingles orders each set from rare to frequent. Any order is right;
    this one makes prefixes selective.
 2. Dense groups are contracted first. Nodes of a min-hash bucket of more than `DENSE` are compared
-   with two leaders of it, a linear number of pairs; the links found make components.
+   with its leaders, the nodes of the most frequent shingles: a linear number of pairs, and what a group of
+   near copies has in common is what its leaders consist of. The links found make components.
 3. The exact join, for pairs in different components only. Two sets that reach the threshold have an
    overlap of o tokens, and if p is the prefix that ends first, of a set of n, they share o - (n - p) tokens of their
    prefixes at least. A set's prefix leaves out what any partner must share, and then grows: by one token
@@ -40,6 +41,7 @@ KEYS = 4
 MOST_MATCHES = 4
 #: Nodes of a min-hash bucket that is contracted before the join.
 DENSE = 16
+LEADERS = 4
 #: Expected candidates from which on a prefix grows by one token more.
 COSTS = (64, 1024, 16384)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -164,10 +166,12 @@ class Join:
 
     def star_pairs(self, turn: int, comps: DataFrame | None) -> DataFrame:
         """Nodes against leaders of their min-hash buckets, where components differ."""
-        member = self.nodes.select("fp", "n", F.posexplode("keys").alias("j", "key"))
-        lead = F.min_by(F.struct("fp", "n"), F.xxhash64(F.lit(turn), "fp"))
-        leaders = member.groupBy("j", "key").agg(lead.alias("a"), F.max_by(F.struct("fp", "n"), F.xxhash64(F.lit(turn), "fp")).alias("b"), F.count(F.lit(1)).alias("size")).where(F.col("size") > DENSE)
-        leaders = leaders.select("j", "key", F.explode(F.array("a", "b")).alias("l")).select(F.col("j").alias("lj"), F.col("key").alias("lkey"), F.col("l.fp").alias("lfp"), F.col("l.n").alias("ln"))
+        member = self.nodes.select("fp", "n", "typical", F.posexplode("keys").alias("j", "key"))
+        part = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(LEADERS))
+        lead = [F.max_by(F.struct("fp", "n"), F.when(part == k, F.struct("typical", "fp"))).alias(f"l{k}") for k in range(LEADERS)]
+        leaders = member.groupBy("j", "key").agg(*lead, F.count(F.lit(1)).alias("size")).where(F.col("size") > DENSE)
+        leaders = leaders.select("j", "key", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l")).where("l is not null")
+        leaders = leaders.select(F.col("j").alias("lj"), F.col("key").alias("lkey"), F.col("l.fp").alias("lfp"), F.col("l.n").alias("ln"))
         met = member.join(leaders, (F.col("j") == F.col("lj")) & (F.col("key") == F.col("lkey")) & (F.col("fp") != F.col("lfp")))
         met = met.where((F.col("n") * 100 >= F.col("ln") * self.percent) & (F.col("ln") * 100 >= F.col("n") * self.percent))
         pairs = met.select(F.least("fp", "lfp").alias("u"), F.greatest("fp", "lfp").alias("v")).distinct()
@@ -205,14 +209,14 @@ class Join:
         union = F.size("__su") + F.size("__sv") - common
         return materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
 
-    def prefix_pairs(self, comps: DataFrame | None) -> DataFrame:
-        """Pairs in different components that share as many tokens of their prefixes as they must."""
+    def prefixes(self) -> DataFrame:
+        """token, fp, n, prefix: the prefix of each node, its length in each row; typical, the mean level of its shingles, in one row."""
         levels = self.spark.sparkContext.broadcast(_levels(self.read))
         words, percent = self.words, self.percent
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for t in texts(batch.column("text")):
                     s = shingles(t, words)
                     n = len(s)
@@ -225,11 +229,11 @@ class Join:
                     cost = float((2.0 ** (own[order[: probe + 1]] / 4) - 1).sum())
                     matches = 1 + sum(cost > c for c in COSTS)
                     take = min(n, probe + matches)
-                    for held, x in zip(out, (s[order[:take]], np.full(take, fingerprint(s)), np.full(take, n), np.full(take, take)), strict=True):
+                    for held, x in zip(out, (s[order[:take]], np.full(take, fingerprint(s)), np.full(take, n), np.full(take, take), np.where(np.arange(take) == 0, own.mean(), np.nan)), strict=True):
                         held.append(x)
                 if out[0]:
-                    token, fp, n, prefix = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.int64())], names=["token", "fp", "n", "prefix"])
+                    token, fp, n, prefix, typical = (np.concatenate(x) for x in out)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.int64()), pa.array(typical, pa.float64(), from_pandas=True)], names=["token", "fp", "n", "prefix", "typical"])
 
         # one document of each node is enough
         one = self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known"))
@@ -240,8 +244,12 @@ class Join:
                 yield batch.filter(pa.array(in_bloom(firsts.value, batch.column("h").to_numpy()) | batch.column("no_id").to_numpy(zero_copy_only=False)))
 
         rows = self.docs.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id"))
-        tokens = rows.mapInArrow(lambda batches: run(firsts_only(batches)), "token bigint, fp bigint, n bigint, prefix bigint")
-        tokens = materialize(_with_comp(tokens, comps, "fp", "comp"), "tokens")
+        return materialize(rows.mapInArrow(lambda batches: run(firsts_only(batches)), "token bigint, fp bigint, n bigint, prefix bigint, typical double"), "prefixes")
+
+    def prefix_pairs(self, comps: DataFrame | None) -> DataFrame:
+        """Pairs in different components that share as many tokens of their prefixes as they must."""
+        percent = self.percent
+        tokens = _with_comp(self.tokens.drop("typical"), comps, "fp", "comp")
         shared = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         tokens = materialize(tokens.join(shared, "token", "left_semi").dropDuplicates(["token", "fp"]), "shared")
         x, y = (tokens.select("token", F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"), F.col("comp").alias(f"c{k}")) for k in "uv")
@@ -254,6 +262,9 @@ class Join:
 
     def run(self) -> DataFrame:
         comps = None
+        self.tokens = self.prefixes()
+        typical = self.tokens.where("typical is not null").groupBy("fp").agg(F.max("typical").alias("typical"))
+        self.nodes = materialize(self.nodes.join(typical, "fp"), "nodes")
         for turn in range(self.star_rounds):
             pairs = self.star_pairs(turn, comps)
             links = self.linked(pairs) if pairs.head(1) else None
@@ -305,7 +316,7 @@ def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links lead to, of each row of docs.
 
     Two documents link if the intersection of their shingle sets has `percent` per cent of the union, or more.
