@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,13 @@ def recorded(spark: SparkSession, into: list[str]) -> Iterator[None]:
         into.extend(made[n:])
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows, where the session has the default of 10,000: long texts would make those hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 of each value, b"" for null."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,9 +80,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     return (x or b"" for x in column.cast(pa.large_binary()).to_pylist())
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches of about `limit` bytes and one row at least, so that very long texts don't add up."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """What a task has freed goes back to the system: idle workers stay for later tasks, and stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import bound_batches, small_batches, texts
 
 STRETCH = 256
 PAD = 0x20
@@ -206,6 +206,7 @@ def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id"
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score, the mean probability of that language over all bytes."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

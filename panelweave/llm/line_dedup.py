@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, texts
+from .common import bound_batches, materialize, small_batches, texts
 
 SEGMENT = 1 << 16
 PROBES = 3
@@ -136,6 +136,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     if keep not in ("first", "none"):
         raise ValueError(f"keep must be 'first' or 'none', not {keep!r}")
     sc = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     repeated = repeated_keys(docs, id_col, text_col, min_docs, min_chars, most_bits)
     size = repeated.agg(F.sum(F.length("key") + F.lit(120))).first()[0] or 0

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, small_batches, texts
+from .common import bound_batches, drop_table, materialize, small_batches, texts
 
 SKETCH_BITS = 20
 SEGMENT = 1 << 16
@@ -156,6 +156,7 @@ class Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, star_rounds: int) -> None:
         self.docs, self.words, self.percent, self.star_rounds = docs, words, percent, star_rounds
         self.spark = docs.sparkSession
+        bound_batches(self.spark)
         self.read = _read(docs, words)
         self.rows = self.read.where("k is null").select("doc_id", "fp", "n")
         nodes = self.read.where("k is null and n > 0").groupBy("fp").agg(F.min("n").alias("n"), F.min("keys").alias("keys"))

@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import tokens
-from .common import materialize
+from .common import bound_batches, materialize
 
 
 def cut(docs: DataFrame, capacity: int = 1024, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID) -> DataFrame:
     """Pieces of all documents, as a written table: piece_id, doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     vocabulary = spark.sparkContext.broadcast(tokens.read_vocabulary(vocabulary_path))
     id_type = docs.schema[id_col].dataType.simpleString()
 

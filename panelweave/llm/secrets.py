@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import bound_batches, small_batches, texts
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -148,6 +148,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the column spans: an array of (kind, start, end)."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("spans")
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(kind))])

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import bound_batches
 
 #: Rows per entry of the row index; each entry has a Bloom filter.
 STRIDE = 1000
@@ -30,6 +31,7 @@ STRIDE = 1000
 def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID, stripe_bytes: int = 16 << 20, false_positives: float = 0.01) -> None:
     """Writes row_no, doc_id, n_tokens and ids of each document, in ascending doc_id order."""
     spark = docs.sparkSession
+    bound_batches(spark)
     vocabulary = spark.sparkContext.broadcast(tokens.read_vocabulary(vocabulary_path))
     id_type = docs.schema[id_col].dataType
 

@@ -81,7 +81,7 @@ class Encoder:
     most: words kept at most, of each kind, at about 160 bytes a word; the first ones stay, which the frequent ones are among.
     """
 
-    def __init__(self, vocabulary: str, most: int = 700_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 500_000) -> None:
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
         self.tokenizer.encode_special_tokens = True
         self.model, self.shown = self.tokenizer.model, _byte_characters()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, texts
+from .common import bound_batches, materialize, small_batches, texts
 
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers trash scum pathetic worthless disgusting clown clowns dumb fool fools garbage filth creep freak imbecile vermin coward jerk retard hate ugly shut kill die".split())
 SECOND_PERSON = frozenset("you your yours youre yourself u ur tu te toi ton vous votre vos du dich dir dein deine ihr euch usted ustedes tus tuyo vosotros".split())
@@ -212,6 +212,7 @@ def _feature_rows(batches: Iterable[pa.RecordBatch], learned: frozenset[str]) ->
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with toxic_score (0 to 1) and toxic_predicted (1 from the threshold on)."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("toxic_score", "toxic_predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())])
