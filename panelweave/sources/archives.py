@@ -48,12 +48,15 @@ def open_archive(data: bytes, rcept_no: str | None = None, least: int = 0) -> tu
         return None, None, "BAD_ARCHIVE"
 
 
-def read_archives(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
-    """path, member, text, reason of each archive in a folder; failures are rows with a reason."""
+def read_archives(spark: SparkSession, path: str, least: int = 0, by_name: bool = False) -> DataFrame:
+    """path, member, text, reason of each archive in a folder; failures are rows with a reason.
+
+    by_name: the document named after the archive, or else one without an underscore, comes before the largest.
+    """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, *open_archive(bytes(c), p.rsplit("/", 1)[-1].removesuffix(".zip"), least)) for p, c in zip(frame["path"], frame["content"], strict=True)]
+            rows = [(p, *open_archive(bytes(c), p.rsplit("/", 1)[-1].removesuffix(".zip") if by_name else None, least)) for p, c in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "member", "text", "reason"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
