@@ -317,7 +317,7 @@ def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links lead to, of each row of docs.
 
     Two documents link if the intersection of their shingle sets has `percent` per cent of the union, or more.
