@@ -50,6 +50,9 @@ class CoverTree:
                 self.children[parent].append(node)
             if not len(members):
                 continue
+            if not radii[node]:  # equal points: a leaf each
+                waiting.extend((int(m), members[:0], far[:0], node) for m in (centre, *members))
+                continue
             half = radii[node] / 2
             near = far <= half
             waiting.append((centre, members[near], far[near], node))
