@@ -74,6 +74,12 @@ def replicates(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("b"))
 
 
+def fanned(rows: DataFrame, b: int) -> DataFrame:
+    """Each row in each of b replicates. Numbered rows come from one task; they are dealt out before they fan out."""
+    spark = rows.sparkSession
+    return rows.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(replicates(spark, b)))
+
+
 def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
     """b, rho of b resamples with replacement of a panel with columns x and y; draws are an md5 of (replicate, place).
 
@@ -96,7 +102,7 @@ def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), plac
 def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
     """b, rho after shuffling y by an md5 order."""
     rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")
-    fan = rows.join(F.broadcast(replicates(panel.sparkSession, b)))
+    fan = fanned(rows, b)
     key = F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")))
     shuffled = fan.select("b", "y", (F.row_number().over(Window.partitionBy("b").orderBy(key, "i")).cast("bigint") - 1).alias("i"))
     return spearman(shuffled.join(rows.select("i", "x"), "i"), ["b"], places=10)
@@ -112,7 +118,7 @@ def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -
 def subsample_rhos(panel: DataFrame, b: int, size: int, order: Sequence[str]) -> DataFrame:
     """b, rho of b samples of `size` rows without replacement."""
     rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")
-    fan = rows.join(F.broadcast(replicates(panel.sparkSession, b)))
+    fan = fanned(rows, b)
     key = F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")))
     kept = fan.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(key, "i"))).where(F.col("k") <= size)
     return spearman(kept, ["b"], places=10)

@@ -9,7 +9,7 @@ from ..operators import gap, linear, panel, rank_stats, tokens
 from ..sources.tables import table
 from .documents import FEATURES, GRID_SQL, LISTS, grid, q, ratios
 from .panels import labels
-from .registry import query
+from .registry import SQL, query
 
 MEASURES = ["total_tokens", "esg_count", "g_count", "esg_ratio", "g_ratio", "esg_g_relative"]
 PANEL = f"{FEATURES}, pa AS (SELECT f.*, quality, toxic, 2 * quality + toxic AS grade, 2019 + f.doc_id % 3 AS yr FROM f JOIN labels USING (doc_id))"
@@ -73,40 +73,69 @@ def year_sliced_rho(spark, sf_dir):
 
 
 B = 60
+#: Replicates of the reference, for the queries named _full: scripts/05_full_analysis.py:70 and 228, and N_BOOTSTRAP of notebook 05.
+N_BOOT, N_PERM, N_OLS = 3000, 5000, 1000
+
+
+def full_sql(name: str, b: int) -> str:
+    """The SQL of a resampling query with b replicates."""
+    return SQL[name].replace(f"range({B})", f"range({b})")
+
+
 NUMBERED = f"{PANEL}, nu AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, total_tokens::DOUBLE AS x, grade::DOUBLE AS y FROM pa WHERE total_tokens IS NOT NULL AND grade IS NOT NULL)"
 SORTED = f"{NUMBERED}, fan AS (SELECT b, i, x, y, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', b, i)), i) - 1 AS k FROM nu, range({B}) r(b))"
 BOOT = f"{NUMBERED}, dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', b, s)), 1, 8))::BIGINT % (SELECT count(*) FROM nu) AS i FROM range({B}) r(b), (SELECT i AS s FROM nu)), rb AS ({rho_sql('SELECT b, x, y FROM dr JOIN nu USING (i)', 'b', places=10)})"
 
 
 @query(f"WITH {BOOT} SELECT count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive FROM rb WHERE rho IS NOT NULL")
-def spearman_bootstrap(spark, sf_dir):
-    return rank_stats.interval(rank_stats.bootstrap_rhos(xy(spark, sf_dir), B, ["doc_id"]))
+def spearman_bootstrap(spark, sf_dir, b=B):
+    return rank_stats.interval(rank_stats.bootstrap_rhos(xy(spark, sf_dir), b, ["doc_id"]))
+
+
+@query(full_sql("spearman_bootstrap", N_BOOT))
+def spearman_bootstrap_full(spark, sf_dir):
+    return spearman_bootstrap(spark, sf_dir, N_BOOT)
 
 
 @query(f"WITH {SORTED}, pr AS ({rho_sql('SELECT b, n.x AS x, fan.y AS y FROM fan JOIN nu n ON n.i = fan.k', 'b', places=10)}), ob AS ({rho_sql('SELECT 0 AS one, x, y FROM nu', 'one')}) SELECT ob.rho AS observed_rho, ob.n AS n, count(*) AS n_permutations, round(avg(CASE WHEN abs(pr.rho) >= abs(ob.rho) THEN 1.0::DOUBLE ELSE 0 END), 4) AS permutation_p, round(avg(pr.rho), 4) AS null_mean, round(stddev_samp(pr.rho), 4) AS null_std, round(quantile_cont(abs(pr.rho), 0.95), 4) AS null_95th FROM pr, ob WHERE pr.rho IS NOT NULL GROUP BY 1, 2")
-def permutation_test(spark, sf_dir):
+def permutation_test(spark, sf_dir, b=B):
     pairs = xy(spark, sf_dir)
-    return rank_stats.permutation_summary(rank_stats.permuted_rhos(pairs, B, ["doc_id"]), rank_stats.spearman(pairs, []))
+    return rank_stats.permutation_summary(rank_stats.permuted_rhos(pairs, b, ["doc_id"]), rank_stats.spearman(pairs, []))
+
+
+@query(full_sql("permutation_test", N_PERM))
+def permutation_test_full(spark, sf_dir):
+    return permutation_test(spark, sf_dir, N_PERM)
 
 
 @query(f"WITH {SORTED}, sr AS ({rho_sql('SELECT b, x, y FROM fan WHERE k < 30', 'b', places=10)}) SELECT count(*) AS n_trials, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive, round(avg(rho), 4) AS mean_rho FROM sr WHERE rho IS NOT NULL")
-def subsample_sign(spark, sf_dir):
-    r = rank_stats.subsample_rhos(xy(spark, sf_dir), B, 30, ["doc_id"]).where("rho is not null")
+def subsample_sign(spark, sf_dir, b=B):
+    r = rank_stats.subsample_rhos(xy(spark, sf_dir), b, 30, ["doc_id"]).where("rho is not null")
     return r.agg(F.count(F.lit(1)).alias("n_trials"), F.round(F.avg((F.col("rho") > 0).cast("double")), 4).alias("share_positive"), F.round(F.avg("rho"), 4).alias("mean_rho"))
 
 
+@query(full_sql("subsample_sign", N_BOOT))
+def subsample_sign_full(spark, sf_dir):
+    return subsample_sign(spark, sf_dir, N_BOOT)
+
+
 CURVE = [30, 90, 210]
 
 
 @query(f"WITH {SORTED}, c AS (SELECT unnest({CURVE}) AS size), sr AS ({rho_sql('SELECT size, b, x, y FROM fan, c WHERE k < size', 'size, b', places=10)}) SELECT size, count(rho) AS n_trials, round(avg(rho), 4) AS mean_rho FROM sr GROUP BY 1")
-def n_curve(spark, sf_dir):
+def n_curve(spark, sf_dir, b=B):
     pairs, out = xy(spark, sf_dir), None
     for size in CURVE:
-        r = rank_stats.subsample_rhos(pairs, B, size, ["doc_id"]).agg(F.count("rho").alias("n_trials"), F.round(F.avg("rho"), 4).alias("mean_rho")).select(F.lit(size).cast("int").alias("size"), "n_trials", "mean_rho")
+        r = rank_stats.subsample_rhos(pairs, b, size, ["doc_id"]).agg(F.count("rho").alias("n_trials"), F.round(F.avg("rho"), 4).alias("mean_rho")).select(F.lit(size).cast("int").alias("size"), "n_trials", "mean_rho")
         out = r if out is None else out.unionByName(r)
     return out
 
 
+@query(full_sql("n_curve", N_BOOT))
+def n_curve_full(spark, sf_dir):
+    return n_curve(spark, sf_dir, N_BOOT)
+
+
 def tail_sql(z: str) -> str:
     k = f"(1 / (1 + 0.2316419::DOUBLE * ({z})))"
     return f"(0.3989422804014327::DOUBLE * exp(-({z}) * ({z}) / 2) * ({k} * (0.319381530::DOUBLE + {k} * (-0.356563782::DOUBLE + {k} * (1.781477937::DOUBLE + {k} * (-1.821255978::DOUBLE + {k} * 1.330274429::DOUBLE))))))"
@@ -201,16 +230,21 @@ def breusch_pagan(spark, sf_dir):
 
 
 @query(f"WITH {OK}, nn AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, x1, y FROM ok), dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', b, s)), 1, 8))::BIGINT % (SELECT count(*) FROM nn) AS i FROM range({B}) r(b), (SELECT i AS s FROM nn)), sl AS (SELECT b, regr_slope(y, x1) AS s FROM dr JOIN nn USING (i) GROUP BY 1) SELECT count(*) AS n_boot, round(avg(s), 5) AS mean, round(quantile_cont(s, 0.025), 5) AS ci_lo, round(quantile_cont(s, 0.975), 5) AS ci_hi FROM sl")
-def ols_bootstrap(spark, sf_dir):
+def ols_bootstrap(spark, sf_dir, b=B):
     from ..functions.stats import draw
 
     rows = rank_stats.numbered(linear.complete(model_rows(spark, sf_dir), ["y", "x1", "x2"]), ["doc_id"]).select("i", "x1", "y")
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    fan = rank_stats.replicates(spark, B).join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
+    fan = rank_stats.replicates(spark, b).join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
     slopes = gap.line(fan.select("b", draw(F.col("n"), F.col("b"), F.col("slot")).alias("i")).join(rows, "i"), "y", "x1", ["b"])
     return slopes.agg(F.count("slope").alias("n_boot"), F.round(F.avg("slope"), 5).alias("mean"), F.round(F.percentile("slope", F.lit(0.025)), 5).alias("ci_lo"), F.round(F.percentile("slope", F.lit(0.975)), 5).alias("ci_hi"))
 
 
+@query(full_sql("ols_bootstrap", N_OLS))
+def ols_bootstrap_full(spark, sf_dir):
+    return ols_bootstrap(spark, sf_dir, N_OLS)
+
+
 @query()
 def binary_logit(spark, sf_dir):
     return linear.logit(model_rows(spark, sf_dir), "quality", ["x1", "x2"])
