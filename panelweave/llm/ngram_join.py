@@ -326,10 +326,18 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without all but one of each component: the one of the least id; of rows that share it, any one."""
-    found = components_of(docs, words, percent, id_col, text_col)
+    """The rows of docs without all but one of each component: the one of the least id; of rows that share it, any one.
+
+    Only rows of one component remove each other: where ids are null or shared, rows are told apart by numbers of their own.
+    """
+    if not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).head(1):
+        found = materialize(components_of(docs, words, percent, id_col, text_col), "found")
+        gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = components_of(rows, words, percent, "__row", text_col).where("n_shingles > 0").select(F.col("doc_id").alias("__n"), "component_id")
     found = materialize(found, "found")
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").head(1)
-    return kept.dropDuplicates([id_col]) if again else kept
+    ids = rows.select("__row", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "__row").alias("order"))
+    kept = found.join(ids, found["__n"] == ids["__row"]).groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.__row").alias("__kept"))
+    gone = found.join(kept, found["__n"] == kept["__kept"], "left_anti").select(F.col("__n").alias("__gone"))
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
