@@ -138,10 +138,11 @@ class Search:
     def _take(self, queries: np.ndarray, points: np.ndarray) -> None:
         scores = products(self.tree.x[queries], self.data.x[points])
         ids = self.data_ids[points]
+        other = ids[None, :] != self.ids[queries][:, None]
         least = self.worst[queries][:, None]
-        if scores.shape[1] > self.k:
-            least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k - 1, axis=1)[:, [-self.k - 1]])
-        row, col = np.nonzero((scores >= least) & (ids[None, :] != self.ids[queries][:, None]))
+        if scores.shape[1] > self.k:  # however many rows have a query's own id, they take no place
+            least = np.maximum(least, np.partition(np.where(other, scores, -np.inf), scores.shape[1] - self.k, axis=1)[:, [-self.k]])
+        row, col = np.nonzero((scores >= least) & other)
         query = np.concatenate([self.query, queries[row]])
         score, found = np.concatenate([self.score, scores[row, col]]), np.concatenate([self.found, ids[col]])
         order = np.lexsort((found, -score, query))
