@@ -34,20 +34,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("toxic_predicted = 0").select(*docs.columns)
 
 
-@_stage
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 30 characters or more that 10 documents or more have stay in the first of these; a document of which nothing is left goes."""
-    got = line_dedup.dedup(docs, min_docs=10, min_chars=30, keep="first")
+def _without_repeats(docs: DataFrame, min_docs: int) -> DataFrame:
+    """Lines of 30 characters or more that min_docs documents or more have stay in the first of these; a document of which nothing is left goes."""
+    got = line_dedup.dedup(docs, min_docs=min_docs, min_chars=30, keep="first")
     got = got.where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return got.select(*docs.columns)
 
 
+@_stage
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that 10 documents or more have stay in the first of these."""
+    return _without_repeats(docs, 10)
+
+
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those that share 80 % of their five-word shingles."""
-    return ngram_join.distinct_documents(docs, words=5, percent=80)
+    """One document stays of those that share 80 % of their five-word shingles; then lines that 2 documents or more still have stay in the first.
+
+    Before, lines of 2 documents would leave near copies as scraps that are no near copies any more.
+    """
+    return _without_repeats(common.materialize(ngram_join.distinct_documents(docs, words=5, percent=80), "distinct"), 2)
 
 
 @_stage
