@@ -10,8 +10,8 @@ so on up the tree. So no task sees more than a group, one source may hold all ro
 of each meeting is a hash of both documents, so reruns agree.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own
-and the last; rows that share an id and a source are rounded one by one in op6, while mix() gives
-them the least number of copies any of them got; an empty table gives an empty result.
+and the last; rows that share an id and a source are rounded one by one; mix() tells them apart by
+row numbers, which follow the files read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,7 +113,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs, each as many times as copies() says; the columns are those of docs."""
-    taken = copies(docs, id_col, text_col, source_col, **how).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source")).agg(F.min("copies").alias("__mix_copies"))
-    same = docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source"))
-    rows = docs.join(taken.where("__mix_copies > 0"), same)
-    return rows.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(docs[c] for c in docs.columns))
+    rows, key = docs, id_col
+    if docs.groupBy(id_col, source_col).count().where("count > 1").head(1):
+        rows, key = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+    taken = copies(rows, key, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"))
+    same = rows[key].eqNullSafe(F.col("__mix_id")) & rows[source_col].eqNullSafe(F.col("__mix_source"))
+    mixed = rows.join(taken, same)
+    return mixed.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(rows[c] for c in docs.columns))
