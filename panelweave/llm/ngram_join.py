@@ -1,21 +1,23 @@
 """Jaccard join of word n-gram sets with adaptive multi-match prefixes, up to connected components.
 
-Equal sets are one node, so copies are never paired. The rest goes in three steps.
-
-1. A count-min sketch of all shingles orders each set from rare to frequent. Any order is right;
-   this one makes prefixes selective.
-2. Dense groups are contracted first. Nodes of a min-hash bucket of more than `DENSE` are compared
-   with its leaders, the nodes of the most frequent shingles: a linear number of pairs, and what a group of
-   near copies has in common is what its leaders consist of. The links found make components.
-3. The exact join, for pairs in different components only. Two sets that reach the threshold have an
-   overlap of o tokens, and if p is the prefix that ends first, of a set of n, they share o - (n - p) tokens of their
-   prefixes at least. A set's prefix leaves out what any partner must share, and then grows: by one token
-   if it promises few candidates, by up to 4 the more it promises; a pair needs the more common tokens
-   the longer its prefixes are before the sets are compared. A token that only one component
-   has is dropped before any pair is made, so a group of thousands of near copies, one component by then,
-   makes no pairs.
-
-Pairs that qualify are compared on whole sets. No cap is set on partners or candidates.
+Equal sets are one node, so copies are never paired. A count-min sketch of all shingles orders each
+set from rare to frequent; any order is right, this one makes prefixes selective. If sets of nu and nv
+shingles reach the threshold, they share o = ceil(percent (nu + nv) / (100 + percent)) of them, and k
+of these lie at places n - o + k - 1 or before in either order. So the prefix of a set ends
+there, for the smallest partner it may have. It is lengthened by a token (k + 1 for k, up to
+`MOST_MATCHES`) the more candidates the sketch promises, and a pair has to share as many tokens, at
+such places, as the shorter lengthening of the two says, before its sets are compared.
+
+1. Tokens in the prefix of one node only go: one count per token, combined before the shuffle.
+2. Peeling: a token's leader is the node that has it at the earliest place, and so the fewest
+   rare shingles: what a group of near copies has in common is what its leader consists of. All others
+   are compared with the leader: pairs linear in the rows. Links make components; the rows outside of
+   the leader's component go to the next round, until a round finds no link.
+3. The join itself, for pairs in different components. A token that one component alone has
+   makes no pairs, so a group of thousands of near copies makes none.
+
+Pairs that qualify are compared on whole sets. No cap is set on partners or candidates, and rounds of
+peeling only spare comparisons: step 3 finds whatever they leave.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows with equal
 sets, repeated rows too, share a component; a null id is named by the least other id of its
@@ -30,25 +32,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, drop_table, materialize, small_batches, texts
 
-SKETCH_BITS = 20
+#: Places of the sketch, 4 bytes each in a task and 1 byte in the broadcast.
+SKETCH_BITS = 22
 SEGMENT = 1 << 16
-KEYS = 4
+#: Bits of a segment of the Bloom filter.
+SEGMENT_BITS = SEGMENT * 8
 MOST_MATCHES = 4
-#: Nodes of a min-hash bucket that is contracted before the join.
-DENSE = 16
-LEADERS = 4
 #: Expected candidates from which on a prefix grows by one token more.
 COSTS = (64, 1024, 16384)
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * ODD[3]
+    x = (x ^ (x >> np.uint64(32))) * ODD[1]
     return x ^ (x >> np.uint64(29))
 
 
@@ -73,40 +74,43 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 def _read(docs: DataFrame, words: int) -> DataFrame:
     """A row per document (k null), and rows of the task's sketch (doc_id and fp null)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "fp", "n", "k", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["doc_id", "fp", "n", "keys", "k", "counts"]
         ids = None
         for batch in small_batches(batches):
             ids = batch.column("doc_id")
             sets = [shingles(t, words) for t in texts(batch.column("text"))]
-            low = np.concatenate([s & np.uint64((1 << SKETCH_BITS) - 1) for s in sets]).astype(np.int64)
-            at, times = np.unique(low, return_counts=True)
-            sketch[at] += times.astype(np.uint32)
-            keys = [[int(signed(mixed(s * odd)).min()) for odd in ODD[:KEYS]] if len(s) else None for s in sets]
+            for s in sets:
+                # a set has each shingle once, but two may fall into one place
+                np.add.at(sketch, _cells(s), np.uint32(1))
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for k in range(0, len(sketch), SEGMENT) if ids is not None else ():
             part = sketch[k : k + SEGMENT]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k // SEGMENT], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // SEGMENT], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
-    return materialize(docs.mapInArrow(run, f"doc_id {id_type}, fp bigint, n bigint, keys array<bigint>, k int, counts binary"), "shingled")
+    return materialize(docs.mapInArrow(run, f"doc_id {id_type}, fp bigint, n bigint, k int, counts binary"), "shingled")
 
 
-def _levels(read: DataFrame) -> np.ndarray:
-    """4 * log2 of each sketch place's documents above the mean, in a byte: 1 MB whatever the corpus."""
+def _levels(read: DataFrame) -> tuple[np.ndarray, float]:
+    """8 * log2(1 + documents) of each place of the sketch, in a byte: 4 MB whatever the corpus; their mean count."""
     parts = read.where("k is not null").select("k", "counts").rdd.map(lambda r: (r[0], zlib.decompress(bytes(r[1]))))
     merged = parts.mapValues(lambda b: np.frombuffer(b, np.uint32).astype(np.uint64)).reduceByKey(lambda a, b: a + b)
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+    levels, total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), 0
     for k, part in merged.toLocalIterator():
-        counts[k * SEGMENT : (k + 1) * SEGMENT] = part
-    above = np.maximum(counts.astype(float) - 2 * counts.mean(), 0)
-    return np.minimum(4 * np.log2(1 + above), 255).astype(np.uint8)
+        levels[k * SEGMENT : (k + 1) * SEGMENT] = np.minimum(8 * np.log2(1 + part.astype(float)), 255)
+        total += int(part.sum())
+    return levels, total / len(levels)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,176 +157,210 @@ def _merge(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 class Join:
     """The join over one table; see components_of()."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, star_rounds: int) -> None:
-        self.docs, self.words, self.percent, self.star_rounds = docs, words, percent, star_rounds
+    def __init__(self, docs: DataFrame, words: int, percent: int, peelings: int) -> None:
+        self.docs, self.words, self.percent, self.peelings = docs, words, percent, peelings
         self.spark = docs.sparkSession
         bound_batches(self.spark)
         self.read = _read(docs, words)
         self.rows = self.read.where("k is null").select("doc_id", "fp", "n")
-        nodes = self.read.where("k is null and n > 0").groupBy("fp").agg(F.min("n").alias("n"), F.min("keys").alias("keys"))
-        self.nodes = materialize(nodes, "nodes")
+        # the first document of each node stands for it
+        self.nodes = materialize(self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known")), "nodes")
+
+    def overlap(self, a: str, b: str) -> Column:
+        """What sets of a and b shingles share if they reach the threshold, at least."""
+        return F.expr(f"({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent}")
 
-    def close(self, small: str, large: str) -> object:
+    def close(self, small: str, large: str) -> Column:
         return F.col(small) * 100 >= F.col(large) * self.percent
 
-    def star_pairs(self, turn: int, comps: DataFrame | None) -> DataFrame:
-        """Nodes against leaders of their min-hash buckets, where components differ."""
-        member = self.nodes.select("fp", "n", "typical", F.posexplode("keys").alias("j", "key"))
-        part = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(LEADERS))
-        lead = [F.max_by(F.struct("fp", "n"), F.when(part == k, F.struct("typical", "fp"))).alias(f"l{k}") for k in range(LEADERS)]
-        leaders = member.groupBy("j", "key").agg(*lead, F.count(F.lit(1)).alias("size")).where(F.col("size") > DENSE)
-        leaders = leaders.select("j", "key", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l")).where("l is not null")
-        leaders = leaders.select(F.col("j").alias("lj"), F.col("key").alias("lkey"), F.col("l.fp").alias("lfp"), F.col("l.n").alias("ln"))
-        met = member.join(leaders, (F.col("j") == F.col("lj")) & (F.col("key") == F.col("lkey")) & (F.col("fp") != F.col("lfp")))
-        met = met.where((F.col("n") * 100 >= F.col("ln") * self.percent) & (F.col("ln") * 100 >= F.col("n") * self.percent))
-        pairs = met.select(F.least("fp", "lfp").alias("u"), F.greatest("fp", "lfp").alias("v")).distinct()
-        return self._between(pairs, comps)
-
-    def _between(self, pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-        both = _with_comp(_with_comp(pairs, comps, "u", "cu"), comps, "v", "cv")
-        return materialize(both.where("cu <> cv"), "pairs")
-
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """fp, s of the nodes in pairs, and of a few more, from their texts."""
-        wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-        first = self.rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known"))
-        first = materialize(first, "wanted")
-        filter_ = self.spark.sparkContext.broadcast(bloom(first.where("known > 0").select(F.xxhash64("id").alias("h"))))
-        words = self.words
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """Texts of these nodes (id, known), and perhaps of a few more."""
+        known = nodes.where("known > 0").select("id")
+        rows = self.docs.select("doc_id", "text")
+        filter_ = bloom(known.select(F.xxhash64("id").alias("h")))
+        if filter_ is None:
+            return rows.join(known, rows["doc_id"] == known["id"], "left_semi").select("text").unionByName(rows.where("doc_id is null").select("text"))
+        shared = self.spark.sparkContext.broadcast(filter_)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
-                passed = in_bloom(filter_.value, batch.column("h").to_numpy()) | batch.column("no_id").to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(passed))
-                if batch.num_rows:
-                    sets = [shingles(t, words) for t in texts(batch.column("text"))]
-                    yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "s"])
-
-        rows = self.docs.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id"))
-        return rows.mapInArrow(run, "fp bigint, s array<bigint>")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv."""
-        sets = self.sets_of(pairs)
-        a, b = (sets.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"__s{k}")) for k in "uv")
-        both = pairs.join(a, pairs["u"] == a["__u"]).join(b, F.col("v") == b["__v"])
-        common = F.size(F.array_intersect("__su", "__sv"))
-        union = F.size("__su") + F.size("__sv") - common
-        return materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
+                passed = in_bloom(shared.value, batch.column("h").to_numpy()) | batch.column("no_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column("text").filter(pa.array(passed))], names=["text"])
+
+        return rows.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id")).mapInArrow(run, "text string")
 
     def prefixes(self) -> DataFrame:
-        """token, fp, n, prefix: the prefix of each node, its length in each row; typical, the mean level of its shingles, in one row."""
+        """token, fp, n, pos, k: the prefix of each node, each token's place in its order, and the matches it may be asked for."""
         levels = self.spark.sparkContext.broadcast(_levels(self.read))
         words, percent = self.words, self.percent
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            level, mean = levels.value
             for batch in small_batches(batches):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[tuple[np.ndarray, ...]] = []
                 for t in texts(batch.column("text")):
                     s = shingles(t, words)
                     n = len(s)
                     if not n:
                         continue
-                    own = levels.value[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                    probe = n + (-percent * n // 100)
-                    take = min(n, probe + MOST_MATCHES)
-                    order = np.lexsort((s, own))[:take]
-                    cost = float((2.0 ** (own[order[: probe + 1]] / 4) - 1).sum())
+                    own = level[_cells(s)]
+                    probe = n + (-percent * n // 100) + 1
+                    order = np.argsort(own, kind="stable")[: probe + MOST_MATCHES - 1]
+                    cost = float(np.maximum(2.0 ** (own[order[:probe]] / 8) - 1 - 2 * mean, 0).sum())
                     matches = 1 + sum(cost > c for c in COSTS)
-                    take = min(n, probe + matches)
-                    for held, x in zip(out, (s[order[:take]], np.full(take, fingerprint(s)), np.full(take, n), np.full(take, take), np.where(np.arange(take) == 0, own.mean(), np.nan)), strict=True):
-                        held.append(x)
-                if out[0]:
-                    token, fp, n, prefix, typical = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.int64()), pa.array(typical, pa.float64(), from_pandas=True)], names=["token", "fp", "n", "prefix", "typical"])
+                    pos = np.arange(min(n, probe + matches - 1))
+                    # a place that one document alone has counted belongs to no other
+                    pos = pos[own[order[pos]] > 8]
+                    if len(pos):
+                        out.append((s[order[pos]], np.full(len(pos), fingerprint(s)), np.full(len(pos), n), pos, np.full(len(pos), matches)))
+                if out:
+                    token, fp, n, pos, k = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(pos, pa.int64()), pa.array(k, pa.int64())], names=["token", "fp", "n", "pos", "k"])
+
+        return materialize(self.texts_of(self.nodes).mapInArrow(run, "token bigint, fp bigint, n bigint, pos bigint, k bigint"), "prefixes")
+
+    def shared(self, prefixes: DataFrame) -> DataFrame:
+        """The rows of prefixes whose token two rows or more have."""
+        often = materialize(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("__token")), "often")
+        rows, filter_ = prefixes, bloom(often.select(F.col("__token").alias("h")))
+        if filter_ is not None:
+            shared = self.spark.sparkContext.broadcast(filter_)
+
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(in_bloom(shared.value, batch.column("token").to_numpy())))
+
+            rows = prefixes.mapInArrow(run, prefixes.schema)
+        found = materialize(rows.join(often, rows["token"] == often["__token"], "left_semi"), "shared")
+        drop_table(often)
+        return found
 
-        # one document of each node is enough
-        one = self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("known"))
-        firsts = self.spark.sparkContext.broadcast(bloom(one.where("known > 0").select(F.xxhash64("id").alias("h"))))
+    def linked(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv. u may be in many pairs: its set meets rows that hold v's set already, which a skewed join can split by their size."""
+        if not pairs.head(1):
+            return None
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+        wanted = materialize(self.nodes.join(wanted, "fp", "left_semi"), "wanted")
+        words = self.words
 
-        def firsts_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(in_bloom(firsts.value, batch.column("h").to_numpy()) | batch.column("no_id").to_numpy(zero_copy_only=False)))
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches):
+                sets = [shingles(t, words) for t in texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "s"])
 
-        rows = self.docs.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("no_id"))
-        return materialize(rows.mapInArrow(lambda batches: run(firsts_only(batches)), "token bigint, fp bigint, n bigint, prefix bigint, typical double"), "prefixes")
+        sets = self.texts_of(wanted).mapInArrow(run, "fp bigint, s array<bigint>")
+        a, b = (sets.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"__s{k}")) for k in "uv")
+        both = pairs.join(b, pairs["v"] == b["__v"]).join(a, F.col("u") == a["__u"])
+        common = F.size(F.array_intersect("__su", "__sv"))
+        union = F.size("__su") + F.size("__sv") - common
+        links = materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
+        drop_table(wanted)
+        if links.head(1):
+            return links
+        drop_table(links)
+        return None
+
+    def merged(self, comps: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """Components after the links among pairs; None if there are none. Drops pairs."""
+        links = self.linked(pairs)
+        drop_table(pairs)
+        if links is None:
+            return None
+        out = _merge(comps, links)
+        drop_table(links)
+        return out
+
+    def peel(self, rows: DataFrame, comps: DataFrame | None) -> DataFrame | None:
+        """Components after each token's nodes have met the token's leaders."""
+        columns, left = rows.columns, _with_comp(rows, comps, "fp", "comp")
+        for _ in range(self.peelings):
+            lead = left.groupBy("token").agg(F.min(F.struct("pos", "fp", "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            lead = lead.select(F.col("token").alias("__token"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("pos", "fp", "n", "comp")))
+            rest = materialize(left.join(lead, left["token"] == lead["__token"]).where("comp <> lcomp").drop("__token"), "rest")
+            may = self.close("n", "ln") & self.close("ln", "n") & (F.col("pos") <= F.col("n") - self.overlap("n", "ln")) & (F.col("lpos") <= F.col("ln") - self.overlap("n", "ln"))
+            pairs = materialize(rest.where(may).select(F.col("lfp").alias("u"), F.col("fp").alias("v"), F.col("lcomp").alias("cu"), F.col("comp").alias("cv")).distinct(), "pairs")
+            found = self.merged(comps, pairs)
+            if found is None:
+                drop_table(rest)
+                break
+            comps = found
+            left = _with_comp(_with_comp(rest.select(*columns, "lfp"), comps, "fp", "comp"), comps, "lfp", "lcomp").where("comp <> lcomp").select(*columns, "comp")
+        return comps
 
-    def prefix_pairs(self, comps: DataFrame | None) -> DataFrame:
+    def prefix_pairs(self, rows: DataFrame, comps: DataFrame | None) -> DataFrame:
         """Pairs in different components that share as many tokens of their prefixes as they must."""
-        percent = self.percent
-        tokens = _with_comp(self.tokens.drop("typical"), comps, "fp", "comp")
-        shared = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        tokens = materialize(tokens.join(shared, "token", "left_semi").dropDuplicates(["token", "fp"]), "shared")
-        x, y = (tokens.select("token", F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"), F.col("comp").alias(f"c{k}")) for k in "uv")
+        rows = _with_comp(rows, comps, "fp", "comp")
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        rows = materialize(rows.join(several, "token", "left_semi"), "several")
+        x, y = (rows.select("token", F.col("fp").alias(i), *(F.col(c).alias(f"{c[0]}{i}") for c in ("n", "pos", "k", "comp"))) for i in "uv")
+        # the smaller set's place: its partner is no smaller than itself
+        y = y.where(F.col("pv") <= F.col("nv") - self.overlap("nv", "nv") + F.col("kv") - 1)
         larger = (F.col("nv") < F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))
-        met = x.join(y, "token").where(larger & self.close("nv", "nu") & (F.col("cu") != F.col("cv")))
-        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("cu", "cv", "nu", "nv", "pu", "pv")))
-        overlap = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent) - 1e-6)
-        needed = F.greatest(F.lit(1), overlap - F.greatest(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")))
-        return materialize(pairs.where(F.col("shared") >= needed).select("u", "v", "cu", "cv"), "pairs")
+        reach = F.least("ku", "kv") - self.overlap("nu", "nv") - 1
+        met = x.join(y, "token").where(larger & self.close("nv", "nu") & (F.col("cu") != F.col("cv")) & (F.col("pu") <= F.col("nu") + reach) & (F.col("pv") <= F.col("nv") + reach))
+        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("cu", "cv", "ku", "kv"))).where(F.col("shared") >= F.least("ku", "kv"))
+        return materialize(pairs.select("u", "v", "cu", "cv"), "pairs")
 
     def run(self) -> DataFrame:
-        comps = None
-        self.tokens = self.prefixes()
-        typical = self.tokens.where("typical is not null").groupBy("fp").agg(F.max("typical").alias("typical"))
-        self.nodes = materialize(self.nodes.join(typical, "fp"), "nodes")
-        for turn in range(self.star_rounds):
-            pairs = self.star_pairs(turn, comps)
-            links = self.linked(pairs) if pairs.head(1) else None
-            if links is None or not links.head(1):
-                break
-            comps = _merge(comps, links)
-        pairs = self.prefix_pairs(comps)
-        if pairs.head(1):
-            links = self.linked(pairs)
-            if links.head(1):
-                comps = _merge(comps, links)
-        named = _with_comp(self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")), comps, "fp", "comp")
-        named = materialize(named, "named")
+        prefixes = self.prefixes()
+        rows = self.shared(prefixes)
+        drop_table(prefixes)
+        comps = self.peel(rows, None)
+        found = self.merged(comps, self.prefix_pairs(rows, comps))
+        comps = comps if found is None else found
+        named = _with_comp(self.nodes.select("fp", "id"), comps, "fp", "comp")
         least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
         names = named.select("fp", "comp").join(least, "comp").select(F.col("fp").alias("__fp"), "component_id")
         rows = self.rows.join(names, self.rows["fp"] == names["__fp"], "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def bloom(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """Packed bits of 64-bit hashes (column h), built by the tasks; at most most_bits, 16 MB."""
-    bits = min(most_bits, 1 << max(SEGMENT.bit_length() + 2, int(10 * hashes.count()).bit_length()))
+def bloom(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray | None:
+    """Bits, in bytes, of distinct 64-bit hashes (column h), a segment built by one task; None if it would need more than most_bits, 16 MB."""
+    keys = hashes.count()
+    if 8 * keys > most_bits:
+        return None
+    segments = 1 << max(0, (10 * keys // SEGMENT_BITS).bit_length())
+    segments = min(segments, most_bits // SEGMENT_BITS)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, dtype=np.uint8)
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in _places(batch.column("h").to_numpy(), bits):
-                np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        for k in range(0, len(own), SEGMENT):
-            if own[k : k + SEGMENT].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT]), pa.array([own[k : k + SEGMENT].tobytes()])], names=["k", "b"])
-
-    merged = hashes.mapInArrow(fill, "k bigint, b binary").rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(lambda a, b: (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes())
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for k, b in merged.toLocalIterator():
-        out[k * SEGMENT : k * SEGMENT + len(b)] = np.frombuffer(b, np.uint8)
+            h, k = batch.column("h").to_numpy(), batch.column("k").to_numpy()
+            for segment in np.unique(k).tolist():
+                bits = own.setdefault(segment, np.zeros(SEGMENT, dtype=np.uint8))
+                for at in _places(h[k == segment]):
+                    np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        for segment, bits in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([bits.tobytes()])], names=["k", "b"])
+
+    out = np.zeros(segments * SEGMENT, dtype=np.uint8)
+    dealt = hashes.withColumn("k", F.col("h").bitwiseAND(F.lit(segments - 1))).repartition("k")
+    for r in dealt.mapInArrow(fill, "k bigint, b binary").toLocalIterator():
+        out[r["k"] * SEGMENT : (r["k"] + 1) * SEGMENT] = np.frombuffer(r["b"], np.uint8)
     return out
 
 
-def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mixed(h.astype(np.int64).view(np.uint64))
-    return [(h >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 18, 36)]
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """Three places within a segment."""
+    m = mixed(h.astype(np.int64).view(np.uint64))
+    return [((m >> np.uint64(s)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for s in (0, 19, 38)]
 
 
 def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), dtype=bool)
-    for at in _places(h, len(filter_) * 8):
-        out &= ((filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    base = (h & (len(filter_) // SEGMENT - 1)) * SEGMENT
+    for at in _places(h):
+        out &= ((filter_[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
     return out
 
 
-def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1) -> DataFrame:
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", peelings: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links lead to, of each row of docs.
 
     Two documents link if the intersection of their shingle sets has `percent` per cent of the union, or more.
     """
-    return Join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, percent, star_rounds).run()
+    return Join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, percent, peelings).run()
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
