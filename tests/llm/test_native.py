@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from panelweave.llm import mixing, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string"
@@ -39,11 +41,47 @@ def test_quality_counts_and_base(spark):
     assert quality_rules.judge(docs(spark, rows).where("doc_id = 99")).count() == 0
 
 
-def test_quality_keeps_clean_text(spark):
-    rows = [(i, " ".join(f"wort{(i * 37 + k * k) % 997}" for k in range(120)), "a") for i in range(40)] + [(100, "## $$ || ** && ## <> ## || $$ ## %% && ** || ##", "a")]
+def prose(i, n=120):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return " ".join("w" + "".join(letters[((i * 37 + k * k) % 997) // 26**d % 26] for d in range(3)) for k in range(n))
+
+
+JUNK = [lambda i: " ".join(x + "###" for x in prose(i).split()), lambda i: " | ".join(prose(i).split()), lambda i: " ".join(x + " " + x + " |" for x in prose(i, 60).split()), lambda i: " ".join(x + "***" for x in prose(i).upper().split())]
+
+
+def test_quality_verdict(spark):
+    rows = [(i, prose(i), "a") for i in range(200)] + [(1000 + i, JUNK[i % 4](i), "a") for i in range(40)]
     got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows)).collect()}
-    assert all(got[i]["kept"] for i in range(40))
-    assert got[100]["p_good"] < min(got[i]["p_good"] for i in range(40))
+    assert all(r["kept"] == (i < 1000) and not r["base_failed"] for i, r in got.items())
+
+
+def brute_em(patterns, strength=20.0, start=(0.9, 0.998, 0.15)):
+    """p of each row of votes, by the textbook: responsibilities, then shares of right votes."""
+    v = np.array(patterns)
+    good, g, b = start[0], np.full(v.shape[1], start[1]), np.full(v.shape[1], start[2])
+    for _ in range(50):
+        p = brute_posterior(v, good, g, b)
+        was = np.concatenate([[good], g, b])
+        g = ((p[:, None] * (v == 1)).sum(0) + strength * start[1]) / ((p[:, None] * (v != 0)).sum(0) + strength)
+        b = (((1 - p)[:, None] * (v == -1)).sum(0) + strength * start[2]) / (((1 - p)[:, None] * (v != 0)).sum(0) + strength)
+        good = (p.sum() + start[0] * strength / 2) / (len(p) + strength / 2)
+        if np.abs(np.concatenate([[good], g, b]) - was).max() < 1e-3:
+            break
+    return brute_posterior(v, good, g, b)
+
+
+def brute_posterior(v, good, g, b):
+    like_good = good * np.prod(np.where(v == 1, g, np.where(v == -1, 1 - g, 1.0)), axis=1)
+    like_bad = (1 - good) * np.prod(np.where(v == 1, 1 - b, np.where(v == -1, b, 1.0)), axis=1)
+    return like_good / (like_good + like_bad)
+
+
+def test_quality_posterior_is_em(spark):
+    rows = [(i, prose(i, 20 + 7 * (i % 31)), "a") for i in range(90)] + [(1000 + i, JUNK[i % 4](i), "a") for i in range(25)] + [(2000, None, None), (2001, "1 2 3", "a")]
+    got = quality_rules.judge(docs(spark, rows)).collect()
+    names = [f"vote_{k}" for k in quality_rules.rules()]
+    want = brute_em([[r[k] for k in names] for r in got])
+    assert np.allclose([r["p_good"] for r in got], want, atol=1e-6)
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
