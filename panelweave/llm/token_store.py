@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, id_col
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered = ordered.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
     out = ordered.mapInArrow(encode, f"row_no bigint, doc_id {id_type.simpleString()}, n_tokens int, ids array<int>")
-    options = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": false_positives}
+    options = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": false_positives, "orc.compression.zstd.level": 1}
     out.write.options(**options).orc(path)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -26,6 +27,7 @@ if TYPE_CHECKING:
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ID = np.dtype("<u4")
+ID_OF = attrgetter("id")
 #: They end a run of letters, and no contraction begins with them.
 CLOSING = b".,;:!?)"
 
@@ -50,14 +52,14 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         own = self.encoder
-        if b"\n" in word:
+        if word.isalpha():
+            ids = own.piece(self.shown_before + word.decode())
+        elif b"\n" in word:
             head, *rest = word.split(b"\n")
             parts = [x.decode() for x in (head, *rest)]
             if not all(parts) or any(x[0].isspace() or x[-1].isspace() for x in parts):
                 raise _InDoubt
             return b"".join([self[head], *(own.newline + own.at_start[x] for x in rest)])
-        if word.isalpha():
-            ids = own.piece(self.shown_before + word.decode())
         else:
             letters = word.rstrip(CLOSING)
             text = letters.decode()
@@ -76,14 +78,15 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of texts, given as UTF-8; special tokens in a text are ordinary text.
+    """Ids of texts, given as UTF-8, as the library gives them: a special token's name in a text is that token.
 
     most: words kept at most, of each kind, at about 160 bytes a word; the first ones stay, which the frequent ones are among.
     """
 
-    def __init__(self, vocabulary: str, most: int = 500_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 700_000) -> None:
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
-        self.tokenizer.encode_special_tokens = True
+        # names with letters only, or spaces, would be cut apart below
+        self.cuttable = all(not x.content.isalpha() and not any(map(str.isspace, x.content)) and not (x.lstrip or x.rstrip) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.model, self.shown = self.tokenizer.model, _byte_characters()
         self.tokenize = self.model.tokenize
         self.packed, self.kind = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (ID, "I")
@@ -98,13 +101,15 @@ class Encoder:
 
     def piece(self, shown: str) -> bytes:
         """Ids of a run of letters with or without a space before it, in the vocabulary's characters."""
-        return array(self.kind, [x.id for x in self.tokenize(shown)]).tobytes()
+        return array(self.kind, map(ID_OF, self.tokenize(shown))).tobytes()
 
     def encode(self, text: bytes) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=ID)
         first, *rest = text.split(b" ")
         try:
+            if not self.cuttable:
+                raise _InDoubt
             packed = self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
         except _InDoubt:
             packed = self.pack(self.whole(text.decode()))

@@ -10,13 +10,12 @@ from tokenizers import Tokenizer
 from panelweave.llm import packing, token_store, tokens
 from panelweave.llm.common import scratch_path
 
-TEXTS = [None, "", " ", "Hello, world.\nNext line.", "two  spaces and\ttab", "trailing space \nline", "déjà vu où; ça? «x»", "it's we'll 12 345 3.14", "<|endoftext|> is text", "a\n\nb\n", " nbsp em", "x" * 300, "word " * 3000, "日本語 テキスト。", "A.B,C;D !! (ok)", "\x1c odd \x85 y", "é combining", "don't.'s 's"]
+TEXTS = [None, "", " ", "Hello, world.\nNext line.", "two  spaces and\ttab", "trailing space \nline", "déjà vu où; ça? «x»", "it's we'll 12 345 3.14", "<|endoftext|> is a token", "a <|endoftext|>, b<|endoftext|>.\nc\n<|endoftext|>d", "x  <|endoftext|> \n y", "<|endoftext|", "<|ENDOFTEXT|>", "a\n\nb\n", " nbsp em", "x" * 300, "word " * 3000, "日本語 テキスト。", "A.B,C;D !! (ok)", "\x1c odd \x85 y", "é combining", "don't.'s 's"]
 SCHEMA = "doc_id long, text string, ids string, n_tokens string"
 
 
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    t.encode_special_tokens = True
     return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], dtype="<u4")
 
 
