@@ -44,7 +44,7 @@ SEGMENT = 1 << 16
 SEGMENT_BITS = SEGMENT * 8
 MOST_MATCHES = 4
 #: Expected candidates from which on a prefix grows by one token more.
-COSTS = (64, 1024, 16384)
+COSTS = (8, 64, 512)
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -261,52 +261,66 @@ class Join:
         return None
 
     def merged(self, comps: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
-        """Components after the links among pairs; None if there are none. Drops pairs."""
+        """Components after the links among pairs; None if there are none."""
         links = self.linked(pairs)
-        drop_table(pairs)
         if links is None:
             return None
         out = _merge(comps, links)
         drop_table(links)
         return out
 
-    def peel(self, rows: DataFrame, comps: DataFrame | None) -> DataFrame | None:
-        """Components after each token's nodes have met the token's leaders."""
-        columns, left = rows.columns, _with_comp(rows, comps, "fp", "comp")
+    def reach(self, a: str, b: str, k: Column) -> Column:
+        """Places after its size up to which a set of a shingles has k of those that it must share with one of b; negative."""
+        return k - self.overlap(a, b) - 1
+
+    def peel(self, rows: DataFrame, comps: DataFrame | None) -> tuple[DataFrame | None, list[DataFrame]]:
+        """Components after each token's nodes have met the token's leaders, and the pairs compared: u, v, unordered."""
+        columns, left, tried = rows.columns, _with_comp(rows, comps, "fp", "comp"), []
         for _ in range(self.peelings):
-            lead = left.groupBy("token").agg(F.min(F.struct("pos", "fp", "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            lead = lead.select(F.col("token").alias("__token"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("pos", "fp", "n", "comp")))
+            lead = left.groupBy("token").agg(F.min(F.struct("pos", "fp", "n", "k", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            lead = lead.select(F.col("token").alias("__token"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("pos", "fp", "n", "k", "comp")))
             rest = materialize(left.join(lead, left["token"] == lead["__token"]).where("comp <> lcomp").drop("__token"), "rest")
-            may = self.close("n", "ln") & self.close("ln", "n") & (F.col("pos") <= F.col("n") - self.overlap("n", "ln")) & (F.col("lpos") <= F.col("ln") - self.overlap("n", "ln"))
-            pairs = materialize(rest.where(may).select(F.col("lfp").alias("u"), F.col("fp").alias("v"), F.col("lcomp").alias("cu"), F.col("comp").alias("cv")).distinct(), "pairs")
+            k = F.least("k", "lk", self.overlap("n", "ln"))
+            reach = self.reach("n", "ln", k)
+            may = self.close("n", "ln") & self.close("ln", "n") & (F.col("pos") <= F.col("n") + reach) & (F.col("lpos") <= F.col("ln") + reach)
+            pairs = rest.where(may).groupBy(F.col("lfp").alias("u"), F.col("fp").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.min(k).alias("k"), F.min("lcomp").alias("cu"), F.min("comp").alias("cv"))
+            pairs = materialize(pairs.where("shared >= k").select("u", "v", "cu", "cv"), "pairs")
+            tried.append(pairs)
             found = self.merged(comps, pairs)
             if found is None:
                 drop_table(rest)
                 break
             comps = found
             left = _with_comp(_with_comp(rest.select(*columns, "lfp"), comps, "fp", "comp"), comps, "lfp", "lcomp").where("comp <> lcomp").select(*columns, "comp")
-        return comps
+        return comps, tried
 
-    def prefix_pairs(self, rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """Pairs in different components that share as many tokens of their prefixes as they must."""
+    def prefix_pairs(self, rows: DataFrame, comps: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
+        """Pairs in different components that share as many tokens of their prefixes as they must, without those tried."""
         rows = _with_comp(rows, comps, "fp", "comp")
         several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         rows = materialize(rows.join(several, "token", "left_semi"), "several")
         x, y = (rows.select("token", F.col("fp").alias(i), *(F.col(c).alias(f"{c[0]}{i}") for c in ("n", "pos", "k", "comp"))) for i in "uv")
         # the smaller set's place: its partner is no smaller than itself
-        y = y.where(F.col("pv") <= F.col("nv") - self.overlap("nv", "nv") + F.col("kv") - 1)
+        y = y.where(F.col("pv") <= F.col("nv") + self.reach("nv", "nv", F.col("kv")))
         larger = (F.col("nv") < F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))
-        reach = F.least("ku", "kv") - self.overlap("nu", "nv") - 1
+        k = F.least("ku", "kv", self.overlap("nu", "nv"))
+        reach = self.reach("nu", "nv", k)
         met = x.join(y, "token").where(larger & self.close("nv", "nu") & (F.col("cu") != F.col("cv")) & (F.col("pu") <= F.col("nu") + reach) & (F.col("pv") <= F.col("nv") + reach))
-        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("cu", "cv", "ku", "kv"))).where(F.col("shared") >= F.least("ku", "kv"))
-        return materialize(pairs.select("u", "v", "cu", "cv"), "pairs")
+        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min(k).alias("k"), F.min("cu").alias("cu"), F.min("cv").alias("cv")).where("shared >= k")
+        for t in tried:
+            t = t.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("t")).select(F.col("t.u").alias("__u"), F.col("t.v").alias("__v"))
+            pairs = pairs.join(t, (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti")
+        pairs = materialize(pairs.select("u", "v", "cu", "cv"), "pairs")
+        for t in [rows, *tried]:
+            drop_table(t)
+        return pairs
 
     def run(self) -> DataFrame:
         prefixes = self.prefixes()
         rows = self.shared(prefixes)
         drop_table(prefixes)
-        comps = self.peel(rows, None)
-        found = self.merged(comps, self.prefix_pairs(rows, comps))
+        comps, tried = self.peel(rows, None)
+        found = self.merged(comps, self.prefix_pairs(rows, comps, tried))
         comps = comps if found is None else found
         named = _with_comp(self.nodes.select("fp", "id"), comps, "fp", "comp")
         least = named.groupBy("comp").agg(F.min("id").alias("component_id"))

@@ -95,14 +95,31 @@ def near_copies(seed, groups=6, each=25):
     return [(i * 7 % 1009, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 40)])
 def test_join_is_exact(spark, words, percent):
-    docs = [*near_copies(1), (2000, None), (2001, ""), (2002, " \n"), (2003, "Two words"), (2004, "two  WORDS"), (2005, "a b c d e f g h i j"), (2006, "A B C D E F G H I J k")]
+    docs = [*near_copies(1), (2010, "a b"), (2011, "b c d"), (2012, "d e"), (2000, None), (2001, ""), (2002, " \n"), (2003, "Two words"), (2004, "two  WORDS"), (2005, "a b c d e f g h i j"), (2006, "A B C D E F G H I J k")]
     table = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, component_id string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components_of(table, words, percent).collect()}
     assert got == brute_components(docs, words, percent)
 
 
+def test_join_of_a_large_group(spark):
+    """600 near copies of a text, beside 600 texts that mostly consist of one passage, which half of all documents hold."""
+    rng = np.random.default_rng(4)
+    base, passage = [f"w{k}" for k in rng.integers(0, 4000, 120)], [f"p{k}" for k in range(60)]
+    docs = []
+    for i in range(1200):
+        if i % 2:
+            own = list(base)
+            for k in rng.integers(0, len(own), i % 5):
+                own[k] = f"x{i}k{k}"
+        else:
+            own = passage + [f"y{i}k{k}" for k in range(2 + i % 40)]
+        docs.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components_of(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute_components(docs, 3, 90)
+
+
 def test_join_edges(spark):
     table = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.components_of(table).collect())
