@@ -131,3 +131,9 @@ def zfill(c: Column, width: int) -> Column:
 def words(c: Column, pattern: str = r"(\p{L}{2,})") -> Column:
     """Lower-case runs of letters: the tokenizer that needs no dictionary."""
     return F.regexp_extract_all(F.lower(c), F.lit(pattern), 1)
+
+
+def words_and_compounds(c: Column, compounds: Sequence[str], pattern: str = r"\p{L}{2,}") -> Column:
+    """words(), but a listed compound stays one token; the longest wins."""
+    listed = sorted((x.lower() for x in compounds), key=lambda x: (-len(x), x))
+    return F.regexp_extract_all(F.lower(c), F.lit("(" + "|".join([*map(re.escape, listed), pattern]) + ")"), 1)

@@ -52,11 +52,23 @@ def idf_bands(audited: DataFrame) -> DataFrame:
     return audited.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("tf").alias("tf"))
 
 
-def conflicts(reviewed: DataFrame) -> DataFrame:
-    """Tokens whose hint and manual class contradict each other, or that are decided without a note."""
-    manual = F.coalesce("manual_class", F.lit(""))
-    kind = F.when((F.col("auto_hint") == "preserve") & manual.isin("BOILERPLATE", "GENERIC"), "preserve_removed").when((F.col("auto_hint") == "boilerplate") & manual.isin("G_SIGNAL", "ESG_SIGNAL"), "boilerplate_kept")
-    return reviewed.select("token", kind.alias("conflict"), "auto_hint", "manual_class").where("conflict is not null")
+def conflicts(reviewed: DataFrame, rules: Rules) -> DataFrame:
+    """A row per contradiction between a token's manual class and the lists: a preserved term called boilerplate, a signal that
+    the lists remove, boilerplate that no list removes. A class is trimmed and upper-cased first; a token may have two."""
+    c, t = F.upper(F.trim(F.coalesce("manual_class", F.lit("")))), F.col("token")
+    listed = lambda terms: t.isin(terms) if terms else F.lit(False)
+    kinds = [
+        F.when((c == "BOILERPLATE") & listed(rules.preserve), "preserve_vs_boilerplate"),
+        F.when(c.isin("ESG_SIGNAL", "G_SIGNAL") & listed(rules.boilerplate), "signal_in_stopwords"),
+        F.when((c == "BOILERPLATE") & ~listed(rules.boilerplate), "boilerplate_not_removed"),
+    ]
+    rows = reviewed.select("token", F.explode(F.array(*kinds)).alias("conflict"), "auto_hint", "manual_class")
+    return rows.where("conflict is not null")
+
+
+def decision_log(overridden: DataFrame) -> DataFrame:
+    """What experts have changed: token, change (old class -> new class) of rows of override() that were applied."""
+    return overridden.where("status = 'applied'").select("token", F.concat_ws("->", "auto_class", "final_class").alias("change"))
 
 
 def infer_n_docs(audited: DataFrame, default: int = 30) -> DataFrame:

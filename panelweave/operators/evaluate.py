@@ -8,31 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import literals
+from .tokens import grid_sizes, grid_tokens
 
 
 def label(token: Column, lexicons: dict[str, Sequence[str]]) -> Column:
     return F.when(token.isin([*lexicons["g"]]), "G").when(token.isin([*lexicons["esg"]]), "ESG").when(token.isin([*lexicons["bp"]]), "BP").otherwise("OTHER")
 
 
-def ranked(tokens: DataFrame, lexicons: dict[str, Sequence[str]], top: int = 30) -> DataFrame:
-    """exp_id, rank, token, class of the most frequent tokens. tokens: exp_id, token."""
-    counts = tokens.groupBy("exp_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    rank = F.row_number().over(Window.partitionBy("exp_id").orderBy(F.col("tf").desc(), "token"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("exp_id", "rank", "token", "tf", label(F.col("token"), lexicons).alias("token_class"))
+def ranked(counts: DataFrame, lexicons: dict[str, Sequence[str]], top: int = 30) -> DataFrame:
+    """exp_id, rank, token, class of the most frequent tokens. counts: see tokens.grid_counts()."""
+    first = Window.partitionBy("exp_id").orderBy(F.col("n").desc(), "token")
+    rows = grid_tokens(counts).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    return rows.select("exp_id", "rank", "token", F.col("n").alias("tf"), label(F.col("token"), lexicons).alias("token_class"))
 
 
-def metrics(tokenized: DataFrame, lexicons: dict[str, Sequence[str]], protect: Sequence[str], top: int = 30, places: int = 4) -> DataFrame:
-    """A row per experiment: sizes, classes among the top tokens, protected terms that survive."""
-    tokens = tokenized.select("exp_id", F.explode("tokens").alias("token"))
-    sizes = tokenized.groupBy("exp_id").agg(F.round(F.avg(F.size("tokens")), places).alias("avg_tokens"))
-    kinds = tokens.groupBy("exp_id").agg(F.countDistinct("token").alias("vocab_size"), F.countDistinct(F.when(F.col("token").isin([*protect]), F.col("token"))).alias("protected_kept"))
+def metrics(counts: DataFrame, lexicons: dict[str, Sequence[str]], protect: Sequence[str], top: int = 30, places: int = 4) -> DataFrame:
+    """A row per experiment: sizes, classes among the top tokens, protected terms that survive. counts: see tokens.grid_counts()."""
+    sizes = grid_sizes(counts, places, F.count(F.when(F.col("token").isin([*protect]), 1)).alias("protected_kept")).drop("n_docs", "coverage_pct")
     of = F.col("token_class")
-    classes = ranked(tokens, lexicons, top).groupBy("exp_id").agg(*(F.sum((of == k).cast("bigint")).alias(f"top_{k.lower()}") for k in ("G", "ESG", "BP", "OTHER")))
-    rows = sizes.join(kinds, "exp_id").join(classes, "exp_id")
+    classes = ranked(counts, lexicons, top).groupBy("exp_id").agg(*(F.sum((of == k).cast("bigint")).alias(f"top_{k.lower()}") for k in ("G", "ESG", "BP", "OTHER")))
+    rows = sizes.join(classes, "exp_id")
     share = lambda c: F.round(c * 100.0 / top, places)
     return rows.select("*", share(F.col("top_bp")).alias("bp_rate"), share(F.col("top_g") + F.col("top_esg")).alias("signal_rate"), F.round(F.col("protected_kept") * 100.0 / max(1, len(protect)), places).alias("protect_pct"))
 
 
+#: What an evaluated experiment has to reach, in per cent of the protected terms.
+LEAST_PROTECTED = 80.0
+
+
+def status(measured: DataFrame, least: float = LEAST_PROTECTED) -> DataFrame:
+    """measured with status: PASS from `least` per cent of protected terms on, else WARN."""
+    return measured.withColumn("status", F.when(F.col("protect_pct") >= least, "PASS").otherwise("WARN"))
+
+
 def deltas(measured: DataFrame, baseline: str, columns: Sequence[str], places: int = 4) -> DataFrame:
     """Each experiment less the baseline, null counted as 0."""
     base = measured.where(F.col("exp_id") == baseline).select(*(F.coalesce(c, F.lit(0)).alias(f"__{c}") for c in columns))
@@ -40,8 +48,8 @@ def deltas(measured: DataFrame, baseline: str, columns: Sequence[str], places: i
     return rows.select("exp_id", *(F.round(F.coalesce(F.col(c), F.lit(0)) - F.col(f"__{c}"), places).alias(f"d_{c}") for c in columns))
 
 
-def missing_protected(tokenized: DataFrame, protect: Sequence[str]) -> DataFrame:
-    """exp_id, token of protected terms that no document kept."""
-    have = tokenized.select("exp_id", F.explode("tokens").alias("token")).where(F.col("token").isin([*protect])).distinct()
-    want = tokenized.select("exp_id").distinct().select("exp_id", F.explode(literals(protect)).alias("token"))
-    return want.join(have, ["exp_id", "token"], "left_anti")
+def missing_protected(counts: DataFrame, protect: Sequence[str]) -> DataFrame:
+    """exp_id, token of protected terms that no document kept. counts: see tokens.grid_counts()."""
+    have = F.collect_set(F.when(F.col("token").isin([*protect]), F.col("token")))  # as many as there are protected terms, at most
+    rows = counts.groupBy("exp_id").agg(have.alias("have"))
+    return rows.select("exp_id", F.explode(F.array_except(literals(dict.fromkeys(protect)), F.col("have"))).alias("token"))

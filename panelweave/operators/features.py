@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import literals
-
 
 def members(tokens: Column, terms: Sequence[str]) -> Column:
     """How many tokens, repeats counted, are in the list."""
-    return F.size(F.filter(tokens, lambda t: F.array_contains(literals(terms), t)))
+    return F.size(F.filter(tokens, lambda t: t.isin([*terms])))
 
 
 def lexicon_ratios(tokenized: DataFrame, keys: Sequence[str], lexicons: dict[str, Sequence[str]], places: int = 4) -> DataFrame:
@@ -92,3 +90,19 @@ def expansion(vectors: DataFrame, seeds: DataFrame, key: str, vector: str, theta
 
 def grade_number(c: Column, grades: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in grades.items() for x in pair)), c)
+
+
+def dictionary_scores(weights: DataFrame, doc: str, seeds: dict[str, Sequence[str]], expanded: dict[str, Sequence[str]], places: int = 5) -> DataFrame:
+    """Per document and dimension: weight on seeds, on the expanded dictionary, and the cosine to the latter as a vector of ones. weights: rows of length 1."""
+    on = lambda terms: F.sum(F.when(F.col("token").isin([*terms]), F.col("w")).otherwise(0.0))
+    out = []
+    for k, terms in expanded.items():
+        out += [F.round(on(seeds[k]), places).alias(f"seed_{k}"), F.round(on(terms), places).alias(f"expanded_{k}"), F.round(on(terms) / len(set(terms)) ** 0.5, places).alias(f"cosine_{k}")]
+    return weights.groupBy(doc).agg(*out)
+
+
+def feature_table(ratios: DataFrame, doc: str, *more: DataFrame) -> DataFrame:
+    """Ratios with the columns of other feature tables beside them; a document that these lack has nulls."""
+    for other in more:
+        ratios = ratios.join(other, doc, "left")
+    return ratios

@@ -6,13 +6,13 @@ A design has few columns, so its normal equations are a handful of sums; the row
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import exp
+from math import exp, log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import safe_corr
+from ..functions.stats import normal_p, safe_corr, student_p
 
 
 def normal_equations(rows: DataFrame, y: str, xs: Sequence[str], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -43,23 +43,104 @@ def fitted(beta: np.ndarray, xs: Sequence[str]) -> Column:
     return out
 
 
+def ols_by(rows: DataFrame, y: str, xs: Sequence[str], group: Sequence[str] = (), robust: bool = False, label: str = "m") -> DataFrame:
+    """group, model, term, coef, se, stat, p, n, r2, r2_adj of a least-squares fit for each group; robust: HC1 standard errors and normal p.
+
+    Sums are of centred columns, so large means cost no digits. Groups are experiments or years: a row each comes to the driver.
+    A group with too few rows for the columns has no rows here.
+    """
+    k = len(xs)
+    cols = [F.col(x).cast("double") for x in xs]
+    full = complete(rows, [y, *xs])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy")]
+    aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)] + [F.covar_pop(c, F.col(y).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)] + [F.covar_pop(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in pairs]
+    fits = {}
+    for r in full.groupBy(*group).agg(*aggs).collect():
+        n = int(r["n"])
+        if n <= k + 1:
+            continue
+        s = np.zeros((k, k))
+        for i, j in pairs:
+            s[i, j] = s[j, i] = r[f"s{i}_{j}"] * n
+        mean, inverse = np.array([r[f"m{i}"] for i in range(k)]), np.linalg.pinv(s)
+        sxy = np.array([r[f"c{i}"] * n for i in range(k)])
+        fits[tuple(r[g] for g in group)] = (n, mean, inverse, inverse @ sxy, float(r["my"]), max(0.0, r["vy"] * n - float((inverse @ sxy) @ sxy)), r["vy"] * n)
+    meats = _meats(full, y, cols, group, fits) if robust and fits else {}
+    out = []
+    for key, (n, mean, inverse, slopes, my, rss, tss) in fits.items():
+        bread = np.zeros((k + 1, k + 1))
+        bread[0, 0], bread[1:, 1:] = 1 / n, inverse
+        cov = bread @ meats[key] @ bread * n / (n - k - 1) if robust else bread * rss / (n - k - 1)
+        back = np.eye(k + 1)
+        back[0, 1:] = -mean
+        se = np.sqrt(np.maximum(np.diag(back @ cov @ back.T), 0))
+        beta = np.concatenate([[my - mean @ slopes], slopes])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat = np.where(se > 0, beta / se, np.nan)
+        p = normal_p(stat) if robust else student_p(stat, np.full(k + 1, n - k - 1))
+        r2 = 1 - rss / tss if tss > 0 else None
+        adjusted = None if r2 is None else 1 - (1 - r2) * (n - 1) / (n - k - 1)
+        known = lambda v: None if np.isnan(v) else float(v)
+        out += [(*key, label, t, float(b), float(e), known(z), known(q), n, r2, adjusted) for t, b, e, z, q in zip(("intercept", *xs), beta, se, stat, p, strict=True)]
+    own = "".join(f"{g} {full.schema[g].dataType.simpleString()}, " for g in group)
+    return rows.sparkSession.createDataFrame(out, own + "model string, term string, coef double, se double, stat double, p double, n bigint, r2 double, r2_adj double")
+
+
+def _meats(full: DataFrame, y: str, cols: Sequence[Column], group: Sequence[str], fits: dict) -> dict:
+    """Sums of squared residuals times the products of an intercept and centred columns, by group."""
+    k = len(cols)
+    pick = lambda values: _by_key(group, values)
+    centred = [F.lit(1.0), *(c - pick({key: fit[1][i] for key, fit in fits.items()}) for i, c in enumerate(cols))]
+    residual = F.col(y) - pick({key: fit[4] for key, fit in fits.items()})
+    for i in range(k):
+        residual = residual - pick({key: fit[3][i] for key, fit in fits.items()}) * centred[i + 1]
+    rows = full.select(*group, residual.alias("__e"), *(c.alias(f"__z{i}") for i, c in enumerate(centred)))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    e2 = F.col("__e") * F.col("__e")
+    out = {}
+    for r in rows.groupBy(*group).agg(*(F.sum(e2 * F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"s{i}_{j}") for i, j in pairs)).collect():
+        meat = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            meat[i, j] = meat[j, i] = r[f"s{i}_{j}"] or 0.0
+        out[tuple(r[g] for g in group)] = meat
+    return out
+
+
+def _by_key(group: Sequence[str], values: dict) -> Column:
+    """The value of a row's group, a literal each."""
+    out = F.lit(None).cast("double")
+    for key, v in values.items():
+        here = F.lit(True)
+        for g, x in zip(group, key, strict=True):
+            here = here & F.col(g).eqNullSafe(F.lit(x))
+        out = F.when(here, F.lit(float(v))).otherwise(out)
+    return out
+
+
 def ols(rows: DataFrame, y: str, xs: Sequence[str], robust: bool = False, label: str = "m") -> DataFrame:
-    """model, term, coef, se, stat, n, r2 of a least-squares fit; robust: HC1 standard errors."""
-    xx, xy, yy, n = normal_equations(rows, y, xs)
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ xy
-    k = len(beta)
-    rss = max(0.0, yy - float(beta @ xy))
-    tss = yy - xy[0] ** 2 / max(n, 1)
-    cov = inverse * rss / max(1, n - k)
-    if robust:
-        residual = F.col(y) - fitted(beta, xs)
-        meat, *_ = normal_equations(rows, y, xs, residual * residual)
-        cov = inverse @ meat @ inverse * n / max(1, n - k)
-    se = np.sqrt(np.maximum(np.diag(cov), 0))
-    r2 = float(1 - rss / tss) if tss > 0 else None
-    out = [(label, t, float(b), float(s), float(b / s) if s > 0 else None, n, r2) for t, b, s in zip(("intercept", *xs), beta, se, strict=True)]
-    return rows.sparkSession.createDataFrame(out, "model string, term string, coef double, se double, stat double, n bigint, r2 double")
+    """model, term, coef, se, stat, p, n, r2, r2_adj of a least-squares fit; see ols_by()."""
+    return ols_by(rows, y, xs, (), robust, label)
+
+
+def dummies(rows: DataFrame, columns: Sequence[str], most: int = 200) -> tuple[DataFrame, list[str]]:
+    """rows with a 0/1 column for each value of these but the least, and the names; more values than `most` are refused."""
+    made = {}
+    for c in columns:
+        values = [r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{c} has more than {most} values")
+        made |= {f"{c}={v}": (F.col(c) == F.lit(v)).cast("double") for v in values[1:]}
+    names = {f"__d{k}": name for k, name in enumerate(made)}
+    return rows.withColumns(dict(zip(names, made.values(), strict=True))) if names else rows, [*names]
+
+
+def comparison(fits: Sequence[DataFrame], term: str | None = None) -> DataFrame:
+    """The rows of several fits below each other, of one term where it is named."""
+    out = fits[0]
+    for f in fits[1:]:
+        out = out.unionByName(f)
+    return out if term is None else out.where(F.col("term") == term)
 
 
 def residuals(rows: DataFrame, y: str, xs: Sequence[str], name: str = "residual") -> DataFrame:
@@ -109,29 +190,45 @@ def breusch_pagan(rows: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
 
 
 def logit(rows: DataFrame, y: str, xs: Sequence[str], rounds: int = 25) -> DataFrame:
-    """term, coef, odds_ratio, se of a binary logit by Newton's method; one aggregate a round."""
+    """term, coef, odds_ratio, se, z, p, n, pseudo_r2 (McFadden), aic of a binary logit by Newton's method; one aggregate a round."""
     beta = np.zeros(len(xs) + 1)
-    cov = np.eye(len(beta))
+    cov, n = np.eye(len(beta)), 0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-fitted(beta, xs)))
         step_rows = complete(rows, [y, *xs]).withColumn("__p", p).withColumn("__g", F.try_divide(F.col(y) - F.col("__p"), F.col("__p") * (1 - F.col("__p"))))
-        xx, xg, *_ = normal_equations(step_rows, "__g", xs, F.col("__p") * (1 - F.col("__p")))
+        xx, xg, _, n = normal_equations(step_rows, "__g", xs, F.col("__p") * (1 - F.col("__p")))
         cov = np.linalg.pinv(xx)
         step = np.clip(cov @ xg, -5, 5)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
+    eta = fitted(beta, xs)
+    # log(1 + e^x) without overflow
+    soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+    got = complete(rows, [y, *xs]).agg(F.sum(F.col(y) * eta - soft).alias("ll"), F.avg(y).alias("m")).first()
+    ll, m = float(got["ll"] or 0), float(got["m"] or 0)
+    null = n * (m * log(m) + (1 - m) * log(1 - m)) if 0 < m < 1 else 0.0
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    out = [(t, float(b), exp(min(50.0, float(b))), float(s)) for t, b, s in zip(("intercept", *xs), beta, se, strict=True)]
-    return rows.sparkSession.createDataFrame(out, "term string, coef double, odds_ratio double, se double")
+    z = beta / np.maximum(se, 1e-300)
+    fit = (n, 1 - ll / null if null else None, 2 * len(beta) - 2 * ll)
+    out = [(t, float(b), exp(min(50.0, float(b))), float(s), float(v), float(q), *fit) for t, b, s, v, q in zip(("intercept", *xs), beta, se, z, normal_p(z), strict=True)]
+    return rows.sparkSession.createDataFrame(out, "term string, coef double, odds_ratio double, se double, z double, p double, n bigint, pseudo_r2 double, aic double")
+
+
+def standardized(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns less their mean, over their sample deviation: one aggregate, whose single row is joined."""
+    sums = rows.agg(*(f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))))
+    return rows.join(F.broadcast(sums)).withColumns({c: F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns}).drop(*sums.columns)
 
 
 def ordered_logit(rows: DataFrame, y: str, xs: Sequence[str], rounds: int = 60) -> DataFrame:
-    """term, coef of a proportional-odds logit: cut points and slopes, by damped gradient steps scaled with the information of each.
+    """term, coef, se, z, p of a proportional-odds logit: cut points and slopes, by damped gradient steps scaled with the information of each.
 
-    Fewer than three grades are refused.
+    Fewer than three grades are refused, and more than 50.
     """
-    grades = [r[0] for r in complete(rows, [y, *xs]).select(y).distinct().orderBy(y).collect()]  # grades are a handful
+    grades = [r[0] for r in complete(rows, [y, *xs]).select(y).distinct().orderBy(y).limit(51).collect()]
+    if len(grades) > 50:
+        raise ValueError("more than 50 grades")
     if len(grades) < 3:
         raise ValueError("an ordered logit needs three grades or more")
     cuts, k = len(grades) - 1, len(xs)
@@ -159,4 +256,6 @@ def ordered_logit(rows: DataFrame, y: str, xs: Sequence[str], rounds: int = 60)
         if np.abs(step).max() < 1e-5:
             break
     names = [*(f"cut_{j + 1}" for j in range(cuts)), *xs]
-    return rows.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(names, theta, strict=True)], "term string, coef double")
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(information)), 0))
+    z = theta / np.maximum(se, 1e-300)
+    return rows.sparkSession.createDataFrame([(t, *map(float, v)) for t, *v in zip(names, theta, se, z, normal_p(z), strict=True)], "term string, coef double, se double, z double, p double")

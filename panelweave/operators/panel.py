@@ -111,3 +111,16 @@ def quartile(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFram
     joined = rows.join(F.broadcast(edges), [*group]) if group else rows.join(F.broadcast(edges))  # without groups the edges are one row
     v = F.col(value)
     return joined.withColumn("q", F.when(v <= F.col("__e1"), 1).when(v <= F.col("__e2"), 2).when(v <= F.col("__e3"), 3).when(v.isNotNull(), 4)).drop("__e1", "__e2", "__e3")
+
+
+def describe(rows: DataFrame, features: Sequence[str], group: Sequence[str] = (), places: int = 4) -> DataFrame:
+    """Count, mean, spread and quartiles of each feature."""
+    x, r = F.col("x"), lambda c: F.round(c, places)
+    quarters = (r(F.percentile(x, F.lit(p))).alias(name) for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+    return melt(rows, group, features).groupBy(*group, "feature").agg(F.count(x).alias("n"), r(F.avg(x)).alias("mean"), r(F.stddev_samp(x)).alias("std"), r(F.min(x)).alias("min"), *quarters, r(F.max(x)).alias("max"))
+
+
+def stage_counts(rows: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """step, stage, n of conditions that stand by themselves, from one pass."""
+    one = rows.agg(*(F.count(F.when(c, 1)).alias(f"c{k}") for k, (_, c) in enumerate(stages)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("step"), F.lit(name).alias("stage"), F.col(f"c{k}").alias("n")) for k, (name, _) in enumerate(stages)))).alias("s")).select("s.*")

@@ -125,3 +125,41 @@ def section_to_passages(docs: DataFrame, keys: Sequence[str], text: str, lex: Le
         rows = density_filter(score_sentences(rows, own, lex, pattern), own, window).where(F.length("text") >= 20).select(*own, "text")
     rows = seed_passages(rows, lex.seeds, least_seeds)
     return rows.where(dense_enough(F.col("text"), lex, threshold)) if use_density else rows
+
+
+BLANK_LINES = r"\n{2,}|(?:\r\n){2,}"
+
+
+def blank_line_passages(docs: DataFrame, keys: Sequence[str], text: str, seeds: Sequence[str], least_seeds: int = 1, least: int = 20, shown: int = 5) -> DataFrame:
+    """keys, passage_id, text, seed_count, seeds (the first `shown`, joined by a pipe) of passages between blank lines that are long enough and hold enough seeds."""
+    pieces = F.transform(F.split(tx.text_of(text), BLANK_LINES), tx.strip)
+    rows = docs.select(*keys, F.posexplode(pieces).alias("passage_id", "__t")).where(F.length("__t") >= least)
+    found = rows.withColumn("__m", tx.matched(F.col("__t"), seeds)).where(F.size("__m") >= least_seeds)
+    return found.select(*keys, "passage_id", F.col("__t").alias("text"), F.size("__m").alias("seed_count"), F.array_join(F.slice("__m", 1, shown), "|").alias("seeds"))
+
+
+def passage_log(docs: DataFrame, keys: Sequence[str], sections_found: DataFrame, passages_found: DataFrame) -> DataFrame:
+    """keys, n_sections, n_passages, has_passages of every document, also of those that have none."""
+    counted = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    rows = docs.select(*keys).join(counted(sections_found, "n_sections"), [*keys], "left").join(counted(passages_found, "n_passages"), [*keys], "left").fillna(0, ["n_sections", "n_passages"])
+    return rows.withColumn("has_passages", F.col("n_passages") > 0)
+
+
+def failure(keys: Sequence[str], step: str, error: str) -> Column:
+    """What a failed row leaves: its keys, the step and the error."""
+    return F.struct(*(F.col(k) for k in keys), F.lit(step).alias("step"), F.lit(error).alias("error"))
+
+
+def extract(docs: DataFrame, keys: Sequence[str], text: str, patterns: dict[str, Sequence[str]], stops: Sequence[str], seeds: dict[str, str], least_seeds: int = 1, preview: int = 5000) -> dict[str, DataFrame]:
+    """The four outputs of the extraction stage, of one lineage: sections (text cut to `preview` characters, for reading only), passages, documents, failures.
+
+    A document without text fails at `read`, without a section at `section`, without a passage at `passage`.
+    """
+    cut = sections(docs, keys, text, patterns, stops)
+    found = seed_passages(paragraph_rows(cut, [*keys, "section"], "text"), seeds, least_seeds)
+    log = passage_log(docs.select(*keys, tx.text_of(text).alias("__text")), keys, cut, found)
+    read = docs.select(*keys, (tx.strip(tx.text_of(text)) == "").alias("__empty"))
+    failed = F.when(F.col("__empty"), failure(keys, "read", "EMPTY")).when(F.col("n_sections") == 0, failure(keys, "section", "NO_SECTION")).when(F.col("n_passages") == 0, failure(keys, "passage", "NO_PASSAGE"))
+    failures = log.join(read, [*keys]).select(failed.alias("__f")).where("__f is not null").select("__f.*")
+    whole = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("text")).alias("total_chars"))
+    return {"sections": cut.withColumn("text", F.substring("text", 1, preview)), "passages": found, "documents": whole, "failures": failures}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import draw, effect_label, normal_tail, safe_corr, two_sided, upper_tail
+from ..functions.stats import draw, effect_label, normal_tail, safe_corr, student_p, upper_tail
 
 
 def average_rank(value: str, group: Sequence[str] = ()) -> Column:
@@ -28,10 +30,19 @@ def with_effect(rhos: DataFrame) -> DataFrame:
     return rhos.withColumn("effect", effect_label(F.col("rho")))
 
 
-def spearman_p(n: Column, rho: Column, places: int = 6) -> Column:
-    """Two-sided p by the normal approximation of the t statistic."""
-    t = rho * F.sqrt(F.try_divide(n - 2.0, 1.0 - rho * rho))
-    return F.round(two_sided(t), places)
+def spearman_p(rhos: DataFrame, group: Sequence[str], places: int = 6) -> DataFrame:
+    """rhos (group, n, rho) with p, two-sided by Student's t with n - 2 degrees; a row per group comes to Python."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n, rho = f["n"].to_numpy(dtype=float), f["rho"].to_numpy(dtype=float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = student_p(rho * np.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+            p = np.where(np.abs(rho) >= 1, 0.0, np.where((n > 2) & ~np.isnan(rho), p, np.nan))
+            yield f.assign(p=[None if np.isnan(x) else round(float(x), places) for x in p])
+
+    own = "".join(f"{g} {rhos.schema[g].dataType.simpleString()}, " for g in group)
+    return rhos.select(*group, "n", "rho").mapInPandas(run, own + "n bigint, rho double, p double")
 
 
 def mann_whitney(rows: DataFrame, group: Sequence[str], least: int = 2, places: int = 6) -> DataFrame:
@@ -99,6 +110,13 @@ def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), plac
     return rhos.where("rho is not null").groupBy(*group).agg(F.count(F.lit(1)).alias("n_boot"), p(tail).alias("ci_lo"), p(1 - tail).alias("ci_hi"), F.round(F.avg((F.col("rho") > 0).cast("double")), places).alias("share_positive"))
 
 
+def sign_stability(rhos: DataFrame, observed: DataFrame, places: int = 4) -> DataFrame:
+    """Share of replicates that keep the sign of the observed rho (one row)."""
+    o = observed.select(F.col("rho").alias("__o"))
+    rows = rhos.where("rho is not null").join(F.broadcast(o))
+    return rows.agg(F.count(F.lit(1)).alias("n_boot"), F.round(F.avg((F.signum("rho") == F.signum("__o")).cast("double")), places).alias("share_same_sign"))
+
+
 def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
     """b, rho after shuffling y by an md5 order."""
     rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")

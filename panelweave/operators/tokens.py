@@ -78,7 +78,7 @@ def clean(c: Column, config: Config, lists: WordLists) -> Column:
 
 
 def kept_tokens(tokens: Column, removed: Sequence[str], least: int = 2) -> Column:
-    return F.filter(tokens, lambda t: (F.length(t) >= least) & ~F.array_contains(tx.literals(removed), t))
+    return F.filter(tokens, lambda t: (F.length(t) >= least) & ~t.isin([*removed]) if removed else F.length(t) >= least)
 
 
 def tokenize(docs: DataFrame, keys: Sequence[str], text: str, config: Config, lists: WordLists, tokenizer: Tokenizer = tx.words) -> DataFrame:
@@ -87,17 +87,71 @@ def tokenize(docs: DataFrame, keys: Sequence[str], text: str, config: Config, li
     return docs.select(*keys, F.lit(config.name).alias("exp_id"), tokens.alias("tokens"))
 
 
-def run_grid(docs: DataFrame, keys: Sequence[str], text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words) -> DataFrame:
-    """All experiments in one scan: a document is read once and its token lists are exploded."""
-    own = [F.struct(F.lit(c.name).alias("exp_id"), kept_tokens(tokenizer(clean(tx.text_of(text), c, lists)), lists.removed(c)).alias("tokens")) for c in grid]
-    return docs.select(*keys, F.explode(F.array(*own)).alias("__x")).select(*keys, "__x.*")
+def _cleanings(grid: Sequence[Config]) -> list[list[Config]]:
+    """Experiments that clean alike, and so share their tokens."""
+    alike: dict[tuple, list[Config]] = {}
+    for c in grid:
+        alike.setdefault((c.names, c.numbers, c.lines), []).append(c)
+    return [*alike.values()]
+
 
+def _named(cleanings: Sequence[Sequence[Config]], k: Column) -> Column:
+    """The experiments of cleaning k."""
+    return F.create_map(*(x for i, configs in enumerate(cleanings) for x in (F.lit(i), F.array(*(F.lit(c.name) for c in configs)))))[k]
 
-def grid_summary(tokenized: DataFrame, places: int = 4) -> DataFrame:
-    """Average tokens, coverage and vocabulary of each experiment."""
-    sizes = tokenized.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg(F.size("tokens")), places).alias("avg_tokens"), F.round(F.avg((F.size("tokens") > 0).cast("double")) * 100, places).alias("coverage_pct"))
-    kinds = tokenized.select("exp_id", F.explode("tokens").alias("token")).groupBy("exp_id").agg(F.countDistinct("token").alias("vocab_size"))
-    return sizes.join(kinds, "exp_id", "left").fillna(0, ["vocab_size"])
+
+def run_grid(docs: DataFrame, keys: Sequence[str], text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words) -> DataFrame:
+    """keys, exp_id, tokens of all experiments in one scan; those that clean alike share the tokenizing."""
+    alike = _cleanings(grid)
+    own = [F.struct(F.lit(k).alias("k"), tokenizer(clean(tx.text_of(text), configs[0], lists)).alias("t")) for k, configs in enumerate(alike)]
+    rows = docs.select(*keys, F.explode(F.array(*own)).alias("__x")).select(*keys, "__x.t", F.explode(_named(alike, F.col("__x.k"))).alias("exp_id"))
+    tokens = F.lit(None)
+    for c in grid:
+        tokens = F.when(F.col("exp_id") == c.name, kept_tokens(F.col("t"), lists.removed(c))).otherwise(tokens)
+    return rows.select(*keys, "exp_id", tokens.alias("tokens"))
+
+
+#: Begins the names of a count that aren't tokens; no tokenizer gives it.
+MARK = "\x00"
+
+
+def grid_counts(docs: DataFrame, text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words, least: int = 2) -> DataFrame:
+    """exp_id, token, n of all experiments, from one scan and one aggregate; the token MARK counts documents, MARK + exp_id those that keep a token.
+
+    Experiments that clean alike share their token lists: stop words go after the counting, from
+    distinct tokens. A document adds a mark for each experiment that leaves it a token.
+    """
+    alike = _cleanings(grid)
+    own = [F.struct(F.lit(k).alias("k"), _with_marks(tokenizer(clean(tx.text_of(text), configs[0], lists)), {c.name: lists.removed(c) for c in configs}, least).alias("t")) for k, configs in enumerate(alike)]
+    counts = docs.select(F.explode(F.array(*own)).alias("__x")).select("__x.k", F.explode("__x.t").alias("token")).groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select(F.explode(_named(alike, F.col("k"))).alias("exp_id"), "token", "n")
+    is_mark = F.col("token").startswith(MARK)
+    removed = F.lit(False)
+    for c in grid:
+        if lists.removed(c):
+            removed = removed | ((F.col("exp_id") == c.name) & F.col("token").isin(lists.removed(c)))
+    own_mark = (F.col("token") == MARK) | (F.col("token") == F.concat(F.lit(MARK), "exp_id"))
+    return rows.where(F.when(is_mark, own_mark).otherwise((F.length("token") >= least) & ~removed))
+
+
+def _with_marks(tokens: Column, removed: dict[str, Sequence[str]], least: int) -> Column:
+    """A document's tokens, MARK, and MARK with the name of each experiment that keeps one of them."""
+    kept = lambda out: lambda t: (F.length(t) >= least) & ~t.isin([*out]) if out else F.length(t) >= least
+    marks = F.array(F.lit(MARK), *(F.when(F.exists(tokens, kept(out)), F.lit(MARK + name)) for name, out in removed.items()))
+    return F.concat(tokens, F.filter(marks, lambda m: m.isNotNull()))
+
+
+def grid_tokens(counts: DataFrame) -> DataFrame:
+    """exp_id, token, n without the documents' marks."""
+    return counts.where(~F.col("token").startswith(MARK))
+
+
+def grid_sizes(counts: DataFrame, places: int = 4, *more: Column) -> DataFrame:
+    """n_docs, average tokens, coverage and vocabulary of each experiment, and more aggregates over exp_id, token, n; no rows without documents."""
+    is_mark = F.col("token").startswith(MARK)
+    n_docs, covered = F.sum(F.when(F.col("token") == MARK, F.col("n"))), F.coalesce(F.sum(F.when(is_mark & (F.col("token") != MARK), F.col("n"))), F.lit(0))
+    total = F.coalesce(F.sum(F.when(~is_mark, F.col("n"))), F.lit(0))
+    return counts.groupBy("exp_id").agg(n_docs.alias("n_docs"), F.round(total / n_docs, places).alias("avg_tokens"), F.round(covered / n_docs * 100, places).alias("coverage_pct"), F.count(F.when(~is_mark, 1)).alias("vocab_size"), *more)
 
 
 def token_log(tokenized: DataFrame, keys: Sequence[str], seeds: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import documents, panels, statistics
+from . import comparisons, documents, panels, statistics
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents", "panels", "statistics"]
+__all__ = ["QUERIES", "SQL", "comparisons", "documents", "panels", "statistics"]

@@ -110,8 +110,8 @@ def conversation_document(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n_docs, " + ", ".join(f"sum(CASE WHEN lang = '{k}' THEN length(text) END)::BIGINT AS chars_{k}" for k in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source")
 def section_text_pivot(spark, sf_dir):
-    rows = docs(spark, sf_dir).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
-    return rows.select("source", sum((F.coalesce(f"{k}_n", F.lit(0)) for k in ("de", "en", "es", "fr")), F.lit(0)).cast("bigint").alias("n_docs"), *(F.col(f"{k}_chars").alias(f"chars_{k}") for k in ("de", "en", "es", "fr")))
+    chars = (F.sum(F.when(F.col("lang") == k, F.length("text"))).alias(f"chars_{k}") for k in ("de", "en", "es", "fr"))
+    return docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *chars)
 
 
 HTML_LINES = r"""string_split_regex({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"""
@@ -190,12 +190,12 @@ GRID_SQL = "grid AS (" + " UNION ALL ".join(map(_config_sql, tokens.GRID)) + "),
 
 
 def grid(spark, sf_dir):
-    return tokens.run_grid(docs(spark, sf_dir), ["doc_id"], "text", tokens.GRID, LISTS)
+    return tokens.grid_counts(docs(spark, sf_dir), "text", tokens.GRID, LISTS)
 
 
 @query(f"WITH {GRID_SQL}, s AS (SELECT exp_id, count(*) AS n_docs, round(avg(len(t)), 4) AS avg_tokens, round(avg(CASE WHEN len(t) > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 4) AS coverage_pct FROM grid GROUP BY 1), k AS (SELECT exp_id, count(DISTINCT token) AS vocab_size FROM gl GROUP BY 1) SELECT s.*, vocab_size FROM s JOIN k USING (exp_id)")
 def experiment_grid(spark, sf_dir):
-    return tokens.grid_summary(grid(spark, sf_dir))
+    return tokens.grid_sizes(grid(spark, sf_dir))
 
 
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY doc_id LIMIT 60")
@@ -244,12 +244,14 @@ def idf_bands(spark, sf_dir):
     return audit.idf_bands(audited(spark, sf_dir))
 
 
-MANUAL = "CASE WHEN token IN ('by', 'en') THEN 'GENERIC' WHEN token = 'and' THEN 'ESG_SIGNAL' WHEN length(token) = 2 THEN ' ' ELSE NULL END"
+MANUAL = "CASE WHEN token IN ('by', 'en') THEN 'GENERIC' WHEN token = 'and' THEN 'ESG_SIGNAL' WHEN token IN ('to', 'er', 'by') THEN ' boilerplate' WHEN length(token) = 2 THEN ' ' ELSE NULL END"
 
 
-@query(f"WITH {AUDIT}, m AS (SELECT *, {MANUAL} AS manual_class FROM au), k AS (SELECT token, CASE WHEN auto_hint = 'preserve' AND coalesce(manual_class, '') IN ('BOILERPLATE', 'GENERIC') THEN 'preserve_removed' WHEN auto_hint = 'boilerplate' AND coalesce(manual_class, '') IN ('G_SIGNAL', 'ESG_SIGNAL') THEN 'boilerplate_kept' END AS conflict, auto_hint, manual_class FROM m) SELECT * FROM k WHERE conflict IS NOT NULL")
+@query(f"""WITH {AUDIT}, m AS (SELECT *, {MANUAL} AS manual_class, upper(trim(coalesce({MANUAL}, ''))) AS c FROM au),
+    k AS (SELECT token, auto_hint, manual_class, unnest([CASE WHEN c = 'BOILERPLATE' AND token IN ({q(RULES.preserve)}) THEN 'preserve_vs_boilerplate' END, CASE WHEN c IN ('G_SIGNAL', 'ESG_SIGNAL') AND token IN ({q(RULES.boilerplate)}) THEN 'signal_in_stopwords' END, CASE WHEN c = 'BOILERPLATE' AND token NOT IN ({q(RULES.boilerplate)}) THEN 'boilerplate_not_removed' END]) AS conflict FROM m)
+    SELECT token, conflict, auto_hint, manual_class FROM k WHERE conflict IS NOT NULL""")
 def audit_conflicts(spark, sf_dir):
-    return audit.conflicts(audited(spark, sf_dir).withColumn("manual_class", F.expr(MANUAL)))
+    return audit.conflicts(audited(spark, sf_dir).withColumn("manual_class", F.expr(MANUAL)), RULES)
 
 
 @query(f"WITH {AUDIT} SELECT coalesce(CAST(floor(quantile_cont(round(df * exp(idf)), 0.5)) AS BIGINT), 30) AS n_docs FROM au WHERE idf > 0.01 AND df > 0")
@@ -310,10 +312,10 @@ def lexicon_ratios(spark, sf_dir):
     return ratios(spark, sf_dir)
 
 
-def _tfidf_sql(min_df: int, limit: int | None, sublinear: bool) -> str:
+def _tfidf_sql(min_df: int, limit: int | None, sublinear: bool, max_df: float = 1.0) -> str:
     tf = "1 + ln(c.n::DOUBLE)" if sublinear else "c.n::DOUBLE"
     return f"""{TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tl GROUP BY 1, 2), nd AS (SELECT count(*) AS nd FROM documents),
-    v AS (SELECT token, ln((1.0::DOUBLE + any_value(nd)) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM c, nd GROUP BY 1 HAVING count(*) >= {min_df} ORDER BY sum(n) DESC, token {f'LIMIT {limit}' if limit else ''}),
+    v AS (SELECT token, ln((1.0::DOUBLE + any_value(nd)) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM c, nd GROUP BY 1 HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * any_value(nd) ORDER BY sum(n) DESC, token {f'LIMIT {limit}' if limit else ''}),
     raw AS (SELECT doc_id, token, ({tf}) * idf AS w FROM c JOIN v USING (token)), w AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
 
 
@@ -360,7 +362,7 @@ RANKED = f"{GRID_SQL}, ct AS (SELECT exp_id, token, count(*) AS tf FROM gl GROUP
 
 @query(f"WITH {RANKED} SELECT exp_id, rank, token, tf, token_class FROM tp")
 def eval_ranked_tokens(spark, sf_dir):
-    return evaluate.ranked(tokens.token_rows(grid(spark, sf_dir), ["exp_id"]), LEXICONS)
+    return evaluate.ranked(grid(spark, sf_dir), LEXICONS)
 
 
 METRICS = f"""{RANKED}, s AS (SELECT exp_id, round(avg(len(t)), 4) AS avg_tokens FROM grid GROUP BY 1),
@@ -374,6 +376,11 @@ def eval_metrics(spark, sf_dir):
     return evaluate.metrics(grid(spark, sf_dir), LEXICONS, LISTS.protect)
 
 
+@query(f"WITH {METRICS} SELECT exp_id, protect_pct, CASE WHEN protect_pct >= 80 THEN 'PASS' ELSE 'WARN' END AS status FROM me")
+def eval_status(spark, sf_dir):
+    return evaluate.status(evaluate.metrics(grid(spark, sf_dir), LEXICONS, LISTS.protect)).select("exp_id", "protect_pct", "status")
+
+
 D_COLUMNS = ["avg_tokens", "bp_rate", "signal_rate"]
 
 

@@ -353,7 +353,7 @@ def rank_trend(spark, sf_dir):
 
 @query(f"WITH {GRID_SQL}, s AS (SELECT exp_id, avg(len(t)) AS m FROM grid GROUP BY 1), b AS (SELECT m AS bm FROM s WHERE exp_id = 'exp_B') SELECT exp_id, round(m, 4) AS mean_tokens, round((bm - m) / bm * 100, 4) AS loss_pct FROM s, b")
 def variant_diagnostics(spark, sf_dir):
-    s = grid(spark, sf_dir).groupBy("exp_id").agg(F.avg(F.size("tokens")).alias("m"))
+    s = tokens.grid_sizes(grid(spark, sf_dir), 12).select("exp_id", F.col("avg_tokens").alias("m"))
     base = s.where("exp_id = 'exp_B'").select(F.col("m").alias("bm"))
     return s.join(F.broadcast(base)).select("exp_id", F.round("m", 4).alias("mean_tokens"), F.round((F.col("bm") - F.col("m")) / F.col("bm") * 100, 4).alias("loss_pct"))
 
@@ -367,10 +367,4 @@ def stop_list_lineage(spark, sf_dir):
     return panel.universe(own(INLINE), own(OFFICIAL), ["term"])
 
 
-@query(f"WITH {PANEL}, r AS ({rho_sql(long_sql(''), 'feature')}) SELECT feature, n, {EFFECT} AS effect, coalesce(abs(rho) >= 0.1, false) AS supports FROM r")
-def evidence_matrix(spark, sf_dir):
-    r = rank_stats.spearman(long(spark, sf_dir, []), ["feature"])
-    return r.select("feature", "n", effect_label(F.col("rho")).alias("effect"), F.coalesce(F.abs("rho") >= 0.1, F.lit(False)).alias("supports"))
-
-
 assert tokens.GRID[1].name == "exp_B"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 ENCODINGS = ("utf-8", "euc-kr", "cp949")
+#: Of a member, unpacked: what a task holds at once.
+MOST_BYTES = 1 << 28
 SCHEMA = "path string, member string, text string, reason string"
 
 
@@ -42,9 +45,14 @@ def open_archive(data: bytes, rcept_no: str | None = None, least: int = 0) -> tu
         return None, None, "NOT_AN_ARCHIVE"
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            member = main_member({i.filename: i.file_size for i in z.infolist()}, rcept_no)
-            return (member, decode(z.read(member)), None) if member else (None, None, "NO_MARKUP")
-    except (zipfile.BadZipFile, RuntimeError, OSError):
+            sizes = {i.filename: i.file_size for i in z.infolist()}
+            member = main_member(sizes, rcept_no)
+            if not member:
+                return None, None, "NO_MARKUP"
+            if sizes[member] > MOST_BYTES:
+                return None, None, "TOO_LARGE"
+            return member, decode(z.read(member)), None
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError):
         return None, None, "BAD_ARCHIVE"
 
 

@@ -33,7 +33,7 @@ def read_first(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
 
 def number(c: Column, kind: str = "int") -> Column:
     """Coerced; null where it isn't a number."""
-    return c.try_cast("double").cast(kind) if kind != "double" else F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    return c.try_cast("double").try_cast(kind) if kind != "double" else F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def read_ratings(raw: DataFrame, grades: dict[str, int], key_width: int = 6) -> DataFrame:
@@ -72,3 +72,46 @@ def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str], order: Sequen
     """Rows whose key isn't done yet; the first `batch` of them in key order."""
     left = todo.join(done.select(*keys).distinct(), [*keys], "left_anti")
     return left if batch is None else left.orderBy(*(order or keys)).limit(batch)
+
+
+def key_lookup(rows: DataFrame, key: str, names: DataFrame, name_key: str, value: str, *order: Column) -> DataFrame:
+    """rows with the value of the first match of their key; null where there is none."""
+    first = latest_per_key(names.where(F.col(name_key).isNotNull()), [name_key], *order).select(F.col(name_key).alias("__key"), value)
+    return rows.join(first, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+def id_map_check(mapped: DataFrame, value: str) -> DataFrame:
+    """One row: how many rows a mapping leaves without a value; PASS if none."""
+    missing = F.count(F.when(F.col(value).isNull(), 1))
+    return mapped.agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("n_missing"), F.when(missing == 0, "PASS").otherwise("FAIL").alias("status"))
+
+
+def filed_in_window(index: DataFrame, filed: str, fiscal_year: str, last: tuple[int, int] = (6, 30)) -> DataFrame:
+    """Filings made from the first day of the year after the fiscal year up to `last` (month, day) of it."""
+    year = F.col(fiscal_year).cast("int") + 1
+    day = F.to_date(filed)
+    return index.where((day >= F.make_date(year, F.lit(1), F.lit(1))) & (day <= F.make_date(year, F.lit(last[0]), F.lit(last[1]))))
+
+
+def corrected_filing(index: DataFrame, keys: Sequence[str], fiscal_year: str) -> DataFrame:
+    """Of each key the filing on its fiscal year: corrections before originals before attachments, then by date."""
+    name = F.col("report_nm")
+    kind = F.when(name.contains("기재정정"), 0).when(name.contains("첨부정정"), 2).otherwise(1)
+    usable = index.where(name.contains("사업보고서") & F.contains(name, F.concat(F.lit("("), F.col(fiscal_year).cast("string"), F.lit(".12)"))))
+    return latest_per_key(usable, keys, kind.asc(), F.col("rcept_dt").asc(), F.col("rcept_no").asc())
+
+
+def tokenized_rows(raw: DataFrame, key_width: int = 6) -> DataFrame:
+    """Stored token texts: stock_code zero-filled, fiscal_year an int, joined_text never null."""
+    return raw.withColumns({"stock_code": zfill(strip(F.col("stock_code")), key_width), "fiscal_year": number(F.col("fiscal_year")), "joined_text": F.coalesce("joined_text", F.lit(""))})
+
+
+def company_names(companies: DataFrame) -> DataFrame:
+    """corp_name of all companies that have one, each once."""
+    return companies.select(strip(F.col("corp_name")).alias("corp_name")).where(F.length("corp_name") > 0).distinct()
+
+
+def seed_dictionary(raw: DataFrame) -> DataFrame:
+    """dimension, seed, pattern (literals apart by |) of a seed dictionary; a pattern left out is the seed itself."""
+    seed = strip(F.col("seed"))
+    return raw.select(F.upper(strip(F.col("dimension"))).alias("dimension"), seed.alias("seed"), F.coalesce(F.nullif(strip(F.col("pattern")), F.lit("")), seed).alias("pattern")).where(F.length("seed") > 0)
