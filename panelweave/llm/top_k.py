@@ -35,7 +35,8 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray) -> None:
         self.x = x
-        self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         points, radii, self.children = [], [], []
         waiting = [(0, np.arange(1, len(x)), None, -1)]
         while waiting:
@@ -50,7 +51,7 @@ class CoverTree:
                 self.children[parent].append(node)
             if not len(members):
                 continue
-            if not radii[node]:  # equal points: a leaf each
+            if not 0 < radii[node] < np.inf:  # equal points, or too far apart to be measured: a leaf each
                 waiting.extend((int(m), members[:0], far[:0], node) for m in (centre, *members))
                 continue
             half = radii[node] / 2
@@ -69,8 +70,9 @@ class CoverTree:
         self.leaf = np.array([not c for c in self.children])
 
     def _far(self, centre: int, members: np.ndarray) -> np.ndarray:
-        gap = self.x[members] - self.x[centre]
-        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = self.x[members] - self.x[centre]
+            return np.nan_to_num(np.sqrt(np.einsum("ij,ij->i", gap, gap)), nan=np.inf, posinf=np.inf)
 
     def below(self, nodes: np.ndarray) -> np.ndarray:
         """Leaves among nodes, and the children of the others."""
@@ -119,7 +121,9 @@ class Search:
         """Data nodes that may hold a result for any of the query nodes."""
         q, d = self.tree, self.data
         a, b = q.point[queries], d.point[nodes]
-        bound = q.x[a] @ d.x[b].T + q.norm[a][:, None] * d.radius[nodes] + q.radius[queries][:, None] * (d.norm[b] + d.radius[nodes])
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = q.x[a] @ d.x[b].T + q.norm[a][:, None] * d.radius[nodes] + q.radius[queries][:, None] * (d.norm[b] + d.radius[nodes])
+            bound = np.where(np.isnan(bound), np.inf, bound)
         return nodes[(bound * (1 + 1e-12) + 1e-3 >= np.reshape(worst, (-1, 1))).any(axis=0)]
 
     def _base(self, queries: np.ndarray, nodes: np.ndarray) -> None:
@@ -132,7 +136,9 @@ class Search:
             nodes = nodes[~leaf]
             if len(nodes):
                 b = d.point[nodes]
-                bound = q.x[queries] @ d.x[b].T + q.norm[queries][:, None] * d.radius[nodes]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    bound = q.x[queries] @ d.x[b].T + q.norm[queries][:, None] * d.radius[nodes]
+                    bound = np.where(np.isnan(bound), np.inf, bound)
                 nodes = d.below(nodes[(bound + 1e-3 >= self.worst[queries][:, None]).any(axis=0)])
 
     def _take(self, queries: np.ndarray, points: np.ndarray) -> None:
