@@ -4,7 +4,8 @@ Three kinds are found by pattern alone: an assignment to a password-like name, a
 and a long run of hex digits. Others are reported only when their content confirms them: a base64
 or hex run is decoded and must parse, to its last byte and with every nested length right, as a
 private key (DER shapes of PKCS#1, PKCS#8, SEC1, DSA and encrypted PKCS#8, or the length-prefixed
-OpenSSH container); a PEM block must hold one; a signed token must have a JSON header that names its
+OpenSSH container), in either base64 alphabet, wrapped over lines or not; a PEM block must hold one, or the whole cipher
+blocks of a legacy encrypted one; a signed token must have a JSON header that names its
 algorithm, and a JSON payload.
 
 Spans count code points, end exclusive. Defined results: a null or empty text has none; repeated
@@ -17,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,9 +33,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){40,}(?![0-9A-Fa-f])")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: A run of base64 of either alphabet; full lines may follow each other, and a last short one.
+LINE = "[A-Za-z0-9+/_-]"
+BASE64 = re.compile(rf"(?<!{LINE}){LINE}{{44,}}(?:(?:\r?\n{LINE}{{44,}})*(?:\r?\n{LINE}{{1,76}})?)={{0,2}}")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
+ENCRYPTED = re.compile(r"\s*Proc-Type:\s*4,ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]+\s")
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
@@ -117,6 +122,54 @@ def is_signed_token(run: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
+def key_kind(data: bytes | None) -> str | None:
+    if not data:
+        return None
+    return "der" if is_private_der(data) else "ssh" if is_openssh(data) else None
+
+
+def pem_blocks(text: str) -> list[tuple[int, int, bool]]:
+    """Start, end of each block, and whether a key is in it. A block ends before the next one begins, so each part is read once."""
+    begins, out = [*PEM.finditer(text)], []
+    for k, m in enumerate(begins):
+        end = f"-----END {m[1]}-----"
+        limit = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        at = text.find(end, m.end(), limit)
+        if at >= 0:
+            body = text[m.end() : at].replace("\\n", "\n")
+            sealed = ENCRYPTED.match(body)
+            data = decoded("".join((body[sealed.end() :] if sealed else body).split()))
+            # a legacy encrypted key has no shape, but whole blocks of its cipher
+            good = bool(data) and len(data) >= 32 and len(data) % 8 == 0 if sealed else key_kind(data) is not None
+            out.append((m.start(), at + len(end), good))
+    return out
+
+
+def base64_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in runs of base64: of all lines of a run, without its last one, or of a line by itself."""
+    for m in BASE64.finditer(text):
+        run = m[0]
+        lines = [*re.finditer(r"[^\r\n]+", run)]
+        tries = [(0, len(run))]
+        if len(lines) > 1:
+            tries += [(0, lines[-2].end()), *(x.span() for x in lines)]
+        for a, b in tries:
+            if kind := key_kind(decoded("".join(run[a:b].split()))):
+                yield kind, m.start() + a, m.start() + b
+                if (a, b) in tries[:2]:
+                    break
+
+
+def hex_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in runs of hex digits; of an odd run, without its last or its first digit."""
+    for m in LONG_HEX.finditer(text):
+        run = m[0]
+        for a, b in [(0, len(run))] if len(run) % 2 == 0 else [(0, len(run) - 1), (1, len(run))]:
+            if kind := key_kind(bytes.fromhex(run[a:b])):
+                yield kind, m.start() + a, m.start() + b
+                break
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start and then by the order of KINDS."""
     found: list[tuple[str, int, int]] = []
@@ -128,21 +181,13 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "ey" in text:
         found += [("jwt", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    blocks = []
-    if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            blocks.append(m.span())
-            body = "".join(x for x in m[2].replace("\\n", "\n").split() if ":" not in x)
-            data = decoded(body)
-            if data and (is_private_der(data) or is_openssh(data)):
-                found.append(("pem", *m.span()))
-    runs = [(m, decoded(m[0])) for m in BASE64.finditer(text)] + [(m, bytes.fromhex(m[0])) for m in LONG_HEX.finditer(text)]
-    for m, data in runs:
-        if data and not any(a <= m.start() < b for a, b in blocks):
-            if is_private_der(data):
-                found.append(("der", *m.span()))
-            elif is_openssh(data):
-                found.append(("ssh", *m.span()))
+    blocks = pem_blocks(text) if "-----BEGIN" in text else []
+    found += [("pem", a, b) for a, b, good in blocks if good]
+    starts = [a for a, _, _ in blocks]
+    for kind, a, b in [*base64_keys(text), *hex_keys(text)]:
+        at = bisect_right(starts, a) - 1
+        if at < 0 or a >= blocks[at][1]:
+            found.append((kind, a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
