@@ -8,7 +8,9 @@ sequences than the tokens need, against 3.2 % where new bins compete with open o
 
 Only lengths are packed. Pieces are dealt by a hash into groups of about `group_pieces`, packed one
 group per task. The bins that a group leaves with a gap of more than `slack` are opened again: their
-pieces go on to groups of groups, until one group is left; a full bin's pieces never move twice.
+pieces are dealt anew into groups of that size, until one group is left or no more than half of the pieces could be
+placed (lengths above half the capacity fit nowhere, however often they move); a full bin's pieces never move twice.
+So no task packs many more than `group_pieces`.
 
 Defined results: a null or empty text is the end id alone; longer documents than the capacity are
 cut into full pieces but for the first; equal rows are packed one by one; other columns take no part;
@@ -81,7 +83,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(gaps, dtype=np.int32)[bins]
 
 
-def place(pieces: DataFrame, capacity: int = 1024, group_pieces: int = 50_000, slack: int = 8, fan_in: int = 16) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, group_pieces: int = 50_000, slack: int = 8) -> DataFrame:
     """piece_id, sequence_id, offset for pieces (piece_id, length), length at most capacity."""
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -92,19 +94,20 @@ def place(pieces: DataFrame, capacity: int = 1024, group_pieces: int = 50_000, s
     # full pieces are sequences by themselves, under their own numbers; packed ones get negative numbers
     out = pieces.where(F.col("length") >= capacity).select("piece_id", F.col("piece_id").alias("sequence_id"), F.lit(0).alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("piece_id", "length")
-    groups, level = -(-rest.count() // group_pieces), 0
-    rest = rest.withColumn("g", F.pmod(F.xxhash64("piece_id"), F.lit(max(1, groups))))
-    while groups:
+    left, level = rest.count(), 0
+    while left:
+        groups = -(-left // group_pieces)
+        rest = rest.select("piece_id", "length", F.pmod(F.xxhash64(F.lit(level), "piece_id"), F.lit(groups)).alias("g"))
         packed = materialize(rest.groupBy("g").applyInPandas(pack, "g bigint, piece_id bigint, length int, bin int, offset int, gap int"), "packed")
         level += 1
-        kept = packed if groups == 1 else packed.where(F.col("gap") <= slack)
+        rest = packed.where(F.col("gap") > slack)
+        before, left = left, rest.count() if groups > 1 else 0
+        if left > before / 2:
+            left = 0
+        kept = packed.where(F.col("gap") <= slack) if left else packed
         # 7 bits of level, 25 of group and 31 of bin
         number = F.lit(-(level << 56)) - F.col("g") * (1 << 31) - F.col("bin")
         out = out.unionByName(kept.select("piece_id", number.alias("sequence_id"), "offset"))
-        if groups == 1:
-            break
-        rest = packed.where(F.col("gap") > slack).select("piece_id", "length", F.floor(F.col("g") / fan_in).alias("g"))
-        groups = -(-groups // fan_in)
     return out
 
 
