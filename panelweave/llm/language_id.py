@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, small_batches, texts
+from .common import bound_batches, materialize, small_batches, texts
 
 STRETCH = 256
 PAD = 0x20
@@ -189,15 +189,17 @@ def pooled(model: Model, rows: list[bytes], core: int = 192, margin: int = 16, a
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most_languages: int = 64, **how) -> Model | None:
-    """A model of the labelled rows that `allowed` admits."""
+def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most_rows: int = 60_000, **how) -> Model | None:
+    """A model of the labelled rows that `allowed` admits: up to `per_language` of each label, and about `most_rows` of all (4 of each label at least)."""
     rows = docs.where(allowed) if allowed is not None else docs
     rows = rows.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    top = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "__lang").limit(most_languages)
-    kept = [r["__lang"] for r in top.collect()]
+    counts = materialize(rows.groupBy(F.col(lang_col).alias("__of")).agg(F.count(F.lit(1)).alias("__n")), "labels")
+    take = max(4, min(per_language, most_rows // max(1, counts.count())))
     h = F.xxhash64(F.lit("language sample"), F.col(id_col))
-    ids = rows.where(F.col(lang_col).isin(kept)).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), h.alias("h"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("__lang").orderBy("h", "__id"))).where(F.col("k") <= per_language).select("__id", "__lang")
+    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), h.alias("h")).join(counts, F.col("__lang") == F.col("__of"))
+    # a few times what is taken meets in a window, however frequent the label
+    ids = ids.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) * F.col("__n") < 4 * take + 40)
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("__lang").orderBy("h", "__id"))).where(F.col("k") <= take).select("__id", "__lang")
     parts = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), F.greatest(F.lit(1), F.length(text_col) - STRETCH)) + 1).cast("int"), F.lit(STRETCH)) for k in range(4)]
     chosen = rows.join(F.broadcast(ids), (rows[id_col] == F.col("__id")) & (rows[lang_col] == F.col("__lang")))
     got = sorted({(r["__lang"], x) for r in chosen.select("__lang", F.array(*parts).alias("x")).collect() for x in r["x"]})
