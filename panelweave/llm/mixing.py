@@ -31,17 +31,16 @@ def source_targets(sized: DataFrame, weights: list[float], share: float, most: f
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     sources = materialize(sources.withColumn("weight", weight).coalesce(1), "sources")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, full = None, F.lit(False)
-    while True:  # each round fills one source more at least
-        got = sources.agg(F.sum(F.when(full, F.col("source_size") * most).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
-        if not got["open"] or got["open"] <= 0:
-            break
-        now = (share * total - got["held"]) / got["open"]
-        if level is not None and now <= level:
-            break
-        level, full = now, F.col("weight") * now > F.col("source_size") * most
-    target = F.least(F.col("weight") * (level or 0.0), F.col("source_size") * most)
+    # sources fill up in this order as the level rises: the level is that of the first one it doesn't fill
+    fills = F.col("source_size") * most / F.col("weight")
+    order = Window.orderBy(fills, F.col("source").asc_nulls_last())
+    held = F.coalesce(F.sum(F.col("source_size") * most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = (share * F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - held) / open_
+    steps = sources.select(fills.alias("fills"), "source", level.alias("level")).where("level <= fills")
+    found = steps.orderBy("fills", F.col("source").asc_nulls_last()).select("level").first()
+    full = F.col("source_size") * most
+    target = full if found is None else F.least(F.col("weight") * found["level"], full)
     return materialize(sources.select("source", "n_docs", "source_size", target.alias("target")), "targets")
 
 
