@@ -188,11 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(materialize(chosen, "chosen")), "__id")
     chosen = materialize(chosen.dropDuplicates(["__id"]), "sample")
-    learned = _learned_words(chosen, most_words)
+    # the third that calibrates takes no part in choosing words
+    third = F.pmod(F.xxhash64(F.lit("calibration"), F.col("__id")), F.lit(3)) == 0
+    learned = _learned_words(chosen.where(~third), most_words)
     table = chosen.select("__id", "toxic", "text").mapInArrow(lambda b: _feature_rows(b, learned), f"__id {dict(chosen.dtypes)['__id']}, toxic int, f array<double>")
-    got = sorted(table.select(F.xxhash64("__id").alias("h"), "toxic", "f").collect())
+    got = sorted(table.select(F.xxhash64("__id").alias("h"), "toxic", "f", third.alias("third")).collect())
     x, y = np.array([r["f"] for r in got]), np.array([r["toxic"] for r in got], dtype=float)
-    calibrates = np.arange(len(y)) % 3 == 0
+    calibrates = np.array([r["third"] for r in got], dtype=bool)
     if len({*y[~calibrates]}) < 2 or len({*y[calibrates]}) < 2:
         calibrates = np.zeros(len(y), bool)
     model = boost(x[~calibrates], y[~calibrates])
