@@ -50,6 +50,12 @@ def test_cover_tree_covers():
     assert sorted(points[0].tolist()) == list(range(300))
 
 
+def test_huge_components_end(spark):
+    x = np.array([[1e200, 0.0], [-1e200, 1.0], [1.0, 1e308], [1.0, -1e308], [2.0, 3.0]])
+    tree = top_k.CoverTree(x)
+    assert sorted(tree.point[tree.leaf].tolist()) == [0, 1, 2, 3, 4]
+
+
 def test_top_k_edges(spark):
     rows = [(0, [0.5, 0.5], 1), (1, [0.5, 0.25], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [None, 1.0], 1), (5, [float("inf"), 0.0], 1), (None, [1.0, 1.0], 1), (6, [0.25], 1), (7, [], 1), (1, [0.5, 0.25], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,30 @@ def test_structure_rejects():
     assert kinds("an-ordinary.sentence.here and eyes.wide.shut") == []
 
 
+def test_structure_in_other_forms():
+    wrap = lambda x, n=64: "\n".join(x[k : k + n] for k in range(0, len(x), n))
+    plain = base64.b64encode(PKCS8).decode()
+    assert kinds(base64.urlsafe_b64encode(bytes(PKCS8)).decode()) == ["der"]
+    assert kinds("key:\n" + wrap(plain) + "\nthat was it") == ["der"]
+    assert secrets.spans("é\n" + wrap(plain))[0] == ("der", 2, 2 + len(wrap(plain)))
+    assert kinds(plain + "\nnext") == ["der"]
+    assert kinds(PKCS1.hex() + "a") == ["der"] or "der" in kinds(PKCS1.hex() + "a")
+    assert "der" in kinds("a" + PKCS1.hex())
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(sealed.format(wrap(base64.b64encode(b"k" * 64).decode()))) == ["pem"]
+    assert kinds(sealed.format(wrap(base64.b64encode(b"k" * 61).decode()))) == []
+    # a block that never ends, then a whole one
+    whole = "-----BEGIN PRIVATE KEY-----\n" + wrap(plain) + "\n-----END PRIVATE KEY-----"
+    assert secrets.spans("-----BEGIN PRIVATE KEY-----\n" + whole)[0] == ("pem", 28, 28 + len(whole))
+
+
+def test_long_texts_take_linear_time():
+    began = time.process_time()
+    for text in ("-----BEGIN PRIVATE KEY-----\n" * 40_000, "A" * 10**6, ("A" * 64 + "\n") * 15_000, "f" * (10**6 + 1), "ey" + "a" * 10**6, "-----BEGIN " + "A " * 500_000, "token = " * 100_000):
+        secrets.spans(text)
+    assert time.process_time() - began < 60
+
+
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
@@ -101,6 +126,12 @@ def test_line_dedup_keeps_the_first(spark):
         line_dedup.dedup(table, keep="last")
 
 
+def test_rows_that_share_an_id_are_documents(spark):
+    table = spark.createDataFrame([(1, "a long line\nx")] * 12 + [(2, "y")], "doc_id long, text string")
+    got = line_dedup.dedup(table, min_docs=12, min_chars=2, keep="none").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "x")] * 12 + [(2, "y")]
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     m = language_id.new_model(["a", "b", "c"], 4, rng)
@@ -130,6 +161,12 @@ def test_language_edges(spark):
     assert language_id.predict(table.select("text"), None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, chr(0x61 + k % 26) * 3 + chr(0x61 + k // 26) * 3 + " text", f"l{k}") for k in range(70)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2)
+    assert sorted(model.languages) == sorted(f"l{k}" for k in range(70))
+
+
 def test_pooling_covers_every_byte():
     m = language_id.new_model(["a", "b"], 4, np.random.default_rng(1))
     text = bytes(np.random.default_rng(2).integers(32, 120, 1000).astype(np.uint8))

@@ -89,11 +89,11 @@ def test_pieces_and_sequences(spark):
     assert all(len(r["ids"]) == 4 * r["length"] for r in packed)
 
 
-def test_groups_are_packed_up_a_tree(spark):
+def test_groups_are_packed_level_by_level(spark):
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 1024, 4000)
     pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "piece_id long, length int")
-    got = packing.place(pieces, 1024, group_pieces=500, fan_in=4).join(pieces, "piece_id").collect()
+    got = packing.place(pieces, 1024, group_pieces=500).join(pieces, "piece_id").collect()
     assert len(got) == 4000
     fill = defaultdict(int)
     for r in got:
@@ -102,6 +102,18 @@ def test_groups_are_packed_up_a_tree(spark):
     assert len(fill) <= 1.02 * lengths.sum() / 1024
 
 
+def test_long_pieces_stay_in_their_groups(spark, monkeypatch):
+    """Lengths of which no two fit together are packed once, in groups of the size asked for."""
+    written = []
+    real = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    pieces = spark.range(6000).selectExpr("id as piece_id", "cast(600 as int) as length")
+    got = packing.place(pieces, 1024, group_pieces=500).collect()
+    assert len({r["sequence_id"] for r in got}) == 6000 and {r["offset"] for r in got} == {0}
+    assert len(written) == 1
+    assert max(r["count"] for r in written[0].groupBy("g").count().collect()) < 1000
+
+
 def test_packing_of_nothing(spark):
     pieces, places = packing.pack(table(spark)[0].where("doc_id = -1"))
     assert pieces.count() == places.count() == 0
