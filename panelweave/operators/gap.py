@@ -18,14 +18,15 @@ def line(rows: DataFrame, y: str, x: str, group: Sequence[str] = ()) -> DataFram
 def orthogonal(rows: DataFrame, y: str, x: str, name: str, group: Sequence[str] = ()) -> DataFrame:
     """rows with y less what x explains of it: null where either is null or y is constant but for rounding."""
     fit = line(rows, y, x, group)
-    joined = rows.join(F.broadcast(fit), [*group]) if group else rows.join(F.broadcast(fit))  # a row per group
+    joined = rows.join(fit, [*group]) if group else rows.join(F.broadcast(fit))  # without groups the fit is one row
     return joined.withColumn(name, F.col(y) - (F.coalesce("slope", F.lit(0.0)) * F.col(x) + F.col("intercept"))).drop("slope", "intercept")
 
 
-def z_score(c: Column, group: Sequence[str] = ()) -> Column:
-    """Null where the column is constant."""
-    w = Window.partitionBy(*group)
-    return F.when(F.stddev_samp(c).over(w) > 1e-12, F.try_divide(c - F.avg(c).over(w), F.stddev_samp(c).over(w)))
+def z_scores(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with z-scores (new name: column); null where the column is constant. The sums are one row, which is joined, so no task sees all rows."""
+    sums = rows.agg(*(f(c).alias(f"__{k}{i}") for i, c in enumerate(columns.values()) for k, f in (("m", F.avg), ("s", F.stddev_samp))))
+    scored = {name: F.when(F.col(f"__s{i}") > 1e-12, F.try_divide(F.col(c) - F.col(f"__m{i}"), F.col(f"__s{i}"))) for i, (name, c) in enumerate(columns.items())}
+    return rows.join(F.broadcast(sums)).withColumns(scored).drop(*sums.columns)
 
 
 def quadrant(talk: Column, walk: Column) -> Column:
@@ -55,9 +56,9 @@ def axes(rows: DataFrame, scores: Sequence[str]) -> DataFrame:
 
 def weighted(rows: DataFrame, scores: Sequence[str], weights: DataFrame, group: str) -> DataFrame:
     """Sum of z-scored columns by the group's weights (columns w_<score>)."""
-    joined = rows.join(weights, group)
-    total = sum((F.coalesce(F.col(f"w_{s}") * z_score(F.col(s)), F.lit(0.0)) for s in scores), F.lit(0.0))
-    return joined.withColumn("weighted_score", total)
+    joined = z_scores(rows.join(weights, group), {f"__z_{s}": s for s in scores})
+    total = sum((F.coalesce(F.col(f"w_{s}") * F.col(f"__z_{s}"), F.lit(0.0)) for s in scores), F.lit(0.0))
+    return joined.withColumn("weighted_score", total).drop(*(f"__z_{s}" for s in scores))
 
 
 def change(rows: DataFrame, firm: str, period: str, columns: Sequence[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def universe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quartile(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """q: the quarter of each value, by interpolated edges closed on the right; equal values stay together."""
     edges = rows.groupBy(*group).agg(*(F.percentile(value, F.lit(p)).alias(f"__e{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))))
-    joined = rows.join(F.broadcast(edges), [*group]) if group else rows.join(F.broadcast(edges))  # without groups the edges are one row
+    joined = rows.join(edges, [*group]) if group else rows.join(F.broadcast(edges))  # without groups the edges are one row
     v = F.col(value)
     return joined.withColumn("q", F.when(v <= F.col("__e1"), 1).when(v <= F.col("__e2"), 2).when(v <= F.col("__e3"), 3).when(v.isNotNull(), 4)).drop("__e1", "__e2", "__e3")
 

@@ -302,7 +302,7 @@ def gap_matrix(spark, sf_dir):
 
 @query(f"WITH {GAP}, z AS (SELECT firm, yr, {Z('rt')} - ({Z('rw')}) AS gap FROM qd) SELECT firm, yr, round(gap, 5) AS gap FROM z")
 def gap_score(spark, sf_dir):
-    return gaps(spark, sf_dir).select("firm", "yr", F.round(gap.z_score(F.col("rt")) - gap.z_score(F.col("rw")), 5).alias("gap"))
+    return gap.z_scores(gaps(spark, sf_dir), {"zt": "rt", "zw": "rw"}).select("firm", "yr", F.round(F.col("zt") - F.col("zw"), 5).alias("gap"))
 
 
 @query(f"WITH {GAP}, f AS (SELECT firm, count(*) AS n, count(DISTINCT quadrant) AS k FROM qd GROUP BY 1) SELECT count(*) AS n_firms, count(*) FILTER (k = 1) AS n_persistent FROM f WHERE n >= 3")
@@ -315,7 +315,7 @@ AXES = f"{FIRMS}, az AS (SELECT firm, yr, round({Z('talk')}, 8) AS e, round({Z('
 
 @query(f"WITH {AXES}, ax AS (SELECT *, ['e', 's', 'g'][list_position([e, s, g], greatest(e, s, g))] AS top_axis, ['e', 's', 'g'][list_position([e, s, g], least(e, s, g))] AS low_axis FROM az) SELECT top_axis, low_axis, count(*) AS n, round(avg(g), 4) AS mean_g FROM ax GROUP BY 1, 2")
 def selective_axis(spark, sf_dir):
-    rows = firms(spark, sf_dir).select("firm", "yr", *(F.round(gap.z_score(F.col(c)), 8).alias(k) for k, c in (("e", "talk"), ("s", "soc"), ("g", "walk"))))
+    rows = gap.z_scores(firms(spark, sf_dir), {"e": "talk", "s": "soc", "g": "walk"}).select("firm", "yr", *(F.round(k, 8).alias(k) for k in "esg"))
     return gap.axes(rows, ["e", "s", "g"]).groupBy("top_axis", "low_axis").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("g"), 4).alias("mean_g"))
 
 
