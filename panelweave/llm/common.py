@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -12,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
+_WRITTEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and all run in one process."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="panelweave-")
         sc.setCheckpointDir(_OWN[sc.applicationId])
@@ -30,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/panelweave/{uuid.uuid4().hex}/{name}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written(spark).append(path)
     return path
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Scratch paths that this thread has made in this application."""
+    return _WRITTEN.__dict__.setdefault(spark.sparkContext.applicationId, [])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, and lost executors don't lose it."""
     spark = df.sparkSession
@@ -58,7 +66,7 @@ def drop_table(df: DataFrame) -> None:
 @contextmanager
 def recorded(spark: SparkSession, into: list[str]) -> Iterator[None]:
     """Adds the scratch paths made meanwhile to a list, for a caller that knows when nothing reads them any more."""
-    made = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    made = _written(spark)
     n = len(made)
     try:
         yield
