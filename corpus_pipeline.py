@@ -1,7 +1,16 @@
-"""A training-data pipeline over `documents`: five stages, each on all that the one before it kept."""
+"""A training-data pipeline over `documents`: five stages, each on all that the one before it kept.
+
+A stage's result is lazy: write it before the next stage starts in the same thread, which deletes the scratch tables behind it.
+
+Defined results, for every stage: a null, empty or blank text is a document without words, which no stage but the mixing
+(nothing to take) removes, and the packing gives it its end id alone; texts are read whole, however long; rows with null or
+repeated ids are documents of their own; equal rows fall to the n-gram stage, which keeps one; ties are settled by id, then
+by a hash; columns of any name besides doc_id, text and source pass through unchanged; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -11,16 +20,17 @@ from pyspark.sql import functions as F
 from panelweave.llm import common, line_dedup, mixing, ngram_join, packing, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+_own = threading.local()
 
 
 def _stage(f: Stage) -> Stage:
-    """Deletes what earlier stages left in the scratch folder: their results are written elsewhere by now."""
+    """Deletes what earlier stages of this thread left in the scratch folder: their results are written elsewhere by now."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            common.drop_path(spark, _left.pop())
-        with common.recorded(spark, _left):
+        left = _own.__dict__.setdefault("left", [])
+        while left:
+            common.drop_path(spark, left.pop())
+        with common.recorded(spark, left):
             return f(spark, docs, sf_dir)
 
     run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
