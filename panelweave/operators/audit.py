@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import any_of, has_any, literals
+from .tokens import MARK
 
 CLASSES = ("G_SIGNAL", "ESG_SIGNAL", "BOILERPLATE", "AMBIGUOUS", "GENERIC")
 
@@ -29,19 +30,23 @@ class Rules:
     generic_patterns: list[str] = field(default_factory=lambda: fixed.GENERIC_TOKEN_PATTERNS)
 
 
-def frequencies(tokens: DataFrame, doc: str, group: Sequence[str] = ()) -> DataFrame:
-    """token, tf, df: document counts come from one partial aggregate per document, not from a distinct."""
-    return tokens.groupBy(*group, doc, "token").agg(F.count(F.lit(1)).alias("n")).groupBy(*group, "token").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+def frequencies(tokenized: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """token, tf, df from a row per document: a document adds each token, and each distinct one once more under a mark, so only
+    counts by token are shuffled, combined before."""
+    once = F.transform(F.array_distinct(tokens), lambda t: F.concat(F.lit(MARK), t))
+    counts = tokenized.select(F.explode(F.concat(tokens, once)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    marked, x = F.col("x").startswith(MARK), F.col("x")
+    token = F.when(marked, F.substr(x, F.lit(len(MARK) + 1))).otherwise(x)
+    return counts.groupBy(token.alias("token")).agg(F.sum(F.when(~marked, F.col("n"))).alias("tf"), F.sum(F.when(marked, F.col("n"))).alias("df"))
 
 
 def hint(token: Column, rules: Rules) -> Column:
     return F.when(token.isin(rules.preserve), "preserve").when(token.isin(rules.boilerplate), "boilerplate").otherwise("")
 
 
-def audit(tokens: DataFrame, doc: str, n_docs: int, rules: Rules, top: int | None = 500) -> DataFrame:
-    """token, tf, df, idf, tf_idf_avg, auto_hint of the `top` most frequent tokens."""
+def audit(rows: DataFrame, n_docs: int, rules: Rules, top: int | None = 500) -> DataFrame:
+    """token, tf, df, idf, tf_idf_avg, auto_hint of the `top` most frequent tokens. rows: token, tf, df."""
     idf = F.log(F.lit(float(n_docs)) / F.col("df"))
-    rows = frequencies(tokens, doc)
     if top is not None:
         rows = rows.orderBy(F.col("tf").desc(), "token").limit(top)
     return rows.select("token", "tf", "df", F.round(idf, 3).alias("idf"), F.round(F.col("tf") / F.lit(float(n_docs)) * idf, 3).alias("tf_idf_avg"), hint(F.col("token"), rules).alias("auto_hint"))

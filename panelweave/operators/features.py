@@ -68,9 +68,8 @@ def wide(weights: DataFrame, doc: str, vocabulary: Sequence[str]) -> DataFrame:
     return weights.groupBy(doc).pivot("token", [*vocabulary]).agg(F.first("w")).fillna(0.0)
 
 
-def sparsity(seeds: DataFrame, tokens: DataFrame, doc: str, sparse_up_to: int = 10) -> DataFrame:
-    """Per seed: frequency and documents, zero rows kept."""
-    counts = tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+def sparsity(seeds: DataFrame, counts: DataFrame, sparse_up_to: int = 10) -> DataFrame:
+    """Per seed: frequency and documents, zero rows kept. counts: token, tf, df."""
     rows = seeds.join(counts, F.col("seed") == F.col("token"), "left")
     df = F.coalesce("df", F.lit(0))
     return rows.select("dimension", "seed", F.coalesce("tf", F.lit(0)).alias("tf"), df.alias("df"), (df <= sparse_up_to).alias("is_sparse"))

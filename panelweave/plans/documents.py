@@ -215,7 +215,7 @@ def seed_coverage(spark, sf_dir):
 @query(f"WITH {TOK}, s AS (SELECT unnest({array(['E', 'E', 'S', 'S', 'G', 'G'])}) AS dimension, unnest({array(['in', 'to', 'on', 'zzz', 'the', 'of'])}) AS seed), c AS (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tl GROUP BY 1) SELECT dimension, seed, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df, coalesce(df, 0) <= 10 AS is_sparse FROM s LEFT JOIN c ON seed = token")
 def seed_sparsity(spark, sf_dir):
     seeds = spark.createDataFrame([("E", "in"), ("E", "to"), ("S", "on"), ("S", "zzz"), ("G", "the"), ("G", "of")], "dimension string, seed string")
-    return features.sparsity(seeds, rows_of(spark, sf_dir), "doc_id")
+    return features.sparsity(seeds, audit.frequencies(base_tokens(spark, sf_dir)))
 
 
 @query(f"WITH {TOK} SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_unique, len(list_filter({array(sorted(COVER))}, lambda s: list_contains(t, s))) AS n_seed_found, array_to_string(list_filter({array(sorted(COVER))}, lambda s: list_contains(t, s))[1:5], '|') AS first_seeds FROM tok")
@@ -231,7 +231,7 @@ AUDIT = f"""{TOK}, n AS (SELECT count(*)::DOUBLE AS n FROM documents), c AS (SEL
 
 def audited(spark, sf_dir):
     n = docs(spark, sf_dir).count()
-    return audit.audit(rows_of(spark, sf_dir), "doc_id", n, RULES)
+    return audit.audit(audit.frequencies(base_tokens(spark, sf_dir)), n, RULES)
 
 
 @query(f"WITH {AUDIT} SELECT * FROM au")
