@@ -106,10 +106,11 @@ def _levels(read: DataFrame) -> tuple[np.ndarray, float]:
     """8 * log2(1 + documents) of each place of the sketch, in a byte: 4 MB whatever the corpus; their mean count."""
     parts = read.where("k is not null").select("k", "counts").rdd.map(lambda r: (r[0], zlib.decompress(bytes(r[1]))))
     merged = parts.mapValues(lambda b: np.frombuffer(b, np.uint32).astype(np.uint64)).reduceByKey(lambda a, b: a + b)
+    small = merged.mapValues(lambda b: (np.minimum(8 * np.log2(1 + b.astype(float)), 255).astype(np.uint8).tobytes(), int(b.sum())))
     levels, total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), 0
-    for k, part in merged.toLocalIterator():
-        levels[k * SEGMENT : (k + 1) * SEGMENT] = np.minimum(8 * np.log2(1 + part.astype(float)), 255)
-        total += int(part.sum())
+    for k, (part, n) in small.collect():
+        levels[k * SEGMENT : (k + 1) * SEGMENT] = np.frombuffer(part, np.uint8)
+        total += n
     return levels, total / len(levels)
 
 
@@ -350,7 +351,7 @@ def bloom(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray | None:
 
     out = np.zeros(segments * SEGMENT, dtype=np.uint8)
     dealt = hashes.withColumn("k", F.col("h").bitwiseAND(F.lit(segments - 1))).repartition("k")
-    for r in dealt.mapInArrow(fill, "k bigint, b binary").toLocalIterator():
+    for r in dealt.mapInArrow(fill, "k bigint, b binary").collect():  # most_bits at most, in one job
         out[r["k"] * SEGMENT : (r["k"] + 1) * SEGMENT] = np.frombuffer(r["b"], np.uint8)
     return out
 
