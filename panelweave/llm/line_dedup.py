@@ -84,7 +84,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, most_bits: int) -
     parts = docs.select(text_col).mapInArrow(fill, "k bigint, once binary, twice binary")
     merged = parts.rdd.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2])))).reduceByKey(merge).mapValues(lambda x: x[1])
     out = np.zeros(bits // 8, np.uint8)
-    for k, b in merged.toLocalIterator():
+    for k, b in merged.collect():  # most_bits at most, in one job
         out[k * SEGMENT : k * SEGMENT + len(b)] = np.frombuffer(b, np.uint8)
     return out, bits
 
