@@ -16,7 +16,7 @@ such places, as the shorter lengthening of the two says, before its sets are com
 3. The join itself, for pairs in different components. A token that one component alone has
    makes no pairs, so a group of thousands of near copies makes none.
 
-Pairs that qualify are compared on whole sets. No cap is set on partners or candidates, and rounds of
+Pairs that qualify are bounded by counts in 128 buckets, and compared on whole sets if that leaves the threshold in reach. No cap is set on partners or candidates, and rounds of
 peeling only spare comparisons: step 3 finds whatever they leave.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows with equal
@@ -27,7 +27,7 @@ component, if any; other columns take no part; an empty table gives an empty res
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ SEGMENT = 1 << 16
 #: Bits of a segment of the Bloom filter.
 SEGMENT_BITS = SEGMENT * 8
 MOST_MATCHES = 4
+#: By the upper bits of a shingle; a power of two.
+BUCKETS = 128
 #: Expected candidates from which on a prefix grows by one token more.
 COSTS = (8, 64, 512)
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -236,10 +238,9 @@ class Join:
         drop_table(often)
         return found
 
-    def linked(self, pairs: DataFrame) -> DataFrame | None:
-        """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv. u may be in many pairs: its set meets rows that hold v's set already, which a skewed join can split by their size."""
-        if not pairs.head(1):
-            return None
+    def per_node(self, pairs: DataFrame, make: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+        """pairs with su and sv: an array that `make` gives from each side's set. u may be in many pairs: it meets rows that hold v's
+        array already, which a skewed join can split by their size."""
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         wanted = materialize(self.nodes.join(wanted, "fp", "left_semi"), "wanted")
         words = self.words
@@ -247,15 +248,30 @@ class Join:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
                 sets = [shingles(t, words) for t in texts(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets])], names=["fp", "s"])
+
+        arrays = self.texts_of(wanted).mapInArrow(run, f"fp bigint, s array<{kind}>")
+        a, b = (arrays.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"s{k}")) for k in "uv")
+        return pairs.join(b, pairs["v"] == b["__v"]).join(a, F.col("u") == a["__u"])
 
-        sets = self.texts_of(wanted).mapInArrow(run, "fp bigint, s array<bigint>")
-        a, b = (sets.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"__s{k}")) for k in "uv")
-        both = pairs.join(b, pairs["v"] == b["__v"]).join(a, F.col("u") == a["__u"])
-        common = F.size(F.array_intersect("__su", "__sv"))
-        union = F.size("__su") + F.size("__sv") - common
+    def linked(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv. First their shingles are counted in BUCKETS by hash:
+        two sets share no more in a bucket than either has there. Whole sets are compared only where that bound allows a link."""
+        if not pairs.head(1):
+            return None
+        counted = self.per_node(pairs, lambda s: np.bincount((s >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32), "int")
+        total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        most = total(F.zip_with("su", "sv", lambda a, b: F.least(a, b)))
+        left = counted.where(most * 100 >= (total(F.col("su")) + total(F.col("sv")) - most) * self.percent)
+        left = materialize(left.select("u", "v", "cu", "cv").distinct(), "bounded")
+        if not left.head(1):
+            drop_table(left)
+            return None
+        both = self.per_node(left, signed, "bigint")
+        common = F.size(F.array_intersect("su", "sv"))
+        union = F.size("su") + F.size("sv") - common
         links = materialize(both.where(common * 100 >= union * self.percent).select("cu", "cv").distinct(), "links")
-        drop_table(wanted)
+        drop_table(left)
         if links.head(1):
             return links
         drop_table(links)
