@@ -163,3 +163,14 @@ def extract(docs: DataFrame, keys: Sequence[str], text: str, patterns: dict[str,
     failures = log.join(read, [*keys]).select(failed.alias("__f")).where("__f is not null").select("__f.*")
     whole = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("text")).alias("total_chars"))
     return {"sections": cut.withColumn("text", F.substring("text", 1, preview)), "passages": found, "documents": whole, "failures": failures}
+
+
+def markup_sections(pages: DataFrame, keys: Sequence[str], markup: str, patterns: dict[str, Sequence[str]], stops: Sequence[str]) -> DataFrame:
+    """Sections of marked-up pages: their text, cut where the patterns begin."""
+    return sections(pages.select(*keys, tx.markup_to_text(tx.text_of(markup)).alias("__plain")), keys, "__plain", patterns, stops)
+
+
+def dense_text(docs: DataFrame, keys: Sequence[str], text: str, lex: Lexicons, threshold: float = 0.25) -> DataFrame:
+    """keys, document: the dense paragraphs of each document as one string; a document without any has no row."""
+    rows = paragraph_rows(docs, keys, text).where(dense_enough(F.col("text"), lex, threshold))
+    return joined(rows, keys, ["paragraph_id"], "text").select(*keys, "document")

@@ -91,16 +91,16 @@ def fanned(rows: DataFrame, b: int) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(replicates(spark, b)))
 
 
-def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
-    """b, rho of b resamples with replacement of a panel with columns x and y; draws are an md5 of (replicate, place).
+def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """group, b, rho of b resamples with replacement of a panel with columns x and y; draws are an md5 of (group, replicate, place).
 
     The replicates fan out before the join, so a panel of n rows makes b * n rows spread over all tasks.
     """
-    rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    fan = replicates(panel.sparkSession, b).join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
-    drawn = fan.select("b", draw(F.col("n"), F.col("b"), F.col("slot")).alias("i"))
-    return spearman(drawn.join(rows, "i"), ["b"], places=10)
+    rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, *group, "x", "y"), order, group).select(*group, "i", "x", "y")
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    fan = replicates(panel.sparkSession, b).join(F.broadcast(n)).select(*group, "b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
+    drawn = fan.select(*group, "b", draw(F.col("n"), *(F.col(g) for g in group), F.col("b"), F.col("slot")).alias("i"))
+    return spearman(drawn.join(rows, [*group, "i"]), [*group, "b"], places=10)
 
 
 def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), places: int = 4) -> DataFrame:

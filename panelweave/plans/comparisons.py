@@ -223,3 +223,80 @@ def id_map_total(spark, sf_dir):
 def filings_in_window(spark, sf_dir):
     index = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").withColumn("fy", 1994 + F.col("o_custkey") % 5)
     return filed_in_window(index, "o_orderdate", "fy").select("o_orderkey", F.to_date("o_orderdate").alias("filed"))
+
+
+PAGE_TEXT = f"pg AS (SELECT page_id AS doc_id, array_to_string(list_filter(list_transform({d.HTML_LINES.format(d.PLAIN)}, lambda x: {STRIP.format('x')}), lambda x: x <> ''), chr(10)) AS text FROM pages)"
+PAGE_CUTS = {"A": ["the ", "der "], "B": ["and ", "und "]}
+
+
+@query(f"""WITH {PAGE_TEXT}, s AS (SELECT doc_id, text, nullif(instr(text, 'password'), 0) AS stop, [{", ".join(f"{{'start': {FIRST(ps)}, 'section': '{k}'}}" for k, ps in PAGE_CUTS.items())}] AS a FROM pg),
+    e AS (SELECT doc_id, text, stop, unnest(list_filter(a, lambda x: x.start IS NOT NULL)) AS x FROM s),
+    n AS (SELECT doc_id, text, stop, x.section AS section, x.start AS start, coalesce(lead(x.start) OVER (PARTITION BY doc_id ORDER BY x.start, x.section), length(text) + 1) AS nxt FROM e),
+    b AS (SELECT *, CASE WHEN start < stop AND stop < nxt THEN stop ELSE nxt END AS fin FROM n)
+    SELECT doc_id AS page_id, section, length({STRIP.format("substring(text, start, fin - start)")}) AS n_chars FROM b""")
+def markup_sections(spark, sf_dir):
+    got = passages.markup_sections(table(spark, sf_dir, "pages"), ["page_id"], "html", PAGE_CUTS, ["password"])
+    return got.select("page_id", "section", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(rf"SELECT doc_id, len(t) AS n_sentences, md5(array_to_string(t, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\.\s+'), lambda x: {STRIP.format('x')}), lambda x: length(x) >= 15) AS t FROM documents)")
+def strict_sentences(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", tx.strict_sentences(tx.text_of("text"), 15, r"\.\s+").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n_sentences"), F.md5(F.array_join("t", "|")).alias("digest"))
+
+
+@query(f"WITH {d.PARAS} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY paragraph_id)) AS digest FROM para WHERE {d.ANY(d.GOVERN)} OR {d.ANY(d.SIGNAL)} OR {d.RATIO} <= 0.25 GROUP BY 1")
+def dense_text(spark, sf_dir):
+    return passages.dense_text(docs(spark, sf_dir), ["doc_id"], "text", d.LEX).select("doc_id", F.md5("document").alias("digest"))
+
+
+WIDE = ["the", "of", "que", "der"]
+
+
+@query(f"WITH {d._tfidf_sql(2, None, False)} SELECT doc_id, " + ", ".join(f"round(coalesce(max(CASE WHEN token = '{t}' THEN w END), 0), 5) AS {t}" for t in WIDE) + f" FROM w WHERE token IN ({q(WIDE)}) GROUP BY 1")
+def tfidf_wide(spark, sf_dir):
+    w = d.weights(spark, sf_dir).where(F.col("token").isin(WIDE))
+    return features.wide(w, "doc_id", WIDE).select("doc_id", *(F.round(t, 5).alias(t) for t in WIDE))
+
+
+@query(f"WITH {d.CLASSED} SELECT token, tf, confidence FROM cl WHERE auto_class = 'AMBIGUOUS'")
+def ambiguous_tokens(spark, sf_dir):
+    return d.token_taxonomy(spark, sf_dir).where("auto_class = 'AMBIGUOUS'").select("token", "tf", "confidence")
+
+
+@query(f"WITH {s.COOK} SELECT doc_id, round(d, 6) AS cooks_d FROM ck ORDER BY d DESC, doc_id LIMIT 10")
+def cooks_top(spark, sf_dir):
+    """The ten rows that pull most at the line."""
+    rows = linear.cooks(s.model_rows(spark, sf_dir), "y", ["x1"])
+    return rows.orderBy(F.round("cooks_d", 12).desc(), "doc_id").limit(10).select("doc_id", F.round("cooks_d", 6).alias("cooks_d"))
+
+
+@query(f"WITH o AS ({SQL['orthogonalize']}) SELECT *, coalesce(abs(rho_raw) >= 0.1 AND shrinkage_pct >= 50, false) AS verb_dominated FROM o")
+def verbosity_dominance(spark, sf_dir):
+    """Whether volume explains most of a correlation that isn't negligible."""
+    dominated = (F.abs("rho_raw") >= 0.1) & (F.col("shrinkage_pct") >= 50)
+    return s.orthogonalize(spark, sf_dir).withColumn("verb_dominated", F.coalesce(dominated, F.lit(False)))
+
+
+@query(f"WITH {GRID_SQL} SELECT exp_id, round(count(DISTINCT CASE WHEN token IN ({q(LISTS.protect)}) THEN token END) * 100.0::DOUBLE / {len(LISTS.protect)}, 2) AS preserved_pct FROM gl GROUP BY 1")
+def variant_preservation(spark, sf_dir):
+    kept = F.count(F.when(F.col("token").isin(LISTS.protect), 1)).alias("kept")
+    rows = tokens.grid_sizes(d.grid(spark, sf_dir), 4, kept)
+    return rows.select("exp_id", F.round(F.col("kept") * 100.0 / len(LISTS.protect), 2).alias("preserved_pct"))
+
+
+YEARS = f"{s.PANEL}, ny AS (SELECT yr, row_number() OVER (PARTITION BY yr ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n, total_tokens::DOUBLE AS x, grade::DOUBLE AS y FROM pa WHERE total_tokens IS NOT NULL AND grade IS NOT NULL), dy AS (SELECT yr, b, ('0x' || substr(md5(concat_ws('|', yr, b, i)), 1, 8))::BIGINT % n AS i FROM ny, range({s.B}) r(b)), ry AS ({s.rho_sql('SELECT yr, b, x, y FROM dy JOIN ny USING (yr, i)', 'yr, b', places=10)})"
+
+
+@query(f"WITH {YEARS} SELECT yr, count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive FROM ry WHERE rho IS NOT NULL GROUP BY 1")
+def year_bootstrap(spark, sf_dir):
+    """The bootstrap interval of each year."""
+    rows = s.rated(spark, sf_dir).select("doc_id", "yr", F.col("total_tokens").cast("double").alias("x"), F.col("grade").cast("double").alias("y"))
+    return rank_stats.interval(rank_stats.bootstrap_rhos(rows, s.B, ["doc_id"], ["yr"]), group=["yr"])
+
+
+@query()
+def ordered_logit_scaled(spark, sf_dir):
+    """The ordered logit on z-scores."""
+    rows = linear.complete(s.model_rows(spark, sf_dir), ["y", "x1", "x2"])
+    return linear.ordered_logit(linear.standardized(rows, ["x1", "x2"]), "y", ["x1", "x2"])

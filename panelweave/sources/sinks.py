@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def to_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def to_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV files with a header; mark: each begins with a byte order mark, which spreadsheets ask for."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def append(df: DataFrame, path: str) -> None:
