@@ -122,8 +122,13 @@ def grid_counts(docs: DataFrame, text: str, grid: Sequence[Config], lists: WordL
     distinct tokens. A document adds a mark for each experiment that leaves it a token.
     """
     alike = _cleanings(grid)
-    own = [F.struct(F.lit(k).alias("k"), _with_marks(tokenizer(clean(tx.text_of(text), configs[0], lists)), {c.name: lists.removed(c) for c in configs}, least).alias("t")) for k, configs in enumerate(alike)]
-    counts = docs.select(F.explode(F.array(*own)).alias("__x")).select("__x.k", F.explode("__x.t").alias("token")).groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
+    own = [F.struct(F.lit(k).alias("k"), tokenizer(clean(tx.text_of(text), configs[0], lists)).alias("t")) for k, configs in enumerate(alike)]
+    # exploded before the marks are added, so that no token list is made twice
+    token_lists = docs.select(F.explode(F.array(*own)).alias("__x")).select("__x.k", "__x.t")
+    marked = F.lit(None)
+    for k, configs in enumerate(alike):
+        marked = F.when(F.col("k") == k, _with_marks(F.col("t"), {c.name: lists.removed(c) for c in configs}, least)).otherwise(marked)
+    counts = token_lists.select("k", F.explode(marked).alias("token")).groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.select(F.explode(_named(alike, F.col("k"))).alias("exp_id"), "token", "n")
     is_mark = F.col("token").startswith(MARK)
     removed = F.lit(False)
