@@ -113,7 +113,7 @@ def quartile(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFram
     return joined.withColumn("q", F.when(v <= F.col("__e1"), 1).when(v <= F.col("__e2"), 2).when(v <= F.col("__e3"), 3).when(v.isNotNull(), 4)).drop("__e1", "__e2", "__e3")
 
 
-def describe(rows: DataFrame, features: Sequence[str], group: Sequence[str] = (), places: int = 4) -> DataFrame:
+def describe(rows: DataFrame, features: Sequence[str], group: Sequence[str] = (), places: int = 6) -> DataFrame:
     """Count, mean, spread and quartiles of each feature."""
     x, r = F.col("x"), lambda c: F.round(c, places)
     quarters = (r(F.percentile(x, F.lit(p))).alias(name) for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))

@@ -123,7 +123,7 @@ def evidence_matrix(spark, sf_dir):
     return got.select("feature", "n", s.effect_label(F.col("rho")).alias("effect"), F.coalesce(F.abs("rho") >= 0.1, F.lit(False)).alias("rank_supports"), F.coalesce(F.col("p_norm") < 0.05, F.lit(False)).alias("groups_differ"), "direction", sign.alias("slope_sign"))
 
 
-@query("WITH " + s.PANEL + ", lo AS (" + s.long_sql("") + ") SELECT feature, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS q25, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.75), 4) AS q75, round(max(x), 4) AS max FROM lo GROUP BY 1")
+@query("WITH " + s.PANEL + ", lo AS (" + s.long_sql("") + ") SELECT feature, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max FROM lo GROUP BY 1")
 def describe_features(spark, sf_dir):
     return panel.describe(s.rated(spark, sf_dir), s.MEASURES)
 
