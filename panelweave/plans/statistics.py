@@ -73,7 +73,7 @@ def year_sliced_rho(spark, sf_dir):
 
 
 B = 60
-#: Replicates of the reference, for the queries named _full: scripts/05_full_analysis.py:70 and 228, and N_BOOTSTRAP of notebook 05.
+#: Replicates of the queries named _full: bootstrap and subsamples, permutations, regressions.
 N_BOOT, N_PERM, N_OLS = 3000, 5000, 1000
 
 
