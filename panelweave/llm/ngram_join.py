@@ -46,7 +46,7 @@ MOST_MATCHES = 4
 #: By the upper bits of a shingle; a power of two.
 BUCKETS = 128
 #: Expected candidates from which on a prefix grows by one token more.
-COSTS = (8, 64, 512)
+COSTS = (64, 1024, 16384)
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -294,14 +294,13 @@ class Join:
         """Components after each token's nodes have met the token's leaders, and the pairs compared: u, v, unordered."""
         columns, left, tried = rows.columns, _with_comp(rows, comps, "fp", "comp"), []
         for _ in range(self.peelings):
-            lead = left.groupBy("token").agg(F.min(F.struct("pos", "fp", "n", "k", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            lead = lead.select(F.col("token").alias("__token"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("pos", "fp", "n", "k", "comp")))
+            lead = left.groupBy("token").agg(F.min(F.struct("pos", "fp", "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            lead = lead.select(F.col("token").alias("__token"), *(F.col(f"l.{c}").alias(f"l{c}") for c in ("pos", "fp", "n", "comp")))
             rest = materialize(left.join(lead, left["token"] == lead["__token"]).where("comp <> lcomp").drop("__token"), "rest")
-            k = F.least("k", "lk", self.overlap("n", "ln"))
-            reach = self.reach("n", "ln", k)
+            # one match is enough here: a leader meets each node once, whatever the prefixes' lengths
+            reach = self.reach("n", "ln", F.lit(1))
             may = self.close("n", "ln") & self.close("ln", "n") & (F.col("pos") <= F.col("n") + reach) & (F.col("lpos") <= F.col("ln") + reach)
-            pairs = rest.where(may).groupBy(F.col("lfp").alias("u"), F.col("fp").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.min(k).alias("k"), F.min("lcomp").alias("cu"), F.min("comp").alias("cv"))
-            pairs = materialize(pairs.where("shared >= k").select("u", "v", "cu", "cv"), "pairs")
+            pairs = materialize(rest.where(may).select(F.col("lfp").alias("u"), F.col("fp").alias("v"), F.col("lcomp").alias("cu"), F.col("comp").alias("cv")).distinct(), "pairs")
             tried.append(pairs)
             found = self.merged(comps, pairs)
             if found is None:
