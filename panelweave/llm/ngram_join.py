@@ -45,8 +45,8 @@ SEGMENT_BITS = SEGMENT * 8
 MOST_MATCHES = 4
 #: By the upper bits of a shingle; a power of two.
 BUCKETS = 128
-#: Expected candidates from which on a prefix grows by one token more.
-COSTS = (64, 1024, 16384)
+#: Expected candidates from which on a prefix grows by one token more. Each token also lets later places match, so below these it costs more rows than it saves.
+COSTS = (4096, 65536, 1048576)
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
