@@ -128,12 +128,17 @@ def zfill(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
 
 
-def words(c: Column, pattern: str = r"(\p{L}{2,})") -> Column:
-    """Lower-case runs of letters: the tokenizer that needs no dictionary."""
-    return F.regexp_extract_all(F.lower(c), F.lit(pattern), 1)
+def words(c: Column, least: int = 2) -> Column:
+    """Lower-case runs of at least `least` letters: the tokenizer that needs no dictionary.
+
+    Split at what is no letter: several times as fast as extracting match by match.
+    """
+    return F.filter(F.split(F.lower(c), r"\P{L}+"), lambda t: F.length(t) >= least)
 
 
 def words_and_compounds(c: Column, compounds: Sequence[str], pattern: str = r"\p{L}{2,}") -> Column:
     """words(), but a listed compound stays one token; the longest wins."""
     listed = sorted((x.lower() for x in compounds), key=lambda x: (-len(x), x))
-    return F.regexp_extract_all(F.lower(c), F.lit("(" + "|".join([*map(re.escape, listed), pattern]) + ")"), 1)
+    # what a token is gets a mark behind it, all else becomes marks
+    marked = F.regexp_replace(F.lower(F.replace(c, F.lit("\x00"), F.lit(" "))), "(?s)(" + "|".join([*map(re.escape, listed), pattern]) + ")|.", "$1\x00")
+    return F.filter(F.split(marked, "\x00"), lambda t: t != "")

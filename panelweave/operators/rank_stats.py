@@ -1,29 +1,99 @@
-"""Rank statistics: Spearman, Mann-Whitney, Kruskal-Wallis, and deterministic resampling."""
+"""Rank statistics: Spearman, Mann-Whitney, Kruskal-Wallis, and deterministic resampling.
+
+Ranks come from counts per value. The distinct values of a group are cut into ranges at some of
+them, each range is summed by itself, and what the ranges before it hold is added: no task sees more
+than a range, and equal values, however many, are one row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import draw, effect_label, normal_tail, safe_corr, student_p, upper_tail
+from ..functions.stats import draw, effect_label, normal_tail, student_p, upper_tail
+from ..sources.scratch import written
+
+#: Ranges of values that a group is cut into.
+RANGES = 256
+#: A panel of up to so many rows (of some 32 bytes) is broadcast to its replicates.
+PANEL_ROWS = 1_000_000
+
+
+def _matched(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the columns of other that has the same keys, null like any value; without keys, other is one row."""
+    named = other.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in other.columns if c not in keys))
+    if not keys:
+        return rows.join(F.broadcast(named))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return rows.join(named, same).drop(*(f"__{k}" for k in keys))
+
+
+def in_ranges(rows: DataFrame, value: str, group: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """rows with `range`, which grows with the value: cut at those distinct values of a group whose hashes are least.
+
+    The same values give the same ranges, in any run. A null is in the first range.
+    """
+    least = Window.partitionBy(*group).orderBy(F.xxhash64(value), value)
+    some = rows.select(*group, value).distinct().withColumn("__k", F.row_number().over(least)).where(F.col("__k") < ranges)
+    cuts = some.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("__cuts"))
+    return _matched(rows, cuts, group).withColumn("range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+
+
+def _before(rows: DataFrame, group: Sequence[str], n: Column) -> DataFrame:
+    """group, range, before, all: what the ranges before one hold, and all of them."""
+    in_order = Window.partitionBy(*group).orderBy("range")
+    sums = rows.groupBy(*group, "range").agg(F.sum(n).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.select(*group, "range", before.alias("before"), F.sum("__n").over(Window.partitionBy(*group)).alias("all"))
 
 
-def average_rank(value: str, group: Sequence[str] = ()) -> Column:
-    """Mean rank among equal values."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*group, value)) - 1) / 2.0
+def value_ranks(counted: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """counted with rank, the mean rank of a value's rows, and all, the rows of its group. counted: n rows for each distinct value, written."""
+    rows = in_ranges(counted, value, group)
+    own = F.sum("n").over(Window.partitionBy(*group, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = _matched(rows.withColumn("__own", own), _before(rows, group, F.col("n")), [*group, "range"])
+    return ranked.withColumn("rank", F.col("before") + F.col("__own") - (F.col("n") - 1) / 2.0).drop("__own", "before", "range")
+
+
+def rank_pairs(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """group, x, y, n, all, rx, ry: each distinct pair, how often it occurs, and the distances of its two ranks from the mean rank."""
+    full = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    counted = written(full.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+
+    def side(v: str) -> DataFrame:
+        ranked = value_ranks(counted.groupBy(*group, v).agg(F.sum("n").alias("n")), v, group)
+        return ranked.select(*group, v, "all", (F.col("rank") - (F.col("all") + 1) / 2.0).alias(f"r{v}"))
+
+    return _matched(_matched(counted, side("x"), [*group, "x"]), side("y").drop("all"), [*group, "y"])
+
+
+def _sums(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
+    """group, n, sxy, sxx, syy of rank_pairs()."""
+    s = lambda a, b, name: F.sum(F.col("n") * F.col(a) * F.col(b)).alias(name)
+    return ranked.groupBy(*group).agg(F.sum("n").alias("n"), s("rx", "ry", "sxy"), s("rx", "rx", "sxx"), s("ry", "ry", "syy"))
+
+
+def _rho(n: Column) -> Column:
+    return F.when((F.sqrt(F.col("sxx") / n) > 1e-12) & (F.sqrt(F.col("syy") / n) > 1e-12), F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")))
 
 
 def spearman(pairs: DataFrame, group: Sequence[str], least: int = 5, places: int = 4) -> DataFrame:
     """group, n, rho of columns x and y, over rows that have both; null for few rows or a constant."""
-    full = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*group, "x", "y")
-    ranked = full.select(*group, average_rank("x", group).alias("rx"), average_rank("y", group).alias("ry"))
-    rho = safe_corr(F.col("rx"), F.col("ry"))
-    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.when(F.count(F.lit(1)) >= least, rho), places).alias("rho"))
+    n = F.col("n")
+    sums = _sums(rank_pairs(pairs, group), group)
+    got = sums.select(*group, F.coalesce(n, F.lit(0)).alias("n"), F.round(F.when(n >= least, _rho(n)), places).alias("rho"))
+    return got
+
+
+def rank_line(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """group, slope, intercept of the line of y's ranks on x's."""
+    slope, middle = F.try_divide(F.col("sxy"), F.col("sxx")), (F.col("n") + 1) / 2.0
+    return _sums(rank_pairs(pairs, group), group).select(*group, slope.alias("slope"), (middle - slope * middle).alias("intercept"))
 
 
 def with_effect(rhos: DataFrame) -> DataFrame:
@@ -47,13 +117,13 @@ def spearman_p(rhos: DataFrame, group: Sequence[str], places: int = 6) -> DataFr
 
 def mann_whitney(rows: DataFrame, group: Sequence[str], least: int = 2, places: int = 6) -> DataFrame:
     """group, sizes, U of the high side, rank-biserial effect, p with tie and continuity correction. rows: x, high (boolean)."""
-    full = rows.where(F.col("x").isNotNull() & F.col("high").isNotNull()).select(*group, "x", "high")
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, "x"))
-    ranked = full.select(*group, "x", "high", average_rank("x", group).alias("r"), ties.cast("double").alias("t"))
-    high = F.col("high")
-    one = ranked.groupBy(*group).agg(
-        F.sum(high.cast("bigint")).alias("n_high"), F.sum((~high).cast("bigint")).alias("n_low"), F.sum(F.when(high, F.col("r")).otherwise(0.0)).alias("__r"),
-        F.avg(F.when(high, F.col("x"))).alias("__mh"), F.avg(F.when(~high, F.col("x"))).alias("__ml"), F.sum(F.col("t") * F.col("t") - 1).alias("__ties"),
+    full = rows.where(F.col("x").isNotNull() & F.col("high").isNotNull())
+    counted = written(full.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("high").cast("bigint")).alias("k")), "counted")
+    n, k, x = F.col("n").cast("double"), F.col("k"), F.col("x")
+    of_low = F.col("n") - k
+    one = value_ranks(counted, "x", group).groupBy(*group).agg(
+        F.sum(k).alias("n_high"), F.sum(of_low).alias("n_low"), F.sum(F.col("rank") * k).alias("__r"),
+        F.try_divide(F.sum(x * k), F.sum(k)).alias("__mh"), F.try_divide(F.sum(x * of_low), F.sum(of_low)).alias("__ml"), F.sum(n * (n * n - 1)).alias("__ties"),
     ).where((F.col("n_high") >= least) & (F.col("n_low") >= least))
     h, low = F.col("n_high").cast("double"), F.col("n_low").cast("double")
     n = h + low
@@ -66,10 +136,11 @@ def mann_whitney(rows: DataFrame, group: Sequence[str], least: int = 2, places:
 
 def kruskal_wallis(rows: DataFrame, group: Sequence[str], places: int = 4) -> DataFrame:
     """group, n, k, H with tie correction. rows: x, cls."""
-    full = rows.where(F.col("x").isNotNull() & F.col("cls").isNotNull()).select(*group, "x", "cls")
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, "x"))
-    ranked = full.select(*group, "cls", average_rank("x", group).alias("r"), ties.cast("double").alias("t"))
-    by_class = ranked.groupBy(*group, "cls").agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("r").alias("sr"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    full = rows.where(F.col("x").isNotNull() & F.col("cls").isNotNull())
+    counted = written(full.groupBy(*group, "x", "cls").agg(F.count(F.lit(1)).alias("m")), "counted")
+    ranks = value_ranks(counted.groupBy(*group, "x").agg(F.sum("m").alias("n")), "x", group).select(*group, "x", "rank", F.col("n").cast("double").alias("t"))
+    m, t = F.col("m").cast("double"), F.col("t")
+    by_class = _matched(counted, ranks, [*group, "x"]).groupBy(*group, "cls").agg(F.sum(m).alias("m"), F.sum(F.col("rank") * m).alias("sr"), F.sum(m * (t * t - 1)).alias("ties"))
     one = by_class.groupBy(*group).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("sr") * F.col("sr") / F.col("m")).alias("s"), F.sum("ties").alias("ties"))
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
@@ -77,30 +148,66 @@ def kruskal_wallis(rows: DataFrame, group: Sequence[str], places: int = 4) -> Da
 
 
 def numbered(rows: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """i: 0, 1, ... in this order, within a group. For panels, which are thousands of rows."""
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint") - 1)
+    """i: 0, 1, ... in this order, within a group; rows that have the same order are in any. rows: written, or cheap to read again."""
+    cut = in_ranges(rows, order[0], group)
+    own = F.row_number().over(Window.partitionBy(*group, "range").orderBy(*order))
+    return _matched(cut.withColumn("__own", own), _before(cut, group, F.lit(1)).drop("all"), [*group, "range"]).withColumn("i", F.col("before") + F.col("__own") - 1).drop("__own", "before", "range")
 
 
 def replicates(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("b"))
 
 
-def fanned(rows: DataFrame, b: int) -> DataFrame:
-    """Each row in each of b replicates. Numbered rows come from one task; they are dealt out before they fan out."""
-    spark = rows.sparkSession
-    return rows.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(replicates(spark, b)))
+def panel_rows(panel: DataFrame, order: Sequence[str], group: Sequence[str] = (), columns: Sequence[str] = ("x", "y")) -> DataFrame:
+    """group, i, columns: the numbered rows that have all columns, written, since replicates draw from them by number."""
+    full = panel.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)))
+    rows = written(full.select(*dict.fromkeys([*order, *group, *columns])), "rows")
+    return written(numbered(rows, order, group).select(*group, "i", *columns), "panel")
 
 
-def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """group, b, rho of b resamples with replacement of a panel with columns x and y; draws are an md5 of (group, replicate, place).
+def _tasks(spark: SparkSession) -> int:
+    return 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def resampled(rows: DataFrame, b: int, group: Sequence[str] = ()) -> DataFrame:
+    """rows of panel_rows() as b resamples with replacement draw them; draws are an md5 of (group, replicate, place).
 
-    The replicates fan out before the join, so a panel of n rows makes b * n rows spread over all tasks.
+    Replicates are dealt over tasks before they fan out, and all that follows by replicate stays in its task.
     """
-    rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, *group, "x", "y"), order, group).select(*group, "i", "x", "y")
-    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    fan = replicates(panel.sparkSession, b).join(F.broadcast(n)).select(*group, "b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
-    drawn = fan.select(*group, "b", draw(F.col("n"), *(F.col(g) for g in group), F.col("b"), F.col("slot")).alias("i"))
-    return spearman(drawn.join(rows, [*group, "i"]), [*group, "b"], places=10)
+    spark = rows.sparkSession
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    fan = replicates(spark, b).join(F.broadcast(n)).repartition(_tasks(spark), *group, "b")
+    drawn = fan.select(*group, "b", "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__slot"))
+    drawn = drawn.select(*group, "b", draw(F.col("__n"), *(F.col(g) for g in group), F.col("b"), F.col("__slot")).alias("i"))
+    return drawn.join(rows, [*group, "i"]).drop("i")
+
+
+def _shuffled(rows: DataFrame, b: int) -> DataFrame:
+    """Each row in each of b replicates, with k, its place in the replicate's md5 order."""
+    spark = rows.sparkSession
+    key = F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")))
+    if rows.count() <= PANEL_ROWS:
+        fan = replicates(spark, b).repartition(_tasks(spark), "b").join(F.broadcast(rows))
+    else:
+        fan = rows.repartition(_tasks(spark)).join(F.broadcast(replicates(spark, b)))
+    return fan.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(key, "i")).cast("bigint") - 1)
+
+
+def _rhos_within(rows: DataFrame, by: Sequence[str], least: int = 5, places: int = 10) -> DataFrame:
+    """by, rho of each replicate: a replicate is in one task already, so its ranks are windows over its distinct pairs."""
+    pairs = rows.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+    def centred(v: str) -> Column:
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy(v).rangeBetween(Window.unboundedPreceding, 0))
+        return upto - (F.sum("n").over(Window.partitionBy(*by, v)) - 1) / 2.0 - (F.sum("n").over(Window.partitionBy(*by)) + 1) / 2.0
+
+    sums = _sums(pairs.withColumn("rx", centred("x")).withColumn("ry", centred("y")), by)
+    return sums.select(*by, F.round(F.when(F.col("n") >= least, _rho(F.col("n"))), places).alias("rho"))
+
+
+def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """group, b, rho of b resamples with replacement of a panel with columns x and y."""
+    return _rhos_within(resampled(panel_rows(panel, order, group), b, group), [*group, "b"])
 
 
 def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), places: int = 4) -> DataFrame:
@@ -118,12 +225,14 @@ def sign_stability(rhos: DataFrame, observed: DataFrame, places: int = 4) -> Dat
 
 
 def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
-    """b, rho after shuffling y by an md5 order."""
-    rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")
-    fan = fanned(rows, b)
-    key = F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")))
-    shuffled = fan.select("b", "y", (F.row_number().over(Window.partitionBy("b").orderBy(key, "i")).cast("bigint") - 1).alias("i"))
-    return spearman(shuffled.join(rows.select("i", "x"), "i"), ["b"], places=10)
+    """b, rho after shuffling y by an md5 order. Ranks stay what they are: a replicate only pairs them anew."""
+    rows = panel_rows(panel, order)
+    ranks = rank_pairs(rows.select("x", "y")).select("x", "y", "rx", "ry")
+    base = written(_matched(rows, ranks, ["x", "y"]).select("i", "rx", "ry"), "ranks")
+    paired = _shuffled(base.select("i", "ry"), b).select("b", "ry", F.col("k").alias("i")).join(base.select("i", "rx"), "i")
+    one = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+    sums = paired.groupBy("b").agg(F.sum(F.col("rx") * F.col("ry")).alias("sxy")).join(F.broadcast(one))
+    return sums.select("b", F.round(F.when(F.col("n") >= 5, _rho(F.col("n"))), 10).alias("rho"))
 
 
 def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -> DataFrame:
@@ -133,10 +242,8 @@ def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -
     return rows.groupBy("observed_rho", "n").agg(F.count(F.lit(1)).alias("n_permutations"), F.round(F.avg((F.abs("rho") >= F.abs("observed_rho")).cast("double")), places).alias("permutation_p"), F.round(F.avg("rho"), places).alias("null_mean"), F.round(F.stddev_samp("rho"), places).alias("null_std"), F.round(F.percentile(F.abs("rho"), F.lit(0.95)), places).alias("null_95th"))
 
 
-def subsample_rhos(panel: DataFrame, b: int, size: int, order: Sequence[str]) -> DataFrame:
-    """b, rho of b samples of `size` rows without replacement."""
-    rows = numbered(panel.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, "x", "y"), order).select("i", "x", "y")
-    fan = fanned(rows, b)
-    key = F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")))
-    kept = fan.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(key, "i"))).where(F.col("k") <= size)
-    return spearman(kept, ["b"], places=10)
+def subsample_rhos(panel: DataFrame, b: int, sizes: Sequence[int], order: Sequence[str]) -> DataFrame:
+    """size, b, rho of b samples without replacement of each size; a smaller sample is the beginning of a larger one."""
+    kept = _shuffled(panel_rows(panel, order), b).where(F.col("k") < max(sizes))
+    rows = kept.select("b", "k", "x", "y", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.col("k") < F.col("size"))
+    return _rhos_within(rows, ["b", "size"])

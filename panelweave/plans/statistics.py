@@ -110,7 +110,7 @@ def permutation_test_full(spark, sf_dir):
 
 @query(f"WITH {SORTED}, sr AS ({rho_sql('SELECT b, x, y FROM fan WHERE k < 30', 'b', places=10)}) SELECT count(*) AS n_trials, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive, round(avg(rho), 4) AS mean_rho FROM sr WHERE rho IS NOT NULL")
 def subsample_sign(spark, sf_dir, b=B):
-    r = rank_stats.subsample_rhos(xy(spark, sf_dir), b, 30, ["doc_id"]).where("rho is not null")
+    r = rank_stats.subsample_rhos(xy(spark, sf_dir), b, [30], ["doc_id"]).where("rho is not null")
     return r.agg(F.count(F.lit(1)).alias("n_trials"), F.round(F.avg((F.col("rho") > 0).cast("double")), 4).alias("share_positive"), F.round(F.avg("rho"), 4).alias("mean_rho"))
 
 
@@ -124,11 +124,8 @@ CURVE = [30, 90, 210]
 
 @query(f"WITH {SORTED}, c AS (SELECT unnest({CURVE}) AS size), sr AS ({rho_sql('SELECT size, b, x, y FROM fan, c WHERE k < size', 'size, b', places=10)}) SELECT size, count(rho) AS n_trials, round(avg(rho), 4) AS mean_rho FROM sr GROUP BY 1")
 def n_curve(spark, sf_dir, b=B):
-    pairs, out = xy(spark, sf_dir), None
-    for size in CURVE:
-        r = rank_stats.subsample_rhos(pairs, b, size, ["doc_id"]).agg(F.count("rho").alias("n_trials"), F.round(F.avg("rho"), 4).alias("mean_rho")).select(F.lit(size).cast("int").alias("size"), "n_trials", "mean_rho")
-        out = r if out is None else out.unionByName(r)
-    return out
+    r = rank_stats.subsample_rhos(xy(spark, sf_dir), b, CURVE, ["doc_id"])
+    return r.groupBy("size").agg(F.count("rho").alias("n_trials"), F.round(F.avg("rho"), 4).alias("mean_rho"))
 
 
 @query(full_sql("n_curve", N_BOOT))
@@ -231,12 +228,8 @@ def breusch_pagan(spark, sf_dir):
 
 @query(f"WITH {OK}, nn AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, x1, y FROM ok), dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', b, s)), 1, 8))::BIGINT % (SELECT count(*) FROM nn) AS i FROM range({B}) r(b), (SELECT i AS s FROM nn)), sl AS (SELECT b, regr_slope(y, x1) AS s FROM dr JOIN nn USING (i) GROUP BY 1) SELECT count(*) AS n_boot, round(avg(s), 5) AS mean, round(quantile_cont(s, 0.025), 5) AS ci_lo, round(quantile_cont(s, 0.975), 5) AS ci_hi FROM sl")
 def ols_bootstrap(spark, sf_dir, b=B):
-    from ..functions.stats import draw
-
-    rows = rank_stats.numbered(linear.complete(model_rows(spark, sf_dir), ["y", "x1", "x2"]), ["doc_id"]).select("i", "x1", "y")
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    fan = rank_stats.replicates(spark, b).join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
-    slopes = gap.line(fan.select("b", draw(F.col("n"), F.col("b"), F.col("slot")).alias("i")).join(rows, "i"), "y", "x1", ["b"])
+    rows = rank_stats.panel_rows(linear.complete(model_rows(spark, sf_dir), ["y", "x1", "x2"]), ["doc_id"], columns=["x1", "y"])
+    slopes = gap.line(rank_stats.resampled(rows, b), "y", "x1", ["b"])
     return slopes.agg(F.count("slope").alias("n_boot"), F.round(F.avg("slope"), 5).alias("mean"), F.round(F.percentile("slope", F.lit(0.025)), 5).alias("ci_lo"), F.round(F.percentile("slope", F.lit(0.975)), 5).alias("ci_hi"))
 
 
@@ -347,8 +340,8 @@ def fixed_effect_slope(spark, sf_dir):
 
 @query(f"WITH {PANEL}, rk AS (SELECT {AVG_RANK('total_tokens', '1')} AS rx, {AVG_RANK('grade', '1')} AS ry FROM pa) SELECT round(regr_slope(ry, rx), 5) AS slope, round(regr_intercept(ry, rx), 4) AS intercept FROM rk")
 def rank_trend(spark, sf_dir):
-    rows = rated(spark, sf_dir).select(rank_stats.average_rank("total_tokens").alias("rx"), rank_stats.average_rank("grade").alias("ry"))
-    return gap.line(rows, "ry", "rx").select(F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    line = rank_stats.rank_line(xy(spark, sf_dir))
+    return line.select(F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 @query(f"WITH {GRID_SQL}, s AS (SELECT exp_id, avg(len(t)) AS m FROM grid GROUP BY 1), b AS (SELECT m AS bm FROM s WHERE exp_id = 'exp_B') SELECT exp_id, round(m, 4) AS mean_tokens, round((bm - m) / bm * 100, 4) AS loss_pct FROM s, b")
