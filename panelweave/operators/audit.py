@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import any_of, has_any, literals
-from .tokens import MARK
+from .tokens import token_runs
 
 CLASSES = ("G_SIGNAL", "ESG_SIGNAL", "BOILERPLATE", "AMBIGUOUS", "GENERIC")
 
@@ -31,13 +31,9 @@ class Rules:
 
 
 def frequencies(tokenized: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """token, tf, df from a row per document: a document adds each token, and each distinct one once more under a mark, so only
-    counts by token are shuffled, combined before."""
-    once = F.transform(F.array_distinct(tokens), lambda t: F.concat(F.lit(MARK), t))
-    counts = tokenized.select(F.explode(F.concat(tokens, once)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    marked, x = F.col("x").startswith(MARK), F.col("x")
-    token = F.when(marked, F.substr(x, F.lit(len(MARK) + 1))).otherwise(x)
-    return counts.groupBy(token.alias("token")).agg(F.sum(F.when(~marked, F.col("n"))).alias("tf"), F.sum(F.when(marked, F.col("n"))).alias("df"))
+    """token, tf, df from a row per document, which adds each of its distinct tokens once, with its count: one aggregate."""
+    runs = token_runs(tokenized.select(F.col(tokens).alias("tokens")), [])
+    return runs.groupBy("token").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 def hint(token: Column, rules: Rules) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import token_runs
+
 
 def members(tokens: Column, terms: Sequence[str]) -> Column:
     """How many tokens, repeats counted, are in the list."""
@@ -36,8 +38,9 @@ def tfidf(counts: DataFrame, doc: str, n_docs: int, min_df: int = 2, max_feature
     return rows.select(doc, "token", (F.col("raw") / norm).alias("w"))
 
 
-def token_counts(tokens: DataFrame, doc: str) -> DataFrame:
-    return tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n"))
+def token_counts(tokenized: DataFrame, doc: str) -> DataFrame:
+    """doc, token, n of a row of tokens per document."""
+    return token_runs(tokenized, [doc]).groupBy(doc, "token").agg(F.sum("n").alias("n"))
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:

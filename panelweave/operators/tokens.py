@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -115,28 +115,72 @@ def run_grid(docs: DataFrame, keys: Sequence[str], text: str, grid: Sequence[Con
 MARK = "\x00"
 
 
-def grid_counts(docs: DataFrame, text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words, least: int = 2) -> DataFrame:
-    """exp_id, token, n of all experiments, from one scan and one aggregate; the token MARK counts documents, MARK + exp_id those that keep a token.
+def token_runs(tokenized: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, token, n: each distinct token of a row once, with its count.
+
+    The tokens of a row are sorted and their runs measured, so nothing is shuffled for it.
+    """
+    tokens, starts = F.col("tokens"), F.col("__starts")
+    rows = tokenized.where(F.size("tokens") > 0).select(*keys, F.sort_array("tokens").alias("tokens"))
+    first = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
+    rows = rows.withColumn("__starts", F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), first))
+    run = lambda at, j: F.struct(F.get(tokens, at).alias("token"), (F.coalesce(F.get(starts, j + 1), F.size("tokens")) - at).cast("bigint").alias("n"))
+    return rows.select(*keys, F.explode(F.transform(starts, run)).alias("__r")).select(*keys, "__r.token", "__r.n")
+
+
+def grid_rows(docs: DataFrame, text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words, least: int = 2) -> DataFrame:
+    """row, k, token, n: what each document has under each cleaning k, from one scan and without a shuffle.
 
-    Experiments that clean alike share their token lists: stop words go after the counting, from
-    distinct tokens. A document adds a mark for each experiment that leaves it a token.
+    Experiments that clean alike share a cleaning. The token MARK stands for the document itself, MARK + exp_id for
+    an experiment that leaves it a token. Stop words are in: they go after the counting, from distinct tokens.
     """
     alike = _cleanings(grid)
     own = [F.struct(F.lit(k).alias("k"), tokenizer(clean(tx.text_of(text), configs[0], lists)).alias("t")) for k, configs in enumerate(alike)]
     # exploded before the marks are added, so that no token list is made twice
-    token_lists = docs.select(F.explode(F.array(*own)).alias("__x")).select("__x.k", "__x.t")
+    token_lists = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*own)).alias("__x")).select("row", "__x.k", "__x.t")
     marked = F.lit(None)
     for k, configs in enumerate(alike):
         marked = F.when(F.col("k") == k, _with_marks(F.col("t"), {c.name: lists.removed(c) for c in configs}, least)).otherwise(marked)
-    counts = token_lists.select("k", F.explode(marked).alias("token")).groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.select(F.explode(_named(alike, F.col("k"))).alias("exp_id"), "token", "n")
-    is_mark = F.col("token").startswith(MARK)
+    return token_runs(token_lists.select("row", "k", marked.alias("tokens")), ["row", "k"])
+
+
+def grid_counts(docs: DataFrame, text: str, grid: Sequence[Config], lists: WordLists, tokenizer: Tokenizer = tx.words, least: int = 2) -> DataFrame:
+    """exp_id, token, n, df of all experiments, from one scan and one aggregate; see count_grid()."""
+    return count_grid(grid_rows(docs, text, grid, lists, tokenizer, least), grid, lists, least)
+
+
+def count_grid(rows: DataFrame, grid: Sequence[Config], lists: WordLists, least: int = 2) -> DataFrame:
+    """exp_id, token, n, df of grid_rows(); the token MARK counts documents, MARK + exp_id those that keep a token."""
+    counts = rows.groupBy("k", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+    named = counts.select("k", F.explode(_named(_cleanings(grid), F.col("k"))).alias("exp_id"), "token", "n", "df")
+    return named.where(_kept(grid, lists, least)).drop("k")
+
+
+def _kept(grid: Sequence[Config], lists: WordLists, least: int) -> Column:
+    """Whether exp_id keeps token; of the marks, its own and that of documents."""
     removed = F.lit(False)
     for c in grid:
         if lists.removed(c):
             removed = removed | ((F.col("exp_id") == c.name) & F.col("token").isin(lists.removed(c)))
     own_mark = (F.col("token") == MARK) | (F.col("token") == F.concat(F.lit(MARK), "exp_id"))
-    return rows.where(F.when(is_mark, own_mark).otherwise((F.length("token") >= least) & ~removed))
+    return F.when(F.col("token").startswith(MARK), own_mark).otherwise((F.length("token") >= least) & ~removed)
+
+
+def grid_weights(rows: DataFrame, counts: DataFrame, grid: Sequence[Config], min_df: int = 2, max_features: int = 500) -> DataFrame:
+    """exp_id, row, token, w: sublinear TF-IDF of each document under each experiment, rows of length 1, over a vocabulary for each.
+
+    rows: grid_rows(), written. counts: count_grid() of them. A vocabulary has max_features terms at most, the most
+    frequent ones, so all of them together are broadcast.
+    """
+    n_docs = counts.where(F.col("token") == MARK).select(F.col("exp_id").alias("__e"), F.col("n").alias("n_docs"))
+    place = F.row_number().over(Window.partitionBy("exp_id").orderBy(F.desc("n"), "token"))
+    terms = grid_tokens(counts).where(F.col("df") >= min_df).withColumn("__k", place).where(F.col("__k") <= max_features)
+    idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
+    of = F.create_map(*(x for k, configs in enumerate(_cleanings(grid)) for c in configs for x in (F.lit(c.name), F.lit(k))))
+    terms = terms.join(F.broadcast(n_docs), F.col("exp_id") == F.col("__e")).select("exp_id", "token", of[F.col("exp_id")].alias("k"), idf.alias("idf"))
+    raw = rows.join(F.broadcast(terms), ["k", "token"]).select("exp_id", "row", "token", ((1 + F.log(F.col("n").cast("double"))) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row", "exp_id")))
+    return raw.select("exp_id", "row", "token", (F.col("raw") / norm).alias("w"))
 
 
 def _with_marks(tokens: Column, removed: dict[str, Sequence[str]], least: int) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import audit, evaluate, features, passages, tokens
-from ..sources.tables import latest_per_key, pending, table
+from ..sources.scratch import written
+from ..sources.tables import dealt, latest_per_key, pending, table
 from .registry import query
 
 SEEDS = {"tion": "E", "ment": "E", "heit": "S", "able": "S", "ung": "G", "ble": "G"}
@@ -39,17 +40,13 @@ CATEGORY = "CASE WHEN len(list_distinct(list_transform(m, lambda s: {map}[s])))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def base_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", "lang", "source", tx.words(tx.text_of("text")).alias("tokens"))
 
 
-def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_rows(base_tokens(spark, sf_dir), ["doc_id", "lang"])
-
-
 @query(f"WITH {PARAS} SELECT doc_id, paragraph_id, length(text) AS n_chars, md5(text) AS digest FROM para")
 def paragraph_split(spark, sf_dir):
     return passages.paragraph_rows(docs(spark, sf_dir), ["doc_id"], "text").select("doc_id", F.col("paragraph_id"), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
@@ -230,7 +227,7 @@ AUDIT = f"""{TOK}, n AS (SELECT count(*)::DOUBLE AS n FROM documents), c AS (SEL
 
 
 def audited(spark, sf_dir):
-    n = docs(spark, sf_dir).count()
+    n = table(spark, sf_dir, "documents").count()
     return audit.audit(audit.frequencies(base_tokens(spark, sf_dir)), n, RULES)
 
 
@@ -320,8 +317,9 @@ def _tfidf_sql(min_df: int, limit: int | None, sublinear: bool, max_df: float =
 
 
 def weights(spark, sf_dir, **how):
-    n = docs(spark, sf_dir).count()
-    return features.tfidf(features.token_counts(rows_of(spark, sf_dir), "doc_id"), "doc_id", n, **how)
+    n = table(spark, sf_dir, "documents").count()
+    # counted once: vocabulary and weights both read it
+    return features.tfidf(written(features.token_counts(base_tokens(spark, sf_dir), "doc_id"), "token_counts"), "doc_id", n, **how)
 
 
 @query(f"WITH {_tfidf_sql(2, 500, True)}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, token) AS rank FROM w) SELECT doc_id, token, round(w, 5) AS w, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3")
@@ -342,9 +340,8 @@ def seed_tfidf_dim(spark, sf_dir):
 
 @query()
 def tfidf_char(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    counts = d.select("doc_id", F.explode(features.char_ngrams(tx.text_of("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    w = features.tfidf(counts, "doc_id", d.count(), max_features=5000)
+    counts = features.token_counts(docs(spark, sf_dir).select("doc_id", features.char_ngrams(tx.text_of("text")).alias("tokens")), "doc_id")
+    w = features.tfidf(written(counts, "gram_counts"), "doc_id", table(spark, sf_dir, "documents").count(), max_features=5000)
     return features.concentration(w, "doc_id", tx.has_any(F.col("token"), ["th", "un"]), 200, 4)
 
 
@@ -389,6 +386,37 @@ def eval_delta(spark, sf_dir):
     return evaluate.deltas(evaluate.metrics(grid(spark, sf_dir), LEXICONS, LISTS.protect), "exp_B", D_COLUMNS)
 
 
+SHARES = lambda src, p, with_tokens: ", ".join(f"count(*) FILTER (token IN ({q(LEXICONS[k])})) AS {p}_{k}_count, round(count(*) FILTER (token IN ({q(LEXICONS[k])})) * 100.0::DOUBLE / 30, 1) AS {p}_{k}_rate" + (f", coalesce(string_agg(token, ', ' ORDER BY rank) FILTER (token IN ({q(LEXICONS[k])})), '') AS {p}_{k}_tokens" if with_tokens else "") for k in ("bp", "esg", "g"))
+REPORT = f"""{RANKED}, s AS (SELECT exp_id, count(*) AS n_docs, round(avg(len(t)), 1) AS avg_token_count, round(avg(CASE WHEN len(t) > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 1) AS coverage_pct FROM grid GROUP BY 1),
+    vs AS (SELECT exp_id, count(DISTINCT token) AS vocab_size, count(DISTINCT CASE WHEN token IN ({q(LEXICONS['g'])}) THEN token END) AS g_signal_in_vocab FROM gl GROUP BY 1),
+    cn AS (SELECT exp_id, doc_id, token, count(*) AS n FROM gl GROUP BY 1, 2, 3), vo AS (SELECT exp_id, token, count(*) AS df, sum(n) AS tf FROM cn GROUP BY 1, 2 HAVING count(*) >= 2),
+    vt AS (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY tf DESC, token) AS r FROM vo),
+    rw AS (SELECT exp_id, doc_id, token, n_docs, (1 + ln(n::DOUBLE)) * (ln((1.0::DOUBLE + n_docs) / (1.0::DOUBLE + df)) + 1) AS w FROM cn JOIN vt USING (exp_id, token) JOIN s USING (exp_id) WHERE r <= 500),
+    nw AS (SELECT exp_id, token, n_docs, w / sqrt(sum(w * w) OVER (PARTITION BY exp_id, doc_id)) AS w FROM rw), mw AS (SELECT exp_id, token, round(sum(w) / any_value(n_docs), 9) AS mean FROM nw GROUP BY 1, 2),
+    tw AS (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY mean DESC, token) AS rank FROM mw QUALIFY rank <= 30),
+    bt AS (SELECT exp_id, string_agg(token, ' | ' ORDER BY rank) AS tf_top_n, {SHARES('tp', 'tf', True)} FROM tp GROUP BY 1), bw AS (SELECT exp_id, string_agg(token, ' | ' ORDER BY rank) AS tfidf_top_n, {SHARES('tw', 'tfidf', False)} FROM tw GROUP BY 1),
+    mi AS (SELECT e.exp_id, coalesce(string_agg(g.token, ', ' ORDER BY g.i) FILTER (h.token IS NULL), '') AS g_missing FROM (SELECT DISTINCT exp_id FROM grid) e, (SELECT unnest({array(LEXICONS['g'])}) AS token, unnest(range({len(LEXICONS['g'])})) AS i) g LEFT JOIN (SELECT DISTINCT exp_id, token FROM gl) h ON h.exp_id = e.exp_id AND h.token = g.token GROUP BY 1),
+    re AS (SELECT s.*, vocab_size, bt.* EXCLUDE (exp_id), bw.* EXCLUDE (exp_id), g_signal_in_vocab, {len(LEXICONS['g'])}::BIGINT AS g_signal_total, round(g_signal_in_vocab * 100.0::DOUBLE / {len(LEXICONS['g'])}, 1) AS g_signal_pct, g_missing FROM s JOIN vs USING (exp_id) JOIN bt USING (exp_id) JOIN bw USING (exp_id) JOIN mi USING (exp_id))"""
+
+
+def reported(spark, sf_dir):
+    return evaluate.report(tokens.grid_rows(docs(spark, sf_dir), "text", tokens.GRID, LISTS), tokens.GRID, LISTS, LEXICONS)
+
+
+@query(f"WITH {REPORT} SELECT * FROM re")
+def eval_report(spark, sf_dir):
+    """All fields an experiment is judged by."""
+    return reported(spark, sf_dir)
+
+
+R_COLUMNS = ["tf_bp_rate", "tf_esg_rate", "tf_g_rate", "avg_token_count", "vocab_size", "tfidf_bp_rate", "tfidf_esg_rate"]
+
+
+@query(f"WITH {REPORT}, b AS (SELECT * FROM re WHERE exp_id = 'exp_B') SELECT 'exp_B' AS baseline_exp, re.exp_id AS target_exp, " + ", ".join(f"round(coalesce(re.{c}, 0) - coalesce(b.{c}, 0), 1) AS delta_{c}" for c in R_COLUMNS) + ", b.g_signal_pct AS g_signal_pct_baseline, re.g_signal_pct AS g_signal_pct_target, re.g_missing AS g_missing_target FROM re, b WHERE re.exp_id IN ('exp_E', 'exp_F')")
+def eval_reduction(spark, sf_dir):
+    return evaluate.reduction(reported(spark, sf_dir), "exp_B", ["exp_E", "exp_F"])
+
+
 @query(f"WITH {GRID_SQL}, w AS (SELECT DISTINCT exp_id, p AS token FROM grid, (SELECT unnest({array(LISTS.protect + ['zzz'])}) AS p)) SELECT * FROM w EXCEPT SELECT exp_id, token FROM gl")
 def protected_missing(spark, sf_dir):
     return evaluate.missing_protected(grid(spark, sf_dir), [*LISTS.protect, "zzz"])

@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a task reads of a table at most; a file's row groups aren't split further.
+ROW_GROUP = 128 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows of files that hold fewer row groups than there are cores, dealt over all of them before costly work by row.
+
+    Such a table has less than a row group for each core, so this moves little; larger ones stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if max(len(rows.inputFiles()), size / ROW_GROUP) < cores else rows
+
+
 def read_strings(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with all columns as strings, so leading zeros stay; a byte order mark before the header goes."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
