@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,10 @@ def top_terms(weights: DataFrame, doc: str, k: int) -> DataFrame:
     return weights.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def wide(weights: DataFrame, doc: str, vocabulary: Sequence[str]) -> DataFrame:
-    return weights.groupBy(doc).pivot("token", [*vocabulary]).agg(F.first("w")).fillna(0.0)
+def wide(docs: DataFrame, weights: DataFrame, doc: str, vocabulary: Sequence[str]) -> DataFrame:
+    """A row for each document and a column for each term: 0 where a document lacks it, also in documents that have none."""
+    held = weights.where(F.col("token").isin([*vocabulary])).groupBy(doc).pivot("token", [*vocabulary]).agg(F.first("w"))
+    return docs.select(doc).distinct().join(held, doc, "left").fillna(0.0, [*vocabulary])
 
 
 def sparsity(seeds: DataFrame, counts: DataFrame, sparse_up_to: int = 10) -> DataFrame:
@@ -90,6 +94,66 @@ def expansion(vectors: DataFrame, seeds: DataFrame, key: str, vector: str, theta
     return rows.select("seed_id", "cos", F.explode(F.array(*(F.lit(float(t)) for t in thetas))).alias("theta")).groupBy("seed_id", "theta").agg(F.sum((F.col("cos") >= F.col("theta")).cast("bigint")).alias("n_candidates"))
 
 
+def _unit_blocks(rows: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """dim, keys and unit vectors (as the bytes of a float64 matrix) of `size` rows at most; vectors without a length take no part."""
+    ids, matrix = names
+    fields = pa.schema([("dim", pa.int32()), (ids, pa.list_(pa.int64())), (matrix, pa.binary())])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+        def block(dim: int, part: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"dim": dim, ids: [k for k, _ in part], matrix: np.vstack([v for _, v in part]).tobytes()}], fields)
+
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k is None or not v or any(x is None for x in v):
+                    continue
+                x = np.asarray(v, dtype=np.float64)
+                norm = float(np.sqrt(x @ x))
+                if not np.isfinite(norm) or norm == 0:
+                    continue
+                part = held.setdefault(len(x), [])
+                part.append((k, x / norm))
+                if len(part) == size:
+                    yield block(len(x), held.pop(len(x)))
+        for dim, part in held.items():
+            yield block(dim, part)
+
+    return rows.select(F.col(key).cast("bigint"), vector).mapInArrow(pack, f"dim int, {ids} array<bigint>, {matrix} binary")
+
+
+def nearest(vectors: DataFrame, seeds: DataFrame, key: str, vector: str, most: int = 100, least: float = 0.5, block: int = 1024, spread: int = 32) -> DataFrame:
+    """seed_id, rank, candidate, cos: of each seed the `most` candidates of the highest cosine, of `least` or more; a seed is no candidate of its own.
+
+    Seeds and vectors are packed in blocks, and every two blocks meet in one matrix product, which keeps `most` for a seed;
+    what the blocks keep is merged by seed. Neither side is broadcast or held whole: blocks of vectors are dealt over
+    `spread` groups, and a copy of the seeds' blocks goes through each. Cosines are to nine places; equal ones go by key.
+    """
+    left = _unit_blocks(seeds, key, vector, block // 4, ("seed_ids", "seed_matrix")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    right = _unit_blocks(vectors, key, vector, block, ("ids", "matrix")).withColumn("at", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
+    fields = pa.schema([("seed_id", pa.int64()), ("candidate", pa.int64()), ("cos", pa.float64())])
+
+    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                dim, a, b = row["dim"], np.asarray(row["seed_ids"]), np.asarray(row["ids"])
+                cos = np.round(np.frombuffer(row["seed_matrix"]).reshape(-1, dim) @ np.frombuffer(row["matrix"]).reshape(-1, dim).T, 9)
+                cos[a[:, None] == b[None, :]] = -np.inf
+                out = []
+                for i in np.flatnonzero((cos >= least).any(axis=1)):
+                    near = np.flatnonzero(cos[i] >= least)
+                    near = near[np.lexsort((b[near], -cos[i][near]))[:most]]
+                    out.append((np.full(len(near), a[i]), b[near], cos[i][near]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=fields)
+
+    met = right.join(left, ["dim", "at"]).select("dim", "seed_ids", "seed_matrix", "ids", "matrix")
+    found = met.mapInArrow(multiply, "seed_id bigint, candidate bigint, cos double")
+    rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("cos"), "candidate"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= most).select("seed_id", "rank", "candidate", "cos")
+
+
 def grade_number(c: Column, grades: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in grades.items() for x in pair)), c)
 

@@ -165,6 +165,73 @@ def extract(docs: DataFrame, keys: Sequence[str], text: str, patterns: dict[str,
     return {"sections": cut.withColumn("text", F.substring("text", 1, preview)), "passages": found, "documents": whole, "failures": failures}
 
 
+#: Columns of stage_rows() beside output and the keys.
+STAGE = {"section": "string", "paragraph_id": "int", "seed_count": "int", "esg_category": "string", "matched_seeds": "string", "text": "string", "n_passages": "int", "total_chars": "bigint", "step": "string", "error": "string"}
+
+
+def stage_rows(docs: DataFrame, keys: Sequence[str], text: str, patterns: dict[str, Sequence[str]], stops: Sequence[str], seeds: dict[str, str], least_seeds: int = 1, preview: int = 5000, sep: str = "\n\n") -> DataFrame:
+    """The four outputs of the extraction stage as one table: output (sections, passages, documents, failures), keys and the columns of STAGE.
+
+    All of a document's rows are made within its own row, so texts are read once and nothing is joined or shuffled.
+    Failures are those of extract(): read, section, passage. A section's text is cut to `preview` characters, for reading only.
+    """
+    t = F.col("__t")
+    found = F.array(*(F.struct(first_match(t, ps).alias("start"), F.lit(name).alias("section")) for name, ps in patterns.items()))
+    rows = docs.select(*keys, tx.text_of(text).alias("__t"))
+    rows = rows.select(*keys, "__t", (earliest(t, stops) if stops else F.lit(None).cast("int")).alias("__stop"), F.array_sort(F.filter(found, lambda x: x["start"].isNotNull())).alias("__s"))
+    after = lambda k: F.coalesce(F.get("__s", k + 1)["start"], F.length(t) + 1)
+    end = lambda x, k: F.when((x["start"] < F.col("__stop")) & (F.col("__stop") < after(k)), F.col("__stop")).otherwise(after(k))
+    cut = F.transform("__s", lambda x, k: F.struct(x["section"].alias("section"), tx.strip(F.substring(t, x["start"], end(x, k) - x["start"])).alias("text")))
+    rows = rows.select(*keys, (tx.strip(t) == "").alias("__empty"), cut.alias("__cut"))
+    pieces = lambda s: F.transform(tx.paragraphs(s["text"]), lambda x, i: F.struct(s["section"].alias("section"), i.alias("paragraph_id"), x.alias("text"), tx.matched(x, [*seeds]).alias("found")))
+    rows = rows.withColumn("__p", F.filter(F.flatten(F.transform("__cut", pieces)), lambda x: F.size(x["found"]) >= least_seeds))
+
+    def row(output: str, **own: Column) -> Column:
+        return F.struct(F.lit(output).alias("output"), *(own[c].cast(kind).alias(c) if c in own else F.lit(None).cast(kind).alias(c) for c, kind in STAGE.items()))
+
+    sections_out = F.transform("__cut", lambda s: row("sections", section=s["section"], text=F.substring(s["text"], 1, preview), total_chars=F.length(s["text"])))
+    passages_out = F.transform("__p", lambda x: row("passages", section=x["section"], paragraph_id=x["paragraph_id"], seed_count=F.size(x["found"]), esg_category=category(x["found"], seeds), matched_seeds=F.array_join(x["found"], "|"), text=x["text"]))
+    joined_text = F.array_join(F.transform("__p", lambda x: x["text"]), sep)
+    whole = row("documents", text=joined_text, n_passages=F.size("__p"), total_chars=F.length(joined_text))
+    failed = lambda step, error: row("failures", step=F.lit(step), error=F.lit(error))
+    last = F.when(F.col("__empty"), failed("read", "EMPTY")).when(F.size("__cut") == 0, failed("section", "NO_SECTION")).when(F.size("__p") == 0, failed("passage", "NO_PASSAGE")).otherwise(whole)
+    return rows.select(*keys, F.explode(F.concat(sections_out, passages_out, F.array(last))).alias("__o")).select("__o.output", *keys, *(f"__o.{c}" for c in STAGE))
+
+
+def run_stage(docs: DataFrame, path: str, keys: Sequence[str], *how: object, start: int = 0, end: int | None = None, append: bool = False, **more: object) -> DataFrame:
+    """Writes stage_rows() under path, a folder per output, in one pass over the documents; the table that is there then.
+
+    start, end: only these documents, in the order of their keys. append: adds to what is there and leaves out what is done,
+    which is every document that left a row, but for those that failed at `read`; so a stopped run goes on. Keys aren't null.
+    """
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if append and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        done = spark.read.parquet(path).where(F.coalesce(F.col("step") != "read", F.lit(True))).select(*keys)
+        docs = docs.join(done.distinct(), [*keys], "left_anti")
+    if start or end is not None:
+        docs = docs.orderBy(*keys).offset(start)
+        docs = docs if end is None else docs.limit(end - start)
+    stage_rows(docs, keys, *how, **more).write.partitionBy("output").mode("append" if append else "overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def text_pivot(rows: DataFrame, keys: Sequence[str], by: str, categories: Sequence[str], order: Sequence[str], text: str, sep: str = "\n\n") -> DataFrame:
+    """keys, n_rows, and for each category, and `other` for the rest and for null, its texts in order, joined, and their characters.
+
+    A key without a category has null text and no characters there. The rows of a key are one document's.
+    """
+    kind = F.when(F.col(by).isin([*categories]), F.col(by)).otherwise("other")
+    rows = rows.withColumn("__kind", kind)
+    out = [F.count(F.lit(1)).alias("n_rows")]
+    for c in dict.fromkeys([*categories, "other"]):
+        here = F.col("__kind") == c
+        parts = F.array_sort(F.collect_list(F.when(here & F.col(text).isNotNull(), F.struct(*order, F.col(text).alias("__text")))))
+        out.append(F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda x: x["__text"]), sep)).alias(f"text_{c}"))
+        out.append(F.coalesce(F.sum(F.when(here, F.length(text))), F.lit(0)).alias(f"chars_{c}"))
+    return rows.groupBy(*keys).agg(*out)
+
+
 def markup_sections(pages: DataFrame, keys: Sequence[str], markup: str, patterns: dict[str, Sequence[str]], stops: Sequence[str]) -> DataFrame:
     """Sections of marked-up pages: their text, cut where the patterns begin."""
     return sections(pages.select(*keys, tx.markup_to_text(tx.text_of(markup)).alias("__plain")), keys, "__plain", patterns, stops)

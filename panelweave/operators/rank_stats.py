@@ -211,10 +211,16 @@ def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequen
 
 
 def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), places: int = 4) -> DataFrame:
-    """Percentile interval and sign stability of replicate rhos."""
+    """Percentile interval of replicate rhos, whether 0 is outside of it, and the share of positive ones."""
     tail = (1 - level / 100) / 2
     p = lambda q: F.round(F.percentile("rho", F.lit(q)), places)
-    return rhos.where("rho is not null").groupBy(*group).agg(F.count(F.lit(1)).alias("n_boot"), p(tail).alias("ci_lo"), p(1 - tail).alias("ci_hi"), F.round(F.avg((F.col("rho") > 0).cast("double")), places).alias("share_positive"))
+    rows = rhos.where("rho is not null").groupBy(*group).agg(F.count(F.lit(1)).alias("n_boot"), p(tail).alias("ci_lo"), p(1 - tail).alias("ci_hi"), F.round(F.avg((F.col("rho") > 0).cast("double")), places).alias("share_positive"))
+    return rows.withColumn("ci_excludes_zero", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
+
+
+def with_interval(rhos: DataFrame, intervals: DataFrame, group: Sequence[str]) -> DataFrame:
+    """A table of rhos with the interval of each beside it, and its effect; one without replicates has nulls."""
+    return with_effect(rhos).join(intervals.drop("share_positive"), [*group], "left")
 
 
 def sign_stability(rhos: DataFrame, observed: DataFrame, places: int = 4) -> DataFrame:

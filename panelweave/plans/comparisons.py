@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, features, gap, linear, panel, passages, rank_stats, tokens
+from ..operators import audit, features, gap, linear, panel, passages, rank_stats, tokenizers, tokens
+from ..sources import collect
 from ..sources.tables import filed_in_window, id_map_check, key_lookup, table
 from . import documents as d
 from . import statistics as s
@@ -102,9 +103,14 @@ def spearman_p(spark, sf_dir):
 
 
 @query(f"WITH {s.BOOT}, ob AS ({s.rho_sql('SELECT 0 AS one, x, y FROM nu', 'one', places=10)}) SELECT count(*) AS n_boot, round(avg(CASE WHEN sign(rb.rho) = sign(ob.rho) THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_same_sign FROM rb, ob WHERE rb.rho IS NOT NULL")
-def sign_stability(spark, sf_dir):
+def sign_stability(spark, sf_dir, b=s.B):
     pairs = s.xy(spark, sf_dir)
-    return rank_stats.sign_stability(rank_stats.bootstrap_rhos(pairs, s.B, ["doc_id"]), rank_stats.spearman(pairs, [], places=10))
+    return rank_stats.sign_stability(rank_stats.bootstrap_rhos(pairs, b, ["doc_id"]), rank_stats.spearman(pairs, [], places=10))
+
+
+@query(s.full_sql("sign_stability", s.N_BOOT))
+def sign_stability_full(spark, sf_dir):
+    return sign_stability(spark, sf_dir, s.N_BOOT)
 
 
 HALF = "SELECT feature, x, y >= 2 AS high FROM (" + s.long_sql("") + ")"
@@ -155,20 +161,43 @@ def passage_log(spark, sf_dir):
     return passages.passage_log(rows, ["doc_id"], passages.sections(rows, ["doc_id"], "text", CUTS, ["password"]), passages.blank_line_passages(rows, ["doc_id"], "text", [*SEEDS]))
 
 
+EMPTY = STRIP.format("coalesce(text, '')") + " = ''"
+SLICED = f"""sl AS (SELECT doc_id, text, nullif(instr(text, 'password'), 0) AS stop, [{", ".join(f"{{'start': {FIRST(ps)}, 'section': '{k}'}}" for k, ps in CUTS.items())}] AS a FROM documents),
+    se AS (SELECT doc_id, text, stop, unnest(list_filter(a, lambda x: x.start IS NOT NULL)) AS x FROM sl),
+    sn AS (SELECT doc_id, text, stop, x.section AS section, x.start AS start, coalesce(lead(x.start) OVER (PARTITION BY doc_id ORDER BY x.start, x.section), length(text) + 1) AS nxt FROM se),
+    sec AS (SELECT doc_id, section, {STRIP.format("substring(text, start, CASE WHEN start < stop AND stop < nxt THEN stop ELSE nxt END - start)")} AS text FROM sn),
+    {d.PARAS.replace("SELECT doc_id,", "SELECT doc_id, section,").replace("FROM documents", "FROM sec")},
+    fp AS (SELECT * FROM (SELECT *, {d.FOUND} AS m FROM para) WHERE len(m) >= 2),
+    wh AS (SELECT doc_id, count(*) AS n_passages, string_agg(text, chr(10) || chr(10) ORDER BY ord, paragraph_id) AS whole FROM fp JOIN (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY start, section) AS ord FROM sn) USING (doc_id, section) GROUP BY 1),
+    fa AS (SELECT doc_id, CASE WHEN {EMPTY} THEN 'read' WHEN doc_id NOT IN (SELECT doc_id FROM sec) THEN 'section' WHEN doc_id NOT IN (SELECT doc_id FROM wh) THEN 'passage' END AS step FROM documents),
+    fl AS (SELECT doc_id, step, CASE step WHEN 'read' THEN 'EMPTY' WHEN 'section' THEN 'NO_SECTION' ELSE 'NO_PASSAGE' END AS error FROM fa WHERE step IS NOT NULL)"""
+
+
 def extracted(spark, sf_dir):
     return passages.extract(docs(spark, sf_dir), ["doc_id"], "text", CUTS, ["password"], SEEDS, 2)
 
 
-@query(f"WITH {SECTIONED} SELECT doc_id, 'read' AS step, 'EMPTY' AS error FROM documents WHERE {STRIP.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} = '' UNION ALL SELECT doc_id, 'section', 'NO_SECTION' FROM sg JOIN documents USING (doc_id) WHERE n_sections = 0 AND {STRIP.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} <> ''")
+@query(f"WITH {SLICED} SELECT doc_id, step, error FROM fl")
 def extraction_failures(spark, sf_dir):
-    return extracted(spark, sf_dir)["failures"].where("step <> 'passage'")
+    return extracted(spark, sf_dir)["failures"]
 
 
-@query()
+@query(f"WITH {SLICED} SELECT doc_id, count(*) AS n_passages, sum(length(text))::BIGINT AS total_chars FROM fp GROUP BY 1")
 def extraction_documents(spark, sf_dir):
     return extracted(spark, sf_dir)["documents"]
 
 
+@query(f"""WITH {SLICED}
+    SELECT 'sections' AS output, doc_id, section, NULL::INTEGER AS paragraph_id, NULL::INTEGER AS seed_count, NULL AS esg_category, NULL AS matched_seeds, NULL::INTEGER AS n_passages, length(text) AS total_chars, md5(left(text, 5000)) AS digest, NULL AS step, NULL AS error FROM sec
+    UNION ALL SELECT 'passages', doc_id, section, paragraph_id, len(m), {d.CATEGORY}, array_to_string(m, '|'), NULL, NULL, md5(text), NULL, NULL FROM fp
+    UNION ALL SELECT 'documents', doc_id, NULL, NULL, NULL, NULL, NULL, n_passages, length(whole), md5(whole), NULL, NULL FROM wh
+    UNION ALL SELECT 'failures', doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, step, error FROM fl""")
+def extraction_stage(spark, sf_dir):
+    """All four outputs of the stage, from one pass over the documents."""
+    rows = passages.stage_rows(docs(spark, sf_dir), ["doc_id"], "text", CUTS, ["password"], SEEDS, 2)
+    return rows.withColumn("digest", F.md5("text")).drop("text")
+
+
 TFIDF = d._tfidf_sql(2, None, False).replace(TOK + ", ", "")
 
 
@@ -253,10 +282,9 @@ def dense_text(spark, sf_dir):
 WIDE = ["the", "of", "que", "der"]
 
 
-@query(f"WITH {d._tfidf_sql(2, None, False)} SELECT doc_id, " + ", ".join(f"round(coalesce(max(CASE WHEN token = '{t}' THEN w END), 0), 5) AS {t}" for t in WIDE) + f" FROM w WHERE token IN ({q(WIDE)}) GROUP BY 1")
+@query(f"WITH {d._tfidf_sql(2, None, False)} SELECT d.doc_id, " + ", ".join(f"round(coalesce(max(CASE WHEN token = '{t}' THEN w END), 0), 5) AS {t}" for t in WIDE) + " FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN w USING (doc_id) GROUP BY 1")
 def tfidf_wide(spark, sf_dir):
-    w = d.weights(spark, sf_dir).where(F.col("token").isin(WIDE))
-    return features.wide(w, "doc_id", WIDE).select("doc_id", *(F.round(t, 5).alias(t) for t in WIDE))
+    return features.wide(docs(spark, sf_dir), d.weights(spark, sf_dir), "doc_id", WIDE).select("doc_id", *(F.round(t, 5).alias(t) for t in WIDE))
 
 
 @query(f"WITH {d.CLASSED} SELECT token, tf, confidence FROM cl WHERE auto_class = 'AMBIGUOUS'")
@@ -288,11 +316,16 @@ def variant_preservation(spark, sf_dir):
 YEARS = f"{s.PANEL}, ny AS (SELECT yr, row_number() OVER (PARTITION BY yr ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n, total_tokens::DOUBLE AS x, grade::DOUBLE AS y FROM pa WHERE total_tokens IS NOT NULL AND grade IS NOT NULL), dy AS (SELECT yr, b, ('0x' || substr(md5(concat_ws('|', yr, b, i)), 1, 8))::BIGINT % n AS i FROM ny, range({s.B}) r(b)), ry AS ({s.rho_sql('SELECT yr, b, x, y FROM dy JOIN ny USING (yr, i)', 'yr, b', places=10)})"
 
 
-@query(f"WITH {YEARS} SELECT yr, count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive FROM ry WHERE rho IS NOT NULL GROUP BY 1")
-def year_bootstrap(spark, sf_dir):
+@query(f"WITH {YEARS} SELECT yr, count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive, ci_lo > 0 OR ci_hi < 0 AS ci_excludes_zero FROM ry WHERE rho IS NOT NULL GROUP BY 1")
+def year_bootstrap(spark, sf_dir, b=s.B):
     """The bootstrap interval of each year."""
     rows = s.rated(spark, sf_dir).select("doc_id", "yr", F.col("total_tokens").cast("double").alias("x"), F.col("grade").cast("double").alias("y"))
-    return rank_stats.interval(rank_stats.bootstrap_rhos(rows, s.B, ["doc_id"], ["yr"]), group=["yr"])
+    return rank_stats.interval(rank_stats.bootstrap_rhos(rows, b, ["doc_id"], ["yr"]), group=["yr"])
+
+
+@query(s.full_sql("year_bootstrap", s.N_BOOT))
+def year_bootstrap_full(spark, sf_dir):
+    return year_bootstrap(spark, sf_dir, s.N_BOOT)
 
 
 @query()
@@ -300,3 +333,39 @@ def ordered_logit_scaled(spark, sf_dir):
     """The ordered logit on z-scores."""
     rows = linear.complete(s.model_rows(spark, sf_dir), ["y", "x1", "x2"])
     return linear.ordered_logit(linear.standardized(rows, ["x1", "x2"]), "y", ["x1", "x2"])
+
+
+@query("SELECT d.doc_id, coalesce(tried, 0)::INTEGER AS attempts FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN (SELECT doc_id, min(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS again, sum(1 + doc_id % 4) AS tried FROM labels GROUP BY 1) l USING (doc_id) WHERE (tried IS NULL OR again = 1 AND tried < 3) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
+def collect_open(spark, sf_dir):
+    """Documents to collect: labels stand for the log of earlier tries, quality 0 for a failed one, toxic ones for the exclusion list."""
+    tried = labels(spark, sf_dir)
+    log = tried.select("doc_id", F.when(F.col("quality") == 0, collect.FAILED).otherwise(collect.OK).alias("status"), (1 + F.col("doc_id") % 4).cast("int").alias("attempts"))
+    return collect.still_open(table(spark, sf_dir, "documents").select("doc_id"), log, ["doc_id"], tried.where("toxic = 1"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM tok")
+def named_tokenizer(spark, sf_dir):
+    """Tokens of the first tokenizer of three that the workers have."""
+    t = tokenizers.named("kiwi", "okt", "letters")(tx.text_of("text"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+ROLES = ["user", "assistant"]
+
+
+@query("SELECT conv_id, count(*) AS n_rows, " + ", ".join(f"md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER ({c})) AS text_{k}, coalesce(sum(length(text)) FILTER ({c}), 0)::BIGINT AS chars_{k}" for k, c in (*((r, f"role = '{r}'") for r in ROLES), ("other", f"role IS NULL OR role NOT IN ({q(ROLES)})"))) + " FROM conversations GROUP BY 1")
+def role_text_pivot(spark, sf_dir):
+    """A conversation with the text of each role in a column of its own."""
+    got = passages.text_pivot(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ROLES, ["turn"], "text")
+    return got.withColumns({f"text_{k}": F.md5(f"text_{k}") for k in (*ROLES, "other")})
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+    c AS (SELECT s.vec_id AS seed_id, v.vec_id AS candidate, round(list_cosine_similarity(s.e, v.e), 9) AS cos FROM v s JOIN v ON v.vec_id <> s.vec_id WHERE s.vec_id % 20 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY cos DESC, candidate) AS INTEGER) AS rank FROM c WHERE cos >= 0.2)
+    SELECT seed_id, rank, candidate, round(cos, 6) AS cos, cos >= 0.5 AS at_50, cos >= 0.6 AS at_60, cos >= 0.7 AS at_70, cos >= 0.8 AS at_80 FROM r WHERE rank <= 100""")
+def embedding_expansion(spark, sf_dir):
+    """The 100 nearest candidates of every seed from a cosine of 0.2 on, since few of the given vectors are nearer, and which thresholds each reaches."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got = features.nearest(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", least=0.2)
+    return got.select("seed_id", "rank", "candidate", F.round("cos", 6).alias("cos"), *((F.col("cos") >= t / 100).alias(f"at_{t}") for t in (50, 60, 70, 80)))

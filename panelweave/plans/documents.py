@@ -105,9 +105,11 @@ def conversation_document(spark, sf_dir):
     return passages.joined(rows, ["conv_id"], ["turn"], "text").select("conv_id", "n_passages", "total_chars", F.md5("document").alias("digest"))
 
 
-@query("SELECT source, count(*) AS n_docs, " + ", ".join(f"sum(CASE WHEN lang = '{k}' THEN length(text) END)::BIGINT AS chars_{k}" for k in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n_docs, " + ", ".join(f"sum(CASE WHEN lang = '{k}' THEN length(text) END)::BIGINT AS chars_{k}" for k in ("de", "en", "es", "fr")) + " , sum(CASE WHEN lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr') THEN length(text) END)::BIGINT AS chars_other FROM documents GROUP BY source")
 def section_text_pivot(spark, sf_dir):
-    chars = (F.sum(F.when(F.col("lang") == k, F.length("text"))).alias(f"chars_{k}") for k in ("de", "en", "es", "fr"))
+    known = ("de", "en", "es", "fr")
+    kind = F.when(F.col("lang").isin([*known]), F.col("lang")).otherwise("other")
+    chars = (F.sum(F.when(kind == k, F.length("text"))).alias(f"chars_{k}") for k in (*known, "other"))
     return docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *chars)
 
 

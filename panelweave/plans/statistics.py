@@ -54,11 +54,12 @@ def rho_matrix(spark, sf_dir):
     return rank_stats.spearman(long(spark, sf_dir, ["lang"]), ["lang", "feature"])
 
 
-@query(f"WITH {PANEL}, r AS ({rho_sql(long_sql('lang'), 'lang, feature')}) SELECT feature, round(max(CASE WHEN lang = 'en' THEN rho END) - max(CASE WHEN lang = 'fr' THEN rho END), 4) AS delta_rho FROM r GROUP BY 1")
+@query(f"WITH {PANEL}, r AS ({rho_sql(long_sql('lang'), 'lang, feature')}) SELECT feature, a.lang AS lang_a, b.lang AS lang_b, round(a.rho - b.rho, 4) AS delta_rho FROM r a JOIN r b USING (feature) WHERE a.lang < b.lang")
 def rho_delta(spark, sf_dir):
+    """Each two languages' difference, the one that comes first less the other."""
     r = rank_stats.spearman(long(spark, sf_dir, ["lang"]), ["lang", "feature"])
-    wide = r.groupBy("feature").pivot("lang", ["en", "fr"]).agg(F.first("rho"))
-    return wide.select("feature", F.round(F.col("en") - F.col("fr"), 4).alias("delta_rho"))
+    a, b = (r.select("feature", F.col("lang").alias(f"lang_{x}"), F.col("rho").alias(f"rho_{x}")) for x in "ab")
+    return a.join(b, "feature").where("lang_a < lang_b").select("feature", "lang_a", "lang_b", F.round(F.col("rho_a") - F.col("rho_b"), 4).alias("delta_rho"))
 
 
 @query(f"WITH {PANEL}, r AS ({rho_sql(long_sql('lang'), 'lang, feature')}) SELECT feature, count(rho) AS n, round(max(rho) - min(rho), 4) AS rho_range, coalesce(min(sign(rho)) = max(sign(rho)), false) AS sign_consistent FROM r GROUP BY 1")
@@ -87,7 +88,7 @@ SORTED = f"{NUMBERED}, fan AS (SELECT b, i, x, y, row_number() OVER (PARTITION B
 BOOT = f"{NUMBERED}, dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', b, s)), 1, 8))::BIGINT % (SELECT count(*) FROM nu) AS i FROM range({B}) r(b), (SELECT i AS s FROM nu)), rb AS ({rho_sql('SELECT b, x, y FROM dr JOIN nu USING (i)', 'b', places=10)})"
 
 
-@query(f"WITH {BOOT} SELECT count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive FROM rb WHERE rho IS NOT NULL")
+@query(f"WITH {BOOT} SELECT count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi, round(avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS share_positive, ci_lo > 0 OR ci_hi < 0 AS ci_excludes_zero FROM rb WHERE rho IS NOT NULL")
 def spearman_bootstrap(spark, sf_dir, b=B):
     return rank_stats.interval(rank_stats.bootstrap_rhos(xy(spark, sf_dir), b, ["doc_id"]))
 
@@ -97,6 +98,16 @@ def spearman_bootstrap_full(spark, sf_dir):
     return spearman_bootstrap(spark, sf_dir, N_BOOT)
 
 
+DRAWN = f"{PANEL}, lo AS ({long_sql('doc_id')}), nf AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY feature) AS n, x, y FROM lo WHERE x IS NOT NULL AND y IS NOT NULL), df AS (SELECT feature, b, ('0x' || substr(md5(concat_ws('|', feature, b, i)), 1, 8))::BIGINT % n AS i FROM nf, range({N_BOOT}) r(b)), rf AS ({rho_sql('SELECT feature, b, x, y FROM df JOIN nf USING (feature, i)', 'feature, b', places=10)})"
+
+
+@query(f"WITH {DRAWN}, r AS ({rho_sql('SELECT feature, x, y FROM lo', 'feature')}), iv AS (SELECT feature, count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi FROM rf WHERE rho IS NOT NULL GROUP BY 1) SELECT r.*, {EFFECT} AS effect, n_boot, ci_lo, ci_hi, ci_lo > 0 OR ci_hi < 0 AS ci_excludes_zero FROM r LEFT JOIN iv USING (feature)")
+def metrics_with_interval(spark, sf_dir):
+    """The metrics of every feature with the interval of 3,000 resamples."""
+    rows = long(spark, sf_dir, ["doc_id"])
+    return rank_stats.with_interval(rank_stats.spearman(rows, ["feature"]), rank_stats.interval(rank_stats.bootstrap_rhos(rows, N_BOOT, ["doc_id"], ["feature"]), group=["feature"]), ["feature"])
+
+
 @query(f"WITH {SORTED}, pr AS ({rho_sql('SELECT b, n.x AS x, fan.y AS y FROM fan JOIN nu n ON n.i = fan.k', 'b', places=10)}), ob AS ({rho_sql('SELECT 0 AS one, x, y FROM nu', 'one')}) SELECT ob.rho AS observed_rho, ob.n AS n, count(*) AS n_permutations, round(avg(CASE WHEN abs(pr.rho) >= abs(ob.rho) THEN 1.0::DOUBLE ELSE 0 END), 4) AS permutation_p, round(avg(pr.rho), 4) AS null_mean, round(stddev_samp(pr.rho), 4) AS null_std, round(quantile_cont(abs(pr.rho), 0.95), 4) AS null_95th FROM pr, ob WHERE pr.rho IS NOT NULL GROUP BY 1, 2")
 def permutation_test(spark, sf_dir, b=B):
     pairs = xy(spark, sf_dir)
