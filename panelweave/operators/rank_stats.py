@@ -194,7 +194,7 @@ def _shuffled(rows: DataFrame, b: int) -> DataFrame:
 
 
 def _rhos_within(rows: DataFrame, by: Sequence[str], least: int = 5, places: int = 10) -> DataFrame:
-    """by, rho of each replicate: a replicate is in one task already, so its ranks are windows over its distinct pairs."""
+    """by, n, rho of each replicate: a replicate is in one task already, so its ranks are windows over its distinct pairs."""
     pairs = rows.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
     def centred(v: str) -> Column:
@@ -202,11 +202,11 @@ def _rhos_within(rows: DataFrame, by: Sequence[str], least: int = 5, places: int
         return upto - (F.sum("n").over(Window.partitionBy(*by, v)) - 1) / 2.0 - (F.sum("n").over(Window.partitionBy(*by)) + 1) / 2.0
 
     sums = _sums(pairs.withColumn("rx", centred("x")).withColumn("ry", centred("y")), by)
-    return sums.select(*by, F.round(F.when(F.col("n") >= least, _rho(F.col("n"))), places).alias("rho"))
+    return sums.select(*by, "n", F.round(F.when(F.col("n") >= least, _rho(F.col("n"))), places).alias("rho"))
 
 
 def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """group, b, rho of b resamples with replacement of a panel with columns x and y."""
+    """group, b, n, rho of b resamples with replacement of a panel with columns x and y."""
     return _rhos_within(resampled(panel_rows(panel, order, group), b, group), [*group, "b"])
 
 
@@ -231,14 +231,14 @@ def sign_stability(rhos: DataFrame, observed: DataFrame, places: int = 4) -> Dat
 
 
 def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
-    """b, rho after shuffling y by an md5 order. Ranks stay what they are: a replicate only pairs them anew."""
+    """b, n, rho after shuffling y by an md5 order. Ranks stay what they are: a replicate only pairs them anew."""
     rows = panel_rows(panel, order)
     ranks = rank_pairs(rows.select("x", "y")).select("x", "y", "rx", "ry")
     base = written(_matched(rows, ranks, ["x", "y"]).select("i", "rx", "ry"), "ranks")
     paired = _shuffled(base.select("i", "ry"), b).select("b", "ry", F.col("k").alias("i")).join(base.select("i", "rx"), "i")
     one = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
     sums = paired.groupBy("b").agg(F.sum(F.col("rx") * F.col("ry")).alias("sxy")).join(F.broadcast(one))
-    return sums.select("b", F.round(F.when(F.col("n") >= 5, _rho(F.col("n"))), 10).alias("rho"))
+    return sums.select("b", "n", F.round(F.when(F.col("n") >= 5, _rho(F.col("n"))), 10).alias("rho"))
 
 
 def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -> DataFrame:
@@ -249,7 +249,7 @@ def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -
 
 
 def subsample_rhos(panel: DataFrame, b: int, sizes: Sequence[int], order: Sequence[str]) -> DataFrame:
-    """size, b, rho of b samples without replacement of each size; a smaller sample is the beginning of a larger one."""
+    """b, size, n, rho of b samples without replacement of each size; a smaller sample is the beginning of a larger one."""
     kept = _shuffled(panel_rows(panel, order), b).where(F.col("k") < max(sizes))
     rows = kept.select("b", "k", "x", "y", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.col("k") < F.col("size"))
     return _rhos_within(rows, ["b", "size"])

@@ -80,20 +80,32 @@ def density_filter(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+TERMS = lambda terms, x: "(" + " + ".join(f"CASE WHEN contains({x}, '{t}') THEN 1 ELSE 0 END" for t in sorted({*terms})) + ")"
+#: Sentences of each paragraph, in which pieces under 15 characters join the one before them: a fold over the pieces.
+SENTENCES = rf"""{PARAS},
+    pc AS (SELECT doc_id, paragraph_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+(\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS p FROM para),
+    fo AS (SELECT doc_id, paragraph_id, text AS paragraph, CASE WHEN len(p) = 0 THEN [text] ELSE list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(x[1]) < 15 THEN list_concat(a[1:len(a) - 1], [a[len(a)] || ' ' || x[1]]) ELSE list_concat(a, x) END) END AS s FROM pc),
+    sx AS (SELECT doc_id, paragraph_id, paragraph, s[k] AS sentence, k - 1 AS pos FROM fo, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS k)),
+    sh AS (SELECT *, {TERMS([*SEEDS, *SIGNAL], 'sentence')} AS esg_hit, {TERMS(GOVERN, 'sentence')} AS g_hit, {TERMS(GENERIC, 'sentence')} AS generic_hit, {TERMS(FINANCE, 'sentence')} AS finance_hit, length(sentence)::DOUBLE AS n_chars FROM sx),
+    sd AS (SELECT *, coalesce(esg_hit * 100.0::DOUBLE / nullif(n_chars, 0), 0) AS esg_density, coalesce(g_hit * 100.0::DOUBLE / nullif(n_chars, 0), 0) AS g_density, coalesce(generic_hit * 100.0::DOUBLE / nullif(n_chars, 0), 0) AS generic_density, coalesce(finance_hit * 100.0::DOUBLE / nullif(n_chars, 0), 0) AS finance_density, coalesce((esg_hit + g_hit) * 100.0::DOUBLE / nullif(n_chars, 0), 0) AS signal_density FROM sh)"""
+DENSE = lambda least: f"""kp AS (SELECT *, max(CASE WHEN g_hit > 0 OR (esg_hit + g_hit > 0 AND signal_density >= {least}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, paragraph_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS keep FROM sd),
+    dn AS (SELECT doc_id, paragraph_id, count(*) AS n_sentences, sum(keep)::BIGINT AS n_kept, CASE WHEN sum(keep) > 0 AND count(*) > 1 THEN string_agg(sentence, ' ' ORDER BY pos) FILTER (keep = 1) ELSE any_value(paragraph) END AS text FROM kp GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SENTENCES}, {DENSE('0.5::DOUBLE')} SELECT doc_id, paragraph_id, n_sentences, n_kept, length(text) AS n_chars FROM dn")
 def sentence_density(spark, sf_dir):
     own = ["doc_id", "paragraph_id"]
     scored = passages.score_sentences(passages.paragraph_rows(docs(spark, sf_dir), ["doc_id"], "text"), own, LEX, LATIN_SENTENCE)
     return passages.density_filter(scored, own, 1, 0.5).select(*own, "n_sentences", "n_kept", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(f"WITH {SENTENCES} SELECT doc_id, count(*) AS n_sentences, sum(CASE WHEN g_hit > 0 THEN 1 ELSE 0 END)::BIGINT AS n_g_sentences, sum(CASE WHEN esg_hit > 0 THEN 1 ELSE 0 END)::BIGINT AS n_esg_sentences, " + ", ".join(f"round(avg({k}_density), 4) AS mean_{k}_density" for k in ("esg", "g", "generic", "finance")) + ", round(avg(esg_density) / greatest(avg(generic_density), 0.001::DOUBLE), 4) AS esg_generic_ratio, round(avg(CASE WHEN generic_density > signal_density THEN 1.0::DOUBLE ELSE 0 END), 4) AS generic_dominant_share FROM sd GROUP BY 1")
 def passage_features(spark, sf_dir):
     scored = passages.score_sentences(passages.paragraph_rows(docs(spark, sf_dir), ["doc_id"], "text"), ["doc_id", "paragraph_id"], LEX, LATIN_SENTENCE)
     return passages.passage_features(scored, ["doc_id"])
 
 
-@query()
+@query(f"WITH {SENTENCES}, {DENSE('0.0::DOUBLE')}, lg AS (SELECT *, {FOUND} AS m FROM dn WHERE length(text) >= 20) SELECT doc_id, paragraph_id, CAST(len(m) AS INTEGER) AS seed_count, {CATEGORY} AS esg_category, CAST(length(text) AS INTEGER) AS n_chars FROM lg WHERE len(m) >= 1 AND ({ANY(GOVERN)} OR {ANY(SIGNAL)} OR {RATIO} <= 0.25)")
 def section_to_passages(spark, sf_dir):
     got = passages.section_to_passages(docs(spark, sf_dir), ["doc_id"], "text", LEX, pattern=LATIN_SENTENCE)
     return got.select("doc_id", "paragraph_id", "seed_count", "esg_category", F.length("text").alias("n_chars"))
@@ -340,7 +352,10 @@ def seed_tfidf_dim(spark, sf_dir):
     return features.seed_weights(weights(spark, sf_dir), "doc_id", SEED_TERMS)
 
 
-@query()
+GRAMS = f"""wd AS (SELECT doc_id, ' ' || unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM documents), tl AS (SELECT doc_id, substring(w, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS token FROM wd, range(2, 5) g(n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i))"""
+
+
+@query(f"WITH {_tfidf_sql(2, 5000, False).replace(TOK, GRAMS)}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS k FROM w) SELECT doc_id, round(sum(CASE WHEN contains(token, 'th') OR contains(token, 'un') THEN w ELSE 0.0 END) / nullif(sum(w), 0), 4) AS concentration FROM rk WHERE k <= 200 GROUP BY 1")
 def tfidf_char(spark, sf_dir):
     counts = features.token_counts(docs(spark, sf_dir).select("doc_id", features.char_ngrams(tx.text_of("text")).alias("tokens")), "doc_id")
     w = features.tfidf(written(counts, "gram_counts"), "doc_id", table(spark, sf_dir, "documents").count(), max_features=5000)

@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.functions.stats import student_p
 from panelweave.operators import linear, passages, rank_stats
@@ -142,3 +143,43 @@ def test_csv_and_stop_words(spark, tmp_path):
 def test_listed_companies(spark):
     raw = spark.createDataFrame([("126", " 5930 ", "A"), ("1", None, "B"), ("2", "nan", "C")], "corp_code string, stock_code string, corp_name string")
     assert [tuple(r) for r in tables.listed_companies(raw).collect()] == [("00000126", "005930", "A")]
+
+
+def test_logits_converge_or_say_so(spark):
+    rng = np.random.default_rng(4)
+    x1, x2 = rng.normal(50, 3, 600), rng.integers(0, 3, 600).astype(float)
+    latent = 0.3 * (x1 - 50) - 0.8 * x2 + rng.logistic(size=600)
+    grade = np.digitize(latent, [-2.0, -0.5, 1.0]).astype(float)
+    rows = spark.createDataFrame([*zip(x1.tolist(), x2.tolist(), grade.tolist(), strict=True)], "x1 double, x2 double, y double")
+    got = {r["term"]: r for r in linear.ordered_logit(rows, "y", ["x1", "x2"]).collect()}
+    assert all(r["converged"] for r in got.values())
+    theta = np.array([got[t]["coef"] for t in ("cut_1", "cut_2", "cut_3", "x1", "x2")])
+
+    def ll(t):
+        cdf = np.concatenate([np.zeros((600, 1)), 1 / (1 + np.exp(-(t[:3] - (t[3] * x1 + t[4] * x2)[:, None]))), np.ones((600, 1))], axis=1)
+        return np.log(np.diff(cdf, axis=1)[np.arange(600), grade.astype(int)]).sum()
+
+    best = ll(theta)
+    for i in range(5):
+        for h in (1e-3, -1e-3):
+            assert ll(theta + h * np.eye(5)[i]) < best  # a maximum
+    h = 1e-3
+    hessian = np.array([[(ll(theta + h * (a + b)) - ll(theta + h * (a - b)) - ll(theta - h * (a - b)) + ll(theta - h * (a + b))) / (4 * h * h) for b in np.eye(5)] for a in np.eye(5)])
+    assert np.allclose([got[t]["se"] for t in ("x1", "x2")], np.sqrt(np.diag(np.linalg.inv(-hessian)))[3:], rtol=0.05)
+    apart = spark.createDataFrame([(float(i), float(i >= 20)) for i in range(40)], "x double, y double")
+    assert not any(r["converged"] for r in linear.logit(apart, "y", ["x"]).collect())
+    fine = linear.logit(rows.withColumn("y", (F.col("y") > 1).cast("double")), "y", ["x1", "x2"]).collect()
+    assert all(r["converged"] for r in fine)
+
+
+def test_fits_of_many_groups(spark):
+    """Each group's fit, null's too, without any of them in the driver; groups too small have none."""
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 50 == 0 else int(i % 50), float(a), float(2 * a + i % 50 + 1e6)) for i, a in enumerate(rng.normal(size=2000))] + [(99, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "g int, x double, y double")
+    for robust in (False, True):
+        got = {(r["g"], r["term"]): r["coef"] for r in linear.ols_by(frame, "y", ["x"], ["g"], robust).collect()}
+        assert len(got) == 100 and (99, "x") not in got
+        assert all(abs(got[g, "x"] - 2) < 1e-6 for g in [None, *range(1, 50)])
+    left = linear.residuals(frame.where("g = 7"), "y", ["x"])
+    assert left.columns == ["g", "x", "y", "residual"] and max(abs(r["residual"]) for r in left.collect()) < 1e-6
