@@ -93,8 +93,14 @@ def records(batch: pa.RecordBatch, date: str) -> Iterator[tuple[object, bytes]]:
 
 def dictionary(pages: DataFrame, date: str, sample: int, sample_bytes: int, size: int) -> bytes:
     """A Zstandard dictionary of records of the pages with the `sample` least hashes, at most sample_bytes of each; b"" for too few."""
+    if not sample or not (n := pages.count()):
+        return b""
+    # hashes below this are some more than the sample, whatever the number of tasks, each of which would send as many otherwise
+    below = min(2.0, 2.4 * sample / n) * 2**62
+    order = F.abs(F.shiftright(F.xxhash64("page_id", "url"), 1))
+    picked = pages.select("page_id", "url", F.coalesce("html", F.lit("")).substr(1, sample_bytes).alias("html"), order.alias("order")).where(F.col("order") <= F.lit(below))
     # the driver holds sample * sample_bytes bytes at most
-    picked = pages.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").select("page_id", "url", F.coalesce("html", F.lit("")).substr(1, sample_bytes).alias("html")).limit(sample)
+    picked = picked.orderBy("order", "page_id", "url").limit(sample)
     rows = [record(r["page_id"], r["url"], p := r["html"].encode()[:sample_bytes], len(p), None, None, date) for r in picked.collect()]
     if len(rows) < LEAST_SAMPLE:
         return b""
