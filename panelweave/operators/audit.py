@@ -78,8 +78,8 @@ def infer_n_docs(audited: DataFrame, default: int = 30) -> DataFrame:
     return usable.agg(F.coalesce(F.floor(F.percentile(F.round(F.col("df") * F.exp("idf")), 0.5)).cast("bigint"), F.lit(default).cast("bigint")).alias("n_docs"))
 
 
-def classify(audited: DataFrame, rules: Rules) -> DataFrame:
-    """auto_class, confidence and the four scores of each token."""
+def _scored(audited: DataFrame, rules: Rules) -> DataFrame:
+    """The four scores of each token, and __rule, the first of six rules that it meets."""
     t, idf = F.col("token"), F.col("idf")
     inside = lambda terms: t.isin(terms) if terms else F.lit(False)
     like = lambda patterns: t.rlike(any_of(patterns)) if patterns else F.lit(False)
@@ -95,13 +95,50 @@ def classify(audited: DataFrame, rules: Rules) -> DataFrame:
     top = F.greatest(gov, esg, bp, gen)
     close = sum((F.when(top - x <= 0.15 + 1e-9, 1).otherwise(0) for x in (gov, esg, bp, gen)), F.lit(0))
     rule = F.when(g | (keep & (gov >= 0.8)), 1).when(e | s | (keep & (esg >= 0.7)), 2).when(inside(rules.ambiguous), 3).when((bp >= 0.6) & (gov < 0.5) & (esg < 0.5), 4).when(close >= 2, 5).otherwise(6)
-    rows = rows.withColumn("__rule", rule)
+    return rows.withColumn("__rule", rule)
+
+
+def classify(audited: DataFrame, rules: Rules) -> DataFrame:
+    """auto_class, confidence and the four scores of each token."""
+    rows = _scored(audited, rules)
+    gov, esg, bp, gen = (F.col(f"{k}_score") for k in ("gov", "esg", "boilerplate", "generic"))
+    top = F.greatest(gov, esg, bp, gen)
     r = F.col("__rule")
     named = F.when(r == 1, "G_SIGNAL").when(r == 2, "ESG_SIGNAL").when(r == 4, "BOILERPLATE").when(r.isin(3, 5), "AMBIGUOUS").otherwise("GENERIC")
     sure = F.when(r == 1, 0.95).when(r == 2, 0.90).when(r == 3, 0.40).when(r == 4, F.round(bp, 2)).when(r == 5, F.round(top, 2)).otherwise(F.round(F.greatest(gen, 1 - F.greatest(esg, gov, bp)), 2))
     return rows.withColumns({"auto_class": named, "confidence": sure, **{f"{k}_score": F.round(f"{k}_score", 3) for k in ("gov", "esg", "boilerplate", "generic")}}).drop("__rule")
 
 
+def reasons(audited: DataFrame, rules: Rules, n_docs: int) -> DataFrame:
+    """token, risk_warning, rationale for reviewers: which rule has decided, then all that has added to a score, in the order of the rules."""
+    rows, t, idf = _scored(audited, rules), F.col("token"), F.col("idf")
+    inside = lambda terms: t.isin(terms) if terms else F.lit(False)
+    r, keep = F.col("__rule"), inside(rules.preserve)
+    scores = {"ESG": F.col("esg_score"), "GOV": F.col("gov_score"), "BP": F.col("boilerplate_score"), "GEN": F.col("generic_score")}
+    top = F.greatest(*scores.values())
+    close = F.concat_ws(", ", *(F.when(top - x <= 0.15 + 1e-9, k) for k, x in scores.items()))
+    first = lambda patterns: F.coalesce(*(F.when(t.rlike(p), p) for p in patterns), F.lit(None)) if patterns else F.lit(None).cast("string")
+    named = {1: "rule: governance list", 2: "rule: environment or social list", 3: "rule: listed as ambiguous", 4: "rule: boilerplate score"}
+    rule = F.when(r == 5, F.concat(F.lit("rule: close scores "), close)).when(r == 6, "rule: no list")
+    for k, text in named.items():
+        rule = rule.when(r == k, text)
+    parts = [
+        rule,
+        F.when(inside(rules.governance) | (keep & has_any(t, rules.parts)), "governance term"),
+        F.when(inside(rules.environment), "environment term"),
+        F.when(~inside(rules.environment) & inside(rules.social), "social term"),
+        F.when(keep & ~inside(rules.environment) & ~inside(rules.social), "preserved term"),
+        F.when(inside(rules.boilerplate), "boilerplate term"),
+        F.when(inside(rules.ambiguous), "ambiguous term"),
+        F.concat(F.lit("boilerplate pattern "), first(rules.boilerplate_patterns)),
+        F.concat(F.lit("generic pattern "), first(rules.generic_patterns)),
+        F.when(idf < fixed.IDF_LOW, "in nearly all documents").when(idf < fixed.IDF_MIDDLE, "in many documents").when(idf >= fixed.IDF_HIGH, "in few documents"),
+        F.when(F.col("df") > 0.9 * n_docs, "in over 90 % of documents"),
+    ]
+    warning = F.when(r == 3, "governance or general: review by hand").when((r == 4) & has_any(t, rules.parts), "holds a governance word: calling it boilerplate may lose a signal").when(r == 5, F.concat(F.lit("scores compete: "), close)).otherwise("")
+    return rows.select("token", warning.alias("risk_warning"), F.concat_ws(" | ", *parts).alias("rationale"))
+
+
 def class_summary(classified: DataFrame) -> DataFrame:
     """Count and share of every class, also of empty ones."""
     known = classified.sparkSession.createDataFrame([(k,) for k in CLASSES], "auto_class string")

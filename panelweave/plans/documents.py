@@ -209,6 +209,13 @@ def experiment_grid(spark, sf_dir):
     return tokens.grid_sizes(grid(spark, sf_dir))
 
 
+@query(f"WITH {GRID_SQL}, c AS (SELECT exp_id, token, count(*) AS n FROM gl GROUP BY 1, 2) SELECT exp_id, string_agg(token || ':' || n, ' ' ORDER BY n DESC, token) AS top_20 FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY n DESC, token) AS r FROM c) WHERE r <= 20 GROUP BY 1")
+def experiment_top_tokens(spark, sf_dir):
+    """The twenty most frequent tokens of each experiment, with their counts."""
+    top = evaluate.ranked(grid(spark, sf_dir), LEXICONS, 20).groupBy("exp_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "tf"))).alias("t"))
+    return top.select("exp_id", F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["token"], x["tf"].cast("string"))), " ").alias("top_20"))
+
+
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY doc_id LIMIT 60")
 def tokenize_resume(spark, sf_dir):
     return pending(docs(spark, sf_dir), table(spark, sf_dir, "labels"), ["doc_id"], batch=60).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
@@ -288,6 +295,24 @@ def token_taxonomy(spark, sf_dir):
     return audit.classify(audited(spark, sf_dir), RULES)
 
 
+CLOSE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN top - {x} <= 0.15 + 1e-9 THEN '{k}' END" for k, x in (("ESG", "esg"), ("GOV", "gov"), ("BP", "bp"), ("GEN", "gen"))) + "], lambda x: x IS NOT NULL), ', ')"
+PART = ANY(RULES.parts, "token")
+REASONS = ", ".join((
+    f"CASE r WHEN 1 THEN 'rule: governance list' WHEN 2 THEN 'rule: environment or social list' WHEN 3 THEN 'rule: listed as ambiguous' WHEN 4 THEN 'rule: boilerplate score' WHEN 5 THEN 'rule: close scores ' || {CLOSE} ELSE 'rule: no list' END",
+    f"CASE WHEN {IN(RULES.governance)} OR ({IN(RULES.preserve)} AND {PART}) THEN 'governance term' END", f"CASE WHEN {IN(RULES.environment)} THEN 'environment term' END", f"CASE WHEN {IN(RULES.social)} THEN 'social term' END",
+    f"CASE WHEN {IN(RULES.preserve)} THEN 'preserved term' END", f"CASE WHEN {IN(RULES.boilerplate)} THEN 'boilerplate term' END", f"CASE WHEN {IN(RULES.ambiguous)} THEN 'ambiguous term' END",
+    "CASE WHEN regexp_matches(token, '^th(er|at)') THEN 'boilerplate pattern ^th(er|at)' WHEN regexp_matches(token, '^sch') THEN 'boilerplate pattern ^sch' END",
+    "CASE WHEN regexp_matches(token, '^(an|re)d') THEN 'generic pattern ^(an|re)d' WHEN regexp_matches(token, '^qu') THEN 'generic pattern ^qu' END",
+    "CASE WHEN idf < 0.15 THEN 'in nearly all documents' WHEN idf < 0.5 THEN 'in many documents' WHEN idf >= 1.0 THEN 'in few documents' END", "CASE WHEN df > 0.9::DOUBLE * n THEN 'in over 90 % of documents' END",
+))
+
+
+@query(f"WITH {CLASSED} SELECT token, CASE WHEN r = 3 THEN 'governance or general: review by hand' WHEN r = 4 AND {PART} THEN 'holds a governance word: calling it boilerplate may lose a signal' WHEN r = 5 THEN 'scores compete: ' || {CLOSE} ELSE '' END AS risk_warning, array_to_string(list_filter([{REASONS}], lambda x: x IS NOT NULL), ' | ') AS rationale FROM ru, n")
+def token_reasons(spark, sf_dir):
+    """What reviewers read beside a token's class: a warning, and why it has that class."""
+    return audit.reasons(audited(spark, sf_dir), RULES, table(spark, sf_dir, "documents").count())
+
+
 @query(f"WITH {CLASSED}, k AS (SELECT unnest({array([*audit.CLASSES])}) AS auto_class), nk AS (SELECT auto_class, count(*) AS n FROM cl GROUP BY 1) SELECT auto_class, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0::DOUBLE / sum(coalesce(n, 0)) OVER (), 2) AS pct FROM k LEFT JOIN nk USING (auto_class)")
 def taxonomy_summary(spark, sf_dir):
     return audit.class_summary(audit.classify(audited(spark, sf_dir), RULES))
