@@ -4,8 +4,8 @@ Equal sets are one node, so copies are never paired. A count-min sketch of all s
 set from rare to frequent; any order is right, this one makes prefixes selective. If sets of nu and nv
 shingles reach the threshold, they share o = ceil(percent (nu + nv) / (100 + percent)) of them, and k
 of these lie at places n - o + k - 1 or before in either order. So the prefix of a set ends
-there, for the smallest partner it may have. It is lengthened by a token (k + 1 for k, up to
-`MOST_MATCHES`) the more candidates the sketch promises, and a pair has to share as many tokens, at
+there, for the smallest partner it may have. Each document takes the k, up to `MOST_MATCHES`, of the
+least cost that the sketch lets it expect, of rows and candidates (see matches_for), and a pair has to share as many tokens, at
 such places, as the shorter lengthening of the two says, before its sets are compared.
 
 1. Tokens in the prefix of one node only go: one count per token, combined before the shuffle.
@@ -45,8 +45,8 @@ SEGMENT_BITS = SEGMENT * 8
 MOST_MATCHES = 4
 #: By the upper bits of a shingle; a power of two.
 BUCKETS = 128
-#: Expected candidates from which on a prefix grows by one token more. Each token also lets later places match, so below these it costs more rows than it saves.
-COSTS = (4096, 65536, 1048576)
+#: What a candidate costs, in rows of the join on tokens: it brings two arrays of BUCKETS counts from two texts.
+VERIFY = 32.0
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -67,6 +67,29 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def matches_for(levels: np.ndarray, probe: int, mean: float) -> int:
+    """The matches to ask for, by the least expected cost, of a set whose rarest tokens have these levels, in order.
+
+    Asking for k matches takes a prefix of probe + k - 1 tokens. It costs a row for each other document that the sketch expects to have one
+    of them, and VERIFY for each candidate. Tokens of one level may come from one passage or group of copies, where who
+    has one has all: such a run promises its documents once, as long as k isn't above its length. A shorter run's documents need
+    matches elsewhere too, so k matches leave them a share of length / k.
+    """
+    docs = np.maximum(2.0 ** (levels / 8) - 2 - 2 * mean, 0)
+    starts = np.concatenate([[True], np.diff(levels.astype(int)) > 0])
+    best, least = 1, np.inf
+    for k in range(1, MOST_MATCHES + 1):
+        n = probe + k - 1
+        if n > len(levels) or not docs[n - 1]:
+            break
+        at = np.flatnonzero(starts[:n])
+        share = np.minimum(1.0, np.diff(np.append(at, n)) / k)
+        cost = float(docs[:n].sum() + VERIFY * (np.maximum.reduceat(docs[:n], at) * share).sum())
+        if cost < least:
+            best, least = k, cost
+    return best
+
+
 def fingerprint(s: np.ndarray) -> int:
     """Of a set; signed 64 bits."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
@@ -209,8 +232,7 @@ class Join:
                     own = level[_cells(s)]
                     probe = n + (-percent * n // 100) + 1
                     order = np.argsort(own, kind="stable")[: probe + MOST_MATCHES - 1]
-                    cost = float(np.maximum(2.0 ** (own[order[:probe]] / 8) - 1 - 2 * mean, 0).sum())
-                    matches = 1 + sum(cost > c for c in COSTS)
+                    matches = matches_for(own[order], probe, mean)
                     pos = np.arange(min(n, probe + matches - 1))
                     # a place that one document alone has counted belongs to no other
                     pos = pos[own[order[pos]] > 8]
