@@ -4,12 +4,14 @@ Three kinds are found by pattern alone: an assignment to a password-like name, a
 and a long run of hex digits. Others are reported only when their content confirms them: a base64
 or hex run is decoded and must parse, to its last byte and with every nested length right, as a
 private key (DER shapes of PKCS#1, PKCS#8, SEC1, DSA and encrypted PKCS#8, or the length-prefixed
-OpenSSH container), in either base64 alphabet, wrapped over lines or not; a PEM block must hold one, or the whole cipher
-blocks of a legacy encrypted one; a signed token must have a JSON header that names its
+OpenSSH container), or as the text of a PEM block, in either base64 alphabet; a PEM block must hold one, or the whole cipher
+blocks of a legacy encrypted one. Runs may be wrapped over lines, indented or quoted ones too, amid other lines of their kind: a key may begin
+each line, and ends at a line's end where its own lengths say; a signed token must have a JSON header that names its
 algorithm, and a JSON payload.
 
-Spans count code points, end exclusive. Defined results: a null or empty text has none; repeated
-rows have the same ones; columns of docs stay, but one named `spans` is replaced.
+Spans count code points, end exclusive. Defined results: a null or empty text has none; a very long text is scanned whole, in linear time;
+repeated rows have the same ones; spans that begin together are in the order of KINDS; columns of docs stay, but one named `spans` is replaced;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import binascii
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +38,14 @@ SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 #: A run of base64 of either alphabet; full lines may follow each other, and a last short one.
 LINE = "[A-Za-z0-9+/_-]"
-BASE64 = re.compile(rf"(?<!{LINE}){LINE}{{44,}}(?:(?:\r?\n{LINE}{{44,}})*(?:\r?\n{LINE}{{1,76}})?)={{0,2}}")
+#: Between two lines of a run, which may be quoted or indented.
+BREAK = r"""["',\\\x20\t]{0,8}\r?\n[\x20\t"'>|#]{0,40}"""
+BASE64 = re.compile(rf"(?<!{LINE}){LINE}{{44,}}(?:=?=?{BREAK}{LINE}{{44,}})*(?:=?=?{BREAK}{LINE}{{1,76}})?={{0,2}}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
+HEX_LINES = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{32,}}(?:{BREAK}[0-9A-Fa-f]{{32,}})*{BREAK}[0-9A-Fa-f]+")
+LETTERS, PADDING, DIGITS = re.compile(rf"{LINE}+"), re.compile("={0,2}"), re.compile("[0-9A-Fa-f]+")
+#: Bytes of a key amid other lines, at most; a run that is a key as a whole may be longer.
+LONGEST = 1 << 16
 ENCRYPTED = re.compile(r"\s*Proc-Type:\s*4,ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]+\s")
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
@@ -84,10 +92,15 @@ def is_private_der(data: bytes) -> bool:
 
 
 def is_openssh(data: bytes) -> bool:
-    """Whether data is the OpenSSH private key container: a magic word, then strings with their lengths before them."""
+    """Whether data is the OpenSSH private key container, to its last byte."""
+    return bool(data) and openssh_end(data) == len(data)
+
+
+def openssh_end(data: bytes) -> int:
+    """Where the OpenSSH private key container that begins data ends: a magic word, then strings with their lengths before them; 0 if none does."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def string() -> bytes | None:
@@ -99,9 +112,9 @@ def is_openssh(data: bytes) -> bool:
         return data[at - n : at]
 
     if any(string() is None for _ in range(3)):  # cipher, key derivation, its options
-        return False
+        return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    return 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) else 0
 
 
 def decoded(run: str) -> bytes | None:
@@ -125,9 +138,24 @@ def is_signed_token(run: str) -> bool:
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
+    if data.lstrip()[:11] == b"-----BEGIN ":
+        return "pem" if any(good for _, _, good in pem_blocks(data.decode("latin-1"))) else None
     return "der" if is_private_der(data) else "ssh" if is_openssh(data) else None
 
 
+def key_length(data: bytes) -> int:
+    """Bytes that a key which begins data takes by its own lengths; 0 if none can begin so."""
+    if data[:1] == bytes([SEQUENCE]) and len(data) > 6:
+        width = data[1] & 0x7F if data[1] >= 0x80 else 0
+        n = 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+        return n if width <= 4 and n <= len(data) else 0
+    if data[:11] == b"-----BEGIN ":
+        text = data.decode("latin-1")
+        end = next((b for _, b, good in pem_blocks(text) if good), 0)
+        return end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("\r\n")) if end else 0
+    return openssh_end(data)
+
+
 def pem_blocks(text: str) -> list[tuple[int, int, bool]]:
     """Start, end of each block, and whether a key is in it. A block ends before the next one begins, so each part is read once."""
     begins, out = [*PEM.finditer(text)], []
@@ -145,29 +173,57 @@ def pem_blocks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def line_keys(lines: list[re.Match[str]], decode: Callable[[str], bytes | None], unit: tuple[int, int]) -> Iterator[tuple[str, int, int]]:
+    """Keys (kind, start, end) that begin one of these lines and end at the end of one; `unit` is how many characters hold how many bytes."""
+    chars, size = unit
+    joined, starts, done = "".join(m[0] for m in lines), [0], 0
+    for m in lines:
+        starts.append(starts[-1] + len(m[0]))
+    for k, m in enumerate(lines):
+        head = decode(joined[starts[k] : starts[k] + 32]) or b""
+        if starts[k] < done or not (head[:1] == bytes([SEQUENCE]) or head.startswith((b"openssh-key", b"-----BEGIN "))):
+            continue
+        window = joined[starts[k] : starts[k] + LONGEST // size * chars]
+        data = decode(window[: len(window) // chars * chars]) if len(window) % chars == 1 else decode(window)
+        n = key_length(data or b"")
+        end = starts[k] + -(-n * chars // size)
+        last = bisect_right(starts, end) - 1
+        # whole characters, up to the end of a line
+        if n and starts[last] == end and (kind := key_kind((data or b"")[:n])):
+            done = end
+            yield kind, m.start(), lines[last - 1].end()
+
+
 def base64_keys(text: str) -> Iterator[tuple[str, int, int]]:
-    """Keys in runs of base64: of all lines of a run, without its last one, or of a line by itself."""
+    """Keys in runs of base64: of all lines of a run, without its last one, or of any lines that follow each other."""
     for m in BASE64.finditer(text):
-        run = m[0]
-        lines = [*re.finditer(r"[^\r\n]+", run)]
-        tries = [(0, len(run))]
-        if len(lines) > 1:
-            tries += [(0, lines[-2].end()), *(x.span() for x in lines)]
-        for a, b in tries:
-            if kind := key_kind(decoded("".join(run[a:b].split()))):
-                yield kind, m.start() + a, m.start() + b
-                if (a, b) in tries[:2]:
-                    break
+        lines = [*LETTERS.finditer(text, m.start(), m.end())]
+        for part in (lines, lines[:-1]):
+            if part and (kind := key_kind(decoded("".join(x[0] for x in part)))):
+                end = part[-1].end()
+                yield kind, m.start(), end + len(PADDING.match(text, end)[0])
+                break
+        else:
+            for kind, a, b in line_keys(lines, decoded, (4, 3)):
+                yield kind, a, b + len(PADDING.match(text, b)[0])
+
+
+def hex_bytes(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
 
 
 def hex_keys(text: str) -> Iterator[tuple[str, int, int]]:
-    """Keys in runs of hex digits; of an odd run, without its last or its first digit."""
+    """Keys in runs of hex digits; of an odd run, without its last or its first digit; of lines that follow each other."""
+    found = []
     for m in LONG_HEX.finditer(text):
         run = m[0]
         for a, b in [(0, len(run))] if len(run) % 2 == 0 else [(0, len(run) - 1), (1, len(run))]:
             if kind := key_kind(bytes.fromhex(run[a:b])):
-                yield kind, m.start() + a, m.start() + b
+                found.append((kind, m.start() + a, m.start() + b))
                 break
+    for m in HEX_LINES.finditer(text):
+        found += line_keys([*DIGITS.finditer(text, m.start(), m.end())], hex_bytes, (2, 1))
+    yield from dict.fromkeys(found)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
