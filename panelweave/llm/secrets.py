@@ -150,7 +150,8 @@ def key_length(data: bytes) -> int:
         n = 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
         return n if width <= 4 and n <= len(data) else 0
     if data[:11] == b"-----BEGIN ":
-        text = data.decode("latin-1")
+        following = data.find(b"-----BEGIN ", 11)  # the block ends before it
+        text = data[: following if following > 0 else len(data)].decode("latin-1")
         end = next((b for _, b, good in pem_blocks(text) if good), 0)
         return end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("\r\n")) if end else 0
     return openssh_end(data)
