@@ -5,7 +5,7 @@ position gets a probability of each language, and a document's probabilities are
 all its positions. Texts are read in windows of `core` bytes with `margin` bytes more on either side, whose states
 warm up but aren't counted, so every byte of a text is labelled once and thousands of windows run
 as one matrix product. Training is back-propagation through time with Adam, on a bounded sample:
-`per_language` documents of each of the `most_languages` most frequent languages, and at most four stretches of
+`per_language` documents of each language, and at most four stretches of
 each, all taken by a hash of the id.
 
 Defined results: a null text, or one without letters, is `und` with the score 0; so is every text if
