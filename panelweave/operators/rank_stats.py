@@ -7,21 +7,28 @@ than a range, and equal values, however many, are one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..functions.draws import BLOCK, drawn, first_in_md5_order, in_md5_order
 from ..functions.stats import draw, effect_label, normal_tail, student_p, upper_tail
 from ..sources.scratch import written
+from .gap import line
 
 #: Ranges of values that a group is cut into.
 RANGES = 256
-#: A panel of up to so many rows (of some 32 bytes) is broadcast to its replicates.
-PANEL_ROWS = 1_000_000
+#: A group of a panel of up to so many rows (of 24 bytes) goes whole to the tasks of its replicates; a larger one is joined to its draws.
+PANEL_ROWS = 4_000_000
+#: Rows of a panel that are packed together.
+PACKED = 16_384
 
 
 def _matched(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,6 +176,99 @@ def _tasks(spark: SparkSession) -> int:
     return 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _packed(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """group, __g, __n, i and the columns (as the bytes of int64 and float64 arrays): some rows of a group at a time. __g begins its digests."""
+    named = F.concat_ws("", *(F.concat(F.col(g).cast("string"), F.lit("|")) for g in group)) if group else F.lit("")
+    given = rows.select(*group, named.alias("__g"), F.col("i").cast("bigint").alias("i"), *(F.col(c).cast("double").alias(c) for c in columns))
+    out = StructType([*(given.schema[g] for g in [*group, "__g"]), *StructType.fromDDL(", ".join(["__n bigint", "i binary", *(f"{c} binary" for c in columns)]))])
+    fields = to_arrow_schema(out)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("__g").dictionary_encode()
+            of = names.indices.to_numpy(zero_copy_only=False)
+            values = [batch.column("i").to_numpy(), *(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)]
+            got = []
+            for k in range(len(names.dictionary)):
+                at = np.flatnonzero(of == k)
+                for part in np.split(at, range(PACKED, len(at), PACKED)):
+                    own = {g: batch.column(g)[int(part[0])].as_py() for g in [*group, "__g"]}
+                    got.append(own | {"__n": len(part)} | {c: v[part].tobytes() for c, v in zip(("i", *columns), values, strict=True)})
+            if got:
+                yield pa.RecordBatch.from_pylist(got, fields)
+
+    return given.mapInArrow(pack, out)
+
+
+def _largest(rows: DataFrame, group: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and how many groups there are. rows: written."""
+    got = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
+    return got["n"] or 0, got["groups"]
+
+
+def _replicated(rows: DataFrame, b: int, group: Sequence[str], columns: Sequence[str], groups: int, schema: str, work: Callable[[str, list[np.ndarray], Iterable[int]], Iterator[tuple]]) -> DataFrame:
+    """group, b and what work(start of the digests, columns in order, replicates) gives: replicates are dealt over tasks, and a copy of
+    a group goes packed to each, so neither a draw nor a shuffled row ever moves, and nothing comes to the driver."""
+    spark = rows.sparkSession
+    parts = max(1, min(b, -(-_tasks(spark) // max(1, groups))))
+    known = rows.where(reduce(lambda p, q: p & q, (F.col(g).isNotNull() for g in group))) if group else rows
+    dealt = _packed(known, group, columns).withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    out = StructType([*(rows.schema[g] for g in group), *StructType.fromDDL(f"b bigint, {schema}")])
+    fields = to_arrow_schema(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("i").to_pylist()])
+        order = np.argsort(at)
+        values = [np.concatenate([np.frombuffer(x, np.float64) for x in table.column(c).to_pylist()])[order] for c in columns]
+        own = [table.column(g)[0].as_py() for g in group]
+        got = list(work(table.column("__g")[0].as_py(), values, range(table.column("__t")[0].as_py(), b, parts)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*((*own, *r) for r in got), strict=True), fields.types, strict=True)], schema=fields)
+
+    return dealt.groupBy(*group, "__t").applyInArrow(run, out)
+
+
+def _drawn_pairs(start: str, x: np.ndarray, y: np.ndarray, replicates: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """b, distinct values of x and y, those of each distinct pair, and how often a replicate draws the pair."""
+    (xs, of_x), (ys, of_y) = (np.unique(v, return_inverse=True) for v in (x, y))
+    pairs, code = np.unique(of_x * len(ys) + of_y, return_inverse=True)
+    px, py, n = pairs // len(ys), pairs % len(ys), len(x)
+    for b in replicates:
+        counts = np.zeros(len(pairs), np.int64)
+        for at in range(0, n, BLOCK):
+            counts += np.bincount(code[drawn(f"{start}{b}|", at, min(n, at + BLOCK), n)], minlength=len(pairs))
+        yield b, xs, ys, px, py, counts
+
+
+def _correlation(sxy: float, sxx: float, syy: float, n: int) -> float | None:
+    return float(sxy / (np.sqrt(sxx) * np.sqrt(syy))) if np.sqrt(sxx / n) > 1e-12 and np.sqrt(syy / n) > 1e-12 else None
+
+
+def _drawn_rhos(least: int) -> Callable[[str, list[np.ndarray], Iterable[int]], Iterator[tuple]]:
+    """b, n, rho of each replicate, from its counts per pair."""
+
+    def centred(of: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.bincount(of, weights=counts, minlength=size)
+        return np.cumsum(n) - (n - 1) / 2 - (n.sum() + 1) / 2, n
+
+    def run(start: str, values: list[np.ndarray], replicates: Iterable[int]) -> Iterator[tuple]:
+        n = len(values[0])
+        for b, xs, ys, px, py, counts in _drawn_pairs(start, *values, replicates):
+            (rx, nx), (ry, ny) = centred(px, counts, len(xs)), centred(py, counts, len(ys))
+            yield b, n, _correlation(counts @ (rx[px] * ry[py]), nx @ (rx * rx), ny @ (ry * ry), n) if n >= least else None
+
+    return run
+
+
+def _drawn_slopes(start: str, values: list[np.ndarray], replicates: Iterable[int]) -> Iterator[tuple]:
+    """b, slope of y on x in each replicate; null where x is constant."""
+    n = len(values[0])
+    for b, xs, ys, px, py, counts in _drawn_pairs(start, *values, replicates):
+        x, y = xs[px], ys[py]
+        x, y = x - counts @ x / n, y - counts @ y / n
+        vx = counts @ (x * x)
+        yield b, float(counts @ (x * y) / vx) if vx / n > 1e-20 else None
+
+
 def resampled(rows: DataFrame, b: int, group: Sequence[str] = ()) -> DataFrame:
     """rows of panel_rows() as b resamples with replacement draw them; draws are an md5 of (group, replicate, place).
 
@@ -205,9 +305,23 @@ def _rhos_within(rows: DataFrame, by: Sequence[str], least: int = 5, places: int
     return sums.select(*by, "n", F.round(F.when(F.col("n") >= least, _rho(F.col("n"))), places).alias("rho"))
 
 
-def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+def bootstrap_rhos(panel: DataFrame, b: int, order: Sequence[str], group: Sequence[str] = (), least: int = 5, places: int = 10) -> DataFrame:
     """group, b, n, rho of b resamples with replacement of a panel with columns x and y."""
-    return _rhos_within(resampled(panel_rows(panel, order, group), b, group), [*group, "b"])
+    rows = panel_rows(panel, order, group)
+    n, groups = _largest(rows, group)
+    if n > PANEL_ROWS:
+        return _rhos_within(resampled(rows, b, group), [*group, "b"], least, places)
+    got = _replicated(rows, b, group, ["x", "y"], groups, "n bigint, rho double", _drawn_rhos(least))
+    return got.withColumn("rho", F.round("rho", places))
+
+
+def bootstrap_slopes(panel: DataFrame, b: int, order: Sequence[str], y: str, x: str) -> DataFrame:
+    """b, slope of y on x of b resamples with replacement."""
+    rows = panel_rows(panel, order, columns=[x, y])
+    n, groups = _largest(rows, ())
+    if n > PANEL_ROWS:
+        return line(resampled(rows, b), y, x, ["b"]).select("b", "slope")
+    return _replicated(rows, b, (), [x, y], groups, "slope double", _drawn_slopes)
 
 
 def interval(rhos: DataFrame, level: float = 95, group: Sequence[str] = (), places: int = 4) -> DataFrame:
@@ -230,11 +344,22 @@ def sign_stability(rhos: DataFrame, observed: DataFrame, places: int = 4) -> Dat
     return rows.agg(F.count(F.lit(1)).alias("n_boot"), F.round(F.avg((F.signum("rho") == F.signum("__o")).cast("double")), places).alias("share_same_sign"))
 
 
+def _shuffled_rhos(start: str, values: list[np.ndarray], replicates: Iterable[int]) -> Iterator[tuple]:
+    """b, n, rho of each shuffle of the second column of ranks, which are distances from their mean."""
+    rx, ry = values
+    n, sxx, syy = len(rx), rx @ rx, ry @ ry
+    for b in replicates:
+        yield b, n, _correlation(rx @ ry[in_md5_order(f"{start}{b}|", n)], sxx, syy, n) if n >= 5 else None
+
+
 def permuted_rhos(panel: DataFrame, b: int, order: Sequence[str]) -> DataFrame:
     """b, n, rho after shuffling y by an md5 order. Ranks stay what they are: a replicate only pairs them anew."""
     rows = panel_rows(panel, order)
     ranks = rank_pairs(rows.select("x", "y")).select("x", "y", "rx", "ry")
     base = written(_matched(rows, ranks, ["x", "y"]).select("i", "rx", "ry"), "ranks")
+    n, groups = _largest(base, ())
+    if n <= PANEL_ROWS:
+        return _replicated(base, b, (), ["rx", "ry"], groups, "n bigint, rho double", _shuffled_rhos).withColumn("rho", F.round("rho", 10))
     paired = _shuffled(base.select("i", "ry"), b).select("b", "ry", F.col("k").alias("i")).join(base.select("i", "rx"), "i")
     one = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
     sums = paired.groupBy("b").agg(F.sum(F.col("rx") * F.col("ry")).alias("sxy")).join(F.broadcast(one))
@@ -248,8 +373,31 @@ def permutation_summary(rhos: DataFrame, observed: DataFrame, places: int = 4) -
     return rows.groupBy("observed_rho", "n").agg(F.count(F.lit(1)).alias("n_permutations"), F.round(F.avg((F.abs("rho") >= F.abs("observed_rho")).cast("double")), places).alias("permutation_p"), F.round(F.avg("rho"), places).alias("null_mean"), F.round(F.stddev_samp("rho"), places).alias("null_std"), F.round(F.percentile(F.abs("rho"), F.lit(0.95)), places).alias("null_95th"))
 
 
+def _first_of(rows: DataFrame, b: int, most: int) -> DataFrame:
+    """b, x, y, k: the rows of panel_rows() that come first in each replicate's md5 order, with their places in it.
+
+    Ranges of the panel meet groups of replicates, and each keeps its first ones; what the ranges keep is ordered by replicate.
+    """
+    spark = rows.sparkSession
+    ranges = rows.select(F.floor(F.col("i") / BLOCK).alias("r"), "i", "x", "y")
+    each = max(1, b // 8)
+    dealt = ranges.groupBy("r").agg(F.min("i").alias("start"), F.max("i").alias("last"))
+    met = dealt.join(F.broadcast(spark.range(-(-b // each)).select(F.col("id").alias("part")))).repartition(_tasks(spark), "r", "part")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for one in range(r["part"] * each, min(b, (r["part"] + 1) * each)):
+                    at, keys = first_in_md5_order(f"{one}|", r["start"], r["last"] + 1, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), one)), pa.array(at), pa.array(keys, pa.binary())], ["b", "i", "key"])
+
+    found = met.select("start", "last", "part").mapInArrow(keep, "b bigint, i bigint, key binary")
+    first = found.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("key", "i")).cast("bigint") - 1).where(F.col("k") < most)
+    return first.select("b", "i", "k").join(rows, "i").select("b", "k", "x", "y")
+
+
 def subsample_rhos(panel: DataFrame, b: int, sizes: Sequence[int], order: Sequence[str]) -> DataFrame:
     """b, size, n, rho of b samples without replacement of each size; a smaller sample is the beginning of a larger one."""
-    kept = _shuffled(panel_rows(panel, order), b).where(F.col("k") < max(sizes))
+    kept = _first_of(panel_rows(panel, order), b, max(sizes))
     rows = kept.select("b", "k", "x", "y", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.col("k") < F.col("size"))
     return _rhos_within(rows, ["b", "size"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import effect_label
 from ..operators import gap, linear, panel, rank_stats, tokens
+from ..sources.scratch import written
 from ..sources.tables import table
 from .documents import FEATURES, GRID_SQL, LISTS, grid, q, ratios
 from .panels import labels
@@ -104,7 +105,7 @@ DRAWN = f"{PANEL}, lo AS ({long_sql('doc_id')}), nf AS (SELECT feature, row_numb
 @query(f"WITH {DRAWN}, r AS ({rho_sql('SELECT feature, x, y FROM lo', 'feature')}), iv AS (SELECT feature, count(*) AS n_boot, round(quantile_cont(rho, 0.025), 4) AS ci_lo, round(quantile_cont(rho, 0.975), 4) AS ci_hi FROM rf WHERE rho IS NOT NULL GROUP BY 1) SELECT r.*, {EFFECT} AS effect, n_boot, ci_lo, ci_hi, ci_lo > 0 OR ci_hi < 0 AS ci_excludes_zero FROM r LEFT JOIN iv USING (feature)")
 def metrics_with_interval(spark, sf_dir):
     """The metrics of every feature with the interval of 3,000 resamples."""
-    rows = long(spark, sf_dir, ["doc_id"])
+    rows = written(long(spark, sf_dir, ["doc_id"]), "long")
     return rank_stats.with_interval(rank_stats.spearman(rows, ["feature"]), rank_stats.interval(rank_stats.bootstrap_rhos(rows, N_BOOT, ["doc_id"], ["feature"]), group=["feature"]), ["feature"])
 
 
@@ -239,8 +240,7 @@ def breusch_pagan(spark, sf_dir):
 
 @query(f"WITH {OK}, nn AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, x1, y FROM ok), dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', b, s)), 1, 8))::BIGINT % (SELECT count(*) FROM nn) AS i FROM range({B}) r(b), (SELECT i AS s FROM nn)), sl AS (SELECT b, regr_slope(y, x1) AS s FROM dr JOIN nn USING (i) GROUP BY 1) SELECT count(*) AS n_boot, round(avg(s), 5) AS mean, round(quantile_cont(s, 0.025), 5) AS ci_lo, round(quantile_cont(s, 0.975), 5) AS ci_hi FROM sl")
 def ols_bootstrap(spark, sf_dir, b=B):
-    rows = rank_stats.panel_rows(linear.complete(model_rows(spark, sf_dir), ["y", "x1", "x2"]), ["doc_id"], columns=["x1", "y"])
-    slopes = gap.line(rank_stats.resampled(rows, b), "y", "x1", ["b"])
+    slopes = rank_stats.bootstrap_slopes(linear.complete(model_rows(spark, sf_dir), ["y", "x1", "x2"]), b, ["doc_id"], "y", "x1")
     return slopes.agg(F.count("slope").alias("n_boot"), F.round(F.avg("slope"), 5).alias("mean"), F.round(F.percentile("slope", F.lit(0.025)), 5).alias("ci_lo"), F.round(F.percentile("slope", F.lit(0.975)), 5).alias("ci_hi"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelweave.functions import draws as fast
 from panelweave.operators import rank_stats
 
 
@@ -117,6 +118,40 @@ def test_permutations_and_subsamples(spark, monkeypatch, limit):
         assert abs(value - rho([r[1] for r in kept], [r[2] for r in kept])) < 1e-9
 
 
+def test_md5_of_many():
+    for start, stop in ((0, 1100), (99_990, 100_010), (2**32 - 3, 2**32 + 3)):
+        for prefix in ("", "g_ratio|12|", "x" * 60):
+            digests = [hashlib.md5(f"{prefix}{i}".encode()).hexdigest() for i in range(start, stop)]
+            assert ["".join(f"{w:08x}" for w in words) for words in fast.md5_of(prefix, start, stop).T] == digests
+            assert fast.drawn(prefix, start, stop, 977).tolist() == [int(d[:8], 16) % 977 for d in digests]
+
+
+@pytest.mark.parametrize("limit", [10**6, 10])
+def test_draws_of_a_large_panel_are_those_of_a_small_one(spark, monkeypatch, limit):
+    """Packed with their replicates or joined to the draws: the same results, and a null group has none."""
+    monkeypatch.setattr(rank_stats, "PANEL_ROWS", limit)
+    rows = [(*r[:3], float(r[3])) for r in panel(4, 150)] + [(1000 + i, None, float(i), float(i % 5)) for i in range(9)]
+    frame = spark.createDataFrame(rows, "i int, g string, x double, y double")
+    got = rank_stats.bootstrap_rhos(frame, 4, ["i"], ["g"]).collect()
+    assert {r["g"] for r in got} == {r[1] for r in rows if r[1] is not None} and len(got) == 4 * len({r["g"] for r in got})
+    for r in got:
+        own = [x for x in rows if x[1] == r["g"]]
+        picked = [own[i] for i in draws(len(own), r["b"], r["g"])]
+        assert r["n"] == len(own) and abs(r["rho"] - rho([x[2] for x in picked], [x[3] for x in picked])) < 1e-9
+    for r in rank_stats.bootstrap_slopes(frame, 3, ["i"], "y", "x").collect():
+        picked = [rows[i] for i in draws(len(rows), r["b"])]
+        assert abs(r["slope"] - np.polyfit([x[2] for x in picked], [x[3] for x in picked], 1)[0]) < 1e-9
+
+
+def test_replicates_move_no_draws(spark):
+    """A panel of 20,000 rows with 400 replicates (8 million draws): what is shuffled are packed copies of the panel, no join to draws."""
+    frame = spark.range(20_000).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x"), F.pmod(F.col("id"), F.lit(4)).cast("double").alias("y"))
+    for got in (rank_stats.bootstrap_rhos(frame, 400, ["i"]), rank_stats.permuted_rhos(frame, 400, ["i"]), rank_stats.bootstrap_slopes(frame, 400, ["i"], "y", "x")):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+        assert got.count() == 400
+
+
 def test_mann_whitney_and_kruskal(spark):
     rng = np.random.default_rng(5)
     x, cls = np.round(rng.normal(size=300), 1), rng.integers(0, 3, 300)
