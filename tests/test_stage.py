@@ -195,3 +195,16 @@ def test_cleanings_that_agree_share_their_tokens(spark):
     assert plan.count("\\P{L}") == 1
     runs = tokens.token_runs(docs(spark).select("id", tx.words(tx.text_of("text")).alias("tokens")), ["id"])
     assert runs._jdf.queryExecution().optimizedPlan().toString().count("\\P{L}") == 1
+
+
+def test_texts_dealt_by_document_keep_their_tokens_in_place(spark, monkeypatch):
+    """Counting moves no token, and a small vocabulary moves no count; a large one gives the same weights."""
+    texts = tables.dealt_by(docs(spark, [(1, "aa bb bb"), (2, "aa cc"), (3, "bb aa"), (None, "aa bb"), (4, None)]), "id")
+    counts = features.token_counts(texts.select("id", tx.words(tx.text_of("text")).alias("tokens")), "id")
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    small = features.tfidf(counts, "id", 5, max_features=2)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = sorted(map(str, small.collect()))
+    monkeypatch.setattr(features, "VOCABULARY", 0)
+    assert sorted(map(str, features.tfidf(counts, "id", 5, max_features=2).collect())) == want
