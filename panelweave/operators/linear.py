@@ -122,7 +122,8 @@ def ols_by(rows: DataFrame, y: str, xs: Sequence[str], group: Sequence[str] = ()
         with np.errstate(divide="ignore", invalid="ignore"):
             stat = np.where(se > 0, beta / se, np.nan)
         p = normal_p(stat) if robust else student_p(stat, np.full(k + 1, n - k - 1))
-        r2 = 1 - f["rss"] / f["tss"] if f["tss"] > 0 else None
+        # as regr_r2() has it: a constant y is explained whole by a column that varies
+        r2 = 1 - f["rss"] / f["tss"] if f["tss"] > 0 else 1.0 if np.any(f["inverse"]) else None
         adjusted = None if r2 is None else 1 - (1 - r2) * (n - 1) / (n - k - 1)
         known = lambda v: None if np.isnan(v) else float(v)
         for t, b, e, v, q in zip(("intercept", *xs), beta, se, stat, p, strict=True):
@@ -180,15 +181,18 @@ def vif(rows: DataFrame, xs: Sequence[str]) -> DataFrame:
 
 
 def cooks(rows: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """rows with their residual, leverage and Cook's distance."""
+    """rows with their residual, leverage and Cook's distance, which is NaN or infinite where the fit leaves no residual at all."""
     full, k = complete(rows, [y, *xs]), len(xs)
     out = _with_fit(full, fits(full, y, xs), ())
     z = _centred(xs)
     h = 1.0 / F.col("fit.n") + sum((F.col("fit.inverse")[i][j] * z[i] * z[j] for i in range(k) for j in range(k)), F.lit(0.0))
-    s2 = F.greatest(F.col("fit.rss") / (F.col("fit.n") - k - 1), F.lit(1e-300))
+    s2 = F.col("fit.rss") / (F.col("fit.n") - k - 1)
     out = out.withColumn("residual", _residual(y, xs)).withColumn("leverage", h)
     e, hh = F.col("residual"), F.col("leverage")
-    return out.withColumn("cooks_d", F.try_divide(e * e * hh, (k + 1) * s2 * (1 - hh) * (1 - hh))).drop("fit")
+    over, under = e * e * hh, (k + 1) * s2 * (1 - hh) * (1 - hh)
+    # as SQL divides doubles: where nothing is left to explain, the distance is not a number
+    by_zero = F.when(over == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return out.withColumn("cooks_d", F.when(under == 0, by_zero).otherwise(F.try_divide(over, under))).drop("fit")
 
 
 def breusch_pagan(rows: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:

@@ -183,3 +183,12 @@ def test_fits_of_many_groups(spark):
         assert all(abs(got[g, "x"] - 2) < 1e-6 for g in [None, *range(1, 50)])
     left = linear.residuals(frame.where("g = 7"), "y", ["x"])
     assert left.columns == ["g", "x", "y", "residual"] and max(abs(r["residual"]) for r in left.collect()) < 1e-6
+
+
+def test_a_constant_grade(spark):
+    """As SQL has it: r2 of 1, an LM of n, and distances that are no numbers; without a column that varies r2 is null."""
+    rows = spark.createDataFrame([(2.0, float(i % 7), 5.0) for i in range(60)], "y double, x double, c double")
+    assert {r["r2"] for r in linear.ols(rows, "y", ["x"]).collect()} == {1.0}
+    assert {r["r2"] for r in linear.ols(rows, "y", ["c"]).collect()} == {None}
+    assert linear.breusch_pagan(rows, "y", ["x"]).first()["lm"] == 60
+    assert all(math.isnan(r["cooks_d"]) for r in linear.cooks(rows, "y", ["x"]).collect())
