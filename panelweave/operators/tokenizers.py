@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ def okt() -> Model:
     return lambda text: [word for word, tag in model.pos(text) if tag in NOUNS]
 
 
+#: Texts whose tokens are held as Python strings at once.
+TEXTS = 64
 FACTORIES: dict[str, Factory] = {"letters": letters, "kiwi": kiwi, "okt": okt}
 _MADE: dict[tuple[str, ...], tuple[str, Model]] = {}
 
@@ -75,11 +78,14 @@ def named(*names: str) -> Callable[[Column], Column]:
     """The tokenizer of this name, or the next of these where a worker lacks it. A null text has no tokens."""
     factories = chain(names)
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = made(factories)[1]
         for batch in batches:
-            yield batch.map(lambda text: [] if text is None else [*model(text)])
+            # tokens are Python strings for a few texts at a time only
+            parts = (batch.slice(at, TEXTS).to_pylist() for at in range(0, len(batch), TEXTS))
+            lists = [pa.array([[] if text is None else [*model(text)] for text in part], pa.list_(pa.string())) for part in parts]
+            yield pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.string()))
 
     return run
 

@@ -208,3 +208,13 @@ def test_texts_dealt_by_document_keep_their_tokens_in_place(spark, monkeypatch):
     want = sorted(map(str, small.collect()))
     monkeypatch.setattr(features, "VOCABULARY", 0)
     assert sorted(map(str, features.tfidf(counts, "id", 5, max_features=2).collect())) == want
+
+
+def test_named_tokenizers_hold_few_texts_as_tokens(spark, monkeypatch):
+    """A batch is tokenized in slices, and what comes out is in order, nulls and empty texts too."""
+    monkeypatch.setattr(tokenizers, "TEXTS", 3)
+    texts = [(i, None if i % 5 == 0 else "" if i % 7 == 0 else f"word{'s' * (i % 4)} und {'x' * (i % 3)}") for i in range(1, 200)]
+    t = tokenizers.named("letters")(F.col("text"))
+    assert "ArrowEvalPython" in docs(spark, texts).select(t)._jdf.queryExecution().executedPlan().toString()
+    rows = docs(spark, texts).select("id", t.alias("t"), tx.words(tx.text_of("text")).alias("w")).collect()
+    assert len(rows) == len(texts) and all(r["t"] == r["w"] for r in rows)
