@@ -14,7 +14,8 @@ such places, as the shorter lengthening of the two says, before its sets are com
    are compared with the leader: pairs linear in the rows. Links make components; the rows outside of
    the leader's component go to the next round, until a round finds no link.
 3. The join itself, for pairs in different components. A token that one component alone has
-   makes no pairs, so a group of thousands of near copies makes none.
+   makes no pairs, so a group of thousands of near copies makes none. Tokens that more than `MANY` rows have aren't joined: their
+   nodes, all near copies of one text often, are joined on what they differ in from an anchor (see anchored).
 
 Pairs that qualify are bounded by counts in 128 buckets, and compared on whole sets if that leaves the threshold in reach. No cap is set on partners or candidates, and rounds of
 peeling only spare comparisons: step 3 finds whatever they leave.
@@ -26,6 +27,7 @@ component, if any; other columns take no part; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,6 +49,10 @@ MOST_MATCHES = 4
 BUCKETS = 128
 #: What a candidate costs, in rows of the join on tokens: it brings two arrays of BUCKETS counts from two texts.
 VERIFY = 32.0
+#: Rows of a token that are paired; the nodes of a token with more meet by their differences from an anchor.
+MANY = 64
+#: Parts of the nodes that have one anchor.
+SPREAD = 32
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -103,6 +109,14 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
+def _segments(sketch: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The parts of a task's sketch that hold counts."""
+    for k in range(0, len(sketch), SEGMENT):
+        part = sketch[k : k + SEGMENT]
+        if part.any():
+            yield k // SEGMENT, zlib.compress(part.tobytes(), 1)
+
+
 def _read(docs: DataFrame, words: int) -> DataFrame:
     """A row per document (k null), and rows of the task's sketch (doc_id and fp null)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -119,10 +133,8 @@ def _read(docs: DataFrame, words: int) -> DataFrame:
                 np.add.at(sketch, _cells(s), np.uint32(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        for k in range(0, len(sketch), SEGMENT) if ids is not None else ():
-            part = sketch[k : k + SEGMENT]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // SEGMENT], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+        for k, part in _segments(sketch) if ids is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part], pa.binary())], names=names)
 
     return materialize(docs.mapInArrow(run, f"doc_id {id_type}, fp bigint, n bigint, k int, counts binary"), "shingled")
 
@@ -260,9 +272,9 @@ class Join:
         drop_table(often)
         return found
 
-    def per_node(self, pairs: DataFrame, make: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    def per_node(self, pairs: DataFrame, make: Callable[[np.ndarray], np.ndarray], kind: str, spread: int = 1) -> DataFrame:
         """pairs with su and sv: an array that `make` gives from each side's set. u may be in many pairs: it meets rows that hold v's
-        array already, which a skewed join can split by their size."""
+        array already, which a skewed join can split by their size, or `spread` copies of u's array meet a part of its pairs each."""
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         wanted = materialize(self.nodes.join(wanted, "fp", "left_semi"), "wanted")
         words = self.words
@@ -274,7 +286,9 @@ class Join:
 
         arrays = self.texts_of(wanted).mapInArrow(run, f"fp bigint, s array<{kind}>")
         a, b = (arrays.select(F.col("fp").alias(f"__{k}"), F.col("s").alias(f"s{k}")) for k in "uv")
-        return pairs.join(b, pairs["v"] == b["__v"]).join(a, F.col("u") == a["__u"])
+        a = a.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))) if spread > 1 else a.withColumn("__part", F.lit(0))
+        part = F.pmod(F.xxhash64("v"), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
+        return pairs.join(b, pairs["v"] == b["__v"]).withColumn("__of", part).join(a, (F.col("u") == a["__u"]) & (F.col("__of") == a["__part"])).drop("__of", "__part")
 
     def linked(self, pairs: DataFrame) -> DataFrame | None:
         """Those of pairs (u, v, cu, cv) whose sets reach the threshold: cu, cv. First their shingles are counted in BUCKETS by hash:
@@ -332,24 +346,119 @@ class Join:
             left = _with_comp(_with_comp(rest.select(*columns, "lfp"), comps, "fp", "comp"), comps, "lfp", "lcomp").where("comp <> lcomp").select(*columns, "comp")
         return comps, tried
 
+    def differences(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What each of members (u, cu, nu, v, cv, n, cls) differs in from its class's anchor u, d shingles, rarest in the class first:
+        key, v, n, cv, d, pos of the prefix; and those that link with u: u, v, cu, cv."""
+        percent, names = self.percent, ["u", "v", "cu", "cv", "n", "e", "k", "counts"]
+        both = self.per_node(members, signed, "bigint", SPREAD).withColumn("e", F.concat(F.array_except("su", "sv"), F.array_except("sv", "su")))
+        links = (F.size("e") * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent)) & (F.col("cu") != F.col("cv"))
+        both = both.select(F.when(links, F.col("u")).alias("u"), "v", "cu", "cv", "n", "e", "cls")
+
+        def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sketch, rows = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), 0
+            for batch in small_batches(batches):
+                n, out = batch.num_rows, []
+                for cls, e in zip(batch.column("cls").to_numpy(), batch.column("e"), strict=True):
+                    out.append(np.sort(mixed((e.values.to_numpy() ^ cls).view(np.uint64))))
+                    np.add.at(sketch, _cells(out[-1]), np.uint32(1))
+                rows += n
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.array([signed(x) for x in out], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            for k, part in _segments(sketch) if rows else ():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([part], pa.binary())], names=names)
+
+        read = materialize(both.mapInArrow(keys, "u bigint, v bigint, cu bigint, cv bigint, n bigint, e array<bigint>, k int, counts binary"), "differences")
+        levels = self.spark.sparkContext.broadcast(_levels(read)[0])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches):
+                out: list[tuple[np.ndarray, ...]] = []
+                for v, n, cv, e in zip(*(batch.column(c).to_numpy() for c in ("v", "n", "cv")), batch.column("e"), strict=True):
+                    s = e.values.to_numpy().view(np.uint64)
+                    own = levels.value[_cells(s)]
+                    # sets that link differ in that many shingles at most
+                    order = np.argsort(own, kind="stable")[: n * (100 - percent) // percent + 1]
+                    # a place that one node alone has counted belongs to no other
+                    pos = np.flatnonzero(own[order] > 8)
+                    out.append((signed(s[order[pos]]), *(np.full(len(pos), x) for x in (v, n, cv, len(s))), pos))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["key", "v", "n", "cv", "d", "pos"])
+
+        found = read.where("k is null").select("v", "n", "cv", "e").mapInArrow(run, "key bigint, v bigint, n bigint, cv bigint, d bigint, pos bigint")
+        found, linked = materialize(found, "differing"), materialize(read.where("u is not null").select("u", "v", "cu", "cv"), "anchors")
+        drop_table(read)
+        return found, linked
+
+    def anchored(self, rows: DataFrame) -> DataFrame | None:
+        """Pairs (u, v, cu, cv) that may link, of nodes that share a token of these rows; None if there are no rows.
+
+        Two nodes u and v with an anchor a differ where just one of them differs from a. With du and dv shingles that differ from a's, and
+        h the most that linking sets of their sizes differ in, they share t = (du + dv - h) / 2 of these, at least. If that is below 1,
+        both link with a, by the triangle inequality; else they meet at a place of du - t or before in u's order and dv - t in v's. So the
+        edits that two near copies have between them count, not what all copies share. Nodes that hang together by such tokens
+        and are of like size are a class. Each is in two, so that any two close sizes have a class in common, and none is far from its
+        anchor's size. Any node may be the anchor; the one that leads most rows is near the middle.
+        """
+        if not rows.head(1):
+            return None
+        lead = rows.groupBy("token").agg(F.min("fp").alias("l"))
+        groups = components(rows.join(lead, "token").where("fp <> l").select(F.col("fp").alias("u"), F.col("l").alias("v")).distinct())
+        band = F.floor(F.log("n") / max(1.0001 * math.log(100 / self.percent), 1e-9))
+        members = rows.join(groups.select("node", F.col("comp").alias("g")), rows["fp"] == F.col("node"))
+        members = members.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("g", "band").alias("cls"), "token", "pos", "fp", "n", "comp")
+        members = materialize(members, "members")
+        led = members.groupBy("cls", "token").agg(F.min(F.struct("pos", "fp", "n", "comp")).alias("l"), F.count(F.lit(1)).alias("c"))
+        led = led.groupBy("cls", *(F.col(f"l.{c}").alias(c) for c in ("fp", "n", "comp"))).agg(F.sum("c").alias("c"))
+        anchors = led.groupBy("cls").agg(F.max(F.struct("c", "fp", "n", "comp")).alias("a"))
+        several = members.groupBy("cls").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cls")
+        # a row per class, of which there are fewer than tokens with MANY rows by far
+        anchors = F.broadcast(materialize(anchors.join(several, "cls").select("cls", F.col("a.fp").alias("u"), F.col("a.comp").alias("cu"), F.col("a.n").alias("nu")), "classes"))
+        each = members.select("cls", F.col("fp").alias("v"), "n", F.col("comp").alias("cv")).distinct().join(anchors, "cls")
+        each = materialize(each, "each")
+        drop_table(members)
+        met, links = self.differences(each)
+        drop_table(each)
+        pairs = materialize(self.differing_alike(met).select("u", "v", "cu", "cv").distinct().unionByName(links), "alike")
+        drop_table(met)
+        return pairs
+
+    def differing_alike(self, rows: DataFrame) -> DataFrame:
+        """u, v, cu, cv of nodes in different components that share a difference at places that allow a link, a row per difference."""
+        rows = rows.distinct()
+        # what the best partner could do for a row
+        most, rest = F.expr(f"n * {100 - self.percent} div {self.percent}"), F.col("d") - 2 * F.col("pos")
+        best = rows.groupBy("key").agg(F.min("cv").alias("lo"), F.max("cv").alias("hi"), F.min("d").alias("least"), F.max(rest).alias("last")).where("lo <> hi").select("key", "least", "last")
+        rows = rows.join(best, "key").where((F.col("least") <= rest + most) & (F.col("last") >= F.col("d") - most)).drop("least", "last")
+        several = rows.groupBy("key").agg(F.min("cv").alias("lo"), F.max("cv").alias("hi")).where("lo <> hi").select("key")
+        rows = materialize(rows.join(several, "key", "left_semi"), "alike")
+        x, y = (rows.select("key", *(F.col(c).alias(f"{c[0]}{i}") for c in ("n", "d", "pos")), F.col("v").alias(i), F.col("cv").alias(f"c{i}")) for i in "uv")
+        h = F.expr(f"((nu + nv) * {100 - self.percent}) div {100 + self.percent}")
+        gap = F.col("du") - F.col("dv")
+        may = (F.col("u") < F.col("v")) & self.close("nu", "nv") & self.close("nv", "nu") & (F.col("cu") != F.col("cv")) & (2 * F.col("pu") <= h + gap) & (2 * F.col("pv") <= h - gap)
+        return x.join(y, "key").where(may).select("u", "v", "cu", "cv")
+
     def prefix_pairs(self, rows: DataFrame, comps: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
         """Pairs in different components that share as many tokens of their prefixes as they must, without those tried."""
         rows = _with_comp(rows, comps, "fp", "comp")
-        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        rows = materialize(rows.join(several, "token", "left_semi"), "several")
-        x, y = (rows.select("token", F.col("fp").alias(i), *(F.col(c).alias(f"{c[0]}{i}") for c in ("n", "pos", "k", "comp"))) for i in "uv")
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count(F.lit(1)) > MANY).alias("many")).where("lo <> hi").select("token", "many")
+        rows = materialize(rows.join(several, "token"), "several")
+        # who shares a token that many have is compared there, whatever other tokens they share
+        near = self.anchored(rows.where("many"))
+        few = rows.where("not many")
+        x, y = (few.select("token", F.col("fp").alias(i), *(F.col(c).alias(f"{c[0]}{i}") for c in ("n", "pos", "k", "comp"))) for i in "uv")
         # the smaller set's place: its partner is no smaller than itself
         y = y.where(F.col("pv") <= F.col("nv") + self.reach("nv", "nv", F.col("kv")))
         larger = (F.col("nv") < F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))
         k = F.least("ku", "kv", self.overlap("nu", "nv"))
         reach = self.reach("nu", "nv", k)
         met = x.join(y, "token").where(larger & self.close("nv", "nu") & (F.col("cu") != F.col("cv")) & (F.col("pu") <= F.col("nu") + reach) & (F.col("pv") <= F.col("nv") + reach))
-        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min(k).alias("k"), F.min("cu").alias("cu"), F.min("cv").alias("cv")).where("shared >= k")
+        pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min(k).alias("k"), F.min("cu").alias("cu"), F.min("cv").alias("cv")).where("shared >= k").select("u", "v", "cu", "cv")
+        if near is not None:
+            pairs = pairs.unionByName(near).distinct()
         for t in tried:
             t = t.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("t")).select(F.col("t.u").alias("__u"), F.col("t.v").alias("__v"))
             pairs = pairs.join(t, (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti")
         pairs = materialize(pairs.select("u", "v", "cu", "cv"), "pairs")
-        for t in [rows, *tried]:
+        for t in [rows, *tried, *([] if near is None else [near])]:
             drop_table(t)
         return pairs
 
