@@ -77,15 +77,21 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, most_bits: int) -
             if a.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT]), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["k", "once", "twice"])
 
-    def merge(x: tuple[bytes, bytes], y: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        (a, b), (c, d) = ((np.frombuffer(z, np.uint8) for z in pair) for pair in (x, y))
-        return (a | c).tobytes(), (b | d | (a & c)).tobytes()
-
-    parts = docs.select(text_col).mapInArrow(fill, "k bigint, once binary, twice binary")
-    merged = parts.rdd.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2])))).reduceByKey(merge).mapValues(lambda x: x[1])
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in small_batches(batches):
+            for k, a, b in zip(batch.column("k").to_pylist(), batch.column("once"), batch.column("twice"), strict=True):
+                once, twice = own.setdefault(k, (np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, np.uint8)))
+                a, b = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
+                twice[: len(a)] |= b | (once[: len(a)] & a)
+                once[: len(a)] |= a
+        for k, (_, twice) in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([twice.tobytes()])], names=["k", "twice"])
+
+    parts = docs.select(text_col).mapInArrow(fill, "k bigint, once binary, twice binary").repartition("k")
     out = np.zeros(bits // 8, np.uint8)
-    for k, b in merged.collect():  # most_bits at most, in one job
-        out[k * SEGMENT : k * SEGMENT + len(b)] = np.frombuffer(b, np.uint8)
+    for r in parts.mapInArrow(merge, "k bigint, twice binary").collect():  # most_bits at most, in one job
+        out[r["k"] * SEGMENT : (r["k"] + 1) * SEGMENT] = np.frombuffer(r["twice"], np.uint8)[: len(out) - r["k"] * SEGMENT]
     return out, bits
 
 

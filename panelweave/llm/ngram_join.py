@@ -141,13 +141,23 @@ def _read(docs: DataFrame, words: int) -> DataFrame:
 
 def _levels(read: DataFrame) -> tuple[np.ndarray, float]:
     """8 * log2(1 + documents) of each place of the sketch, in a byte: 4 MB whatever the corpus; their mean count."""
-    parts = read.where("k is not null").select("k", "counts").rdd.map(lambda r: (r[0], zlib.decompress(bytes(r[1]))))
-    merged = parts.mapValues(lambda b: np.frombuffer(b, np.uint32).astype(np.uint64)).reduceByKey(lambda a, b: a + b)
-    small = merged.mapValues(lambda b: (np.minimum(8 * np.log2(1 + b.astype(float)), 255).astype(np.uint8).tobytes(), int(b.sum())))
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in small_batches(batches):
+            for k, part in zip(batch.column("k").to_pylist(), batch.column("counts"), strict=True):
+                counts = own.setdefault(k, np.zeros(SEGMENT, dtype=np.uint64))
+                counts += np.frombuffer(zlib.decompress(part.as_buffer()), np.uint32)
+        for k, counts in own.items():
+            level = np.minimum(8 * np.log2(1 + counts.astype(float)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([level.tobytes()]), pa.array([int(counts.sum())])], names=["k", "level", "n"])
+
+    # the parts move as they are, compressed, and not through workers of another kind, which would stay beside these
+    parts = read.where("k is not null").select("k", "counts").repartition("k")
     levels, total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), 0
-    for k, (part, n) in small.collect():
-        levels[k * SEGMENT : (k + 1) * SEGMENT] = np.frombuffer(part, np.uint8)
-        total += n
+    for r in parts.mapInArrow(merge, "k bigint, level binary, n bigint").collect():
+        levels[r["k"] * SEGMENT : (r["k"] + 1) * SEGMENT] = np.frombuffer(r["level"], np.uint8)
+        total += r["n"]
     return levels, total / len(levels)
 
 
@@ -532,11 +542,31 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     if not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).head(1):
         found = materialize(components_of(docs, words, percent, id_col, text_col), "found")
         gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+        return without(docs, id_col, gone)
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = components_of(rows, words, percent, "__row", text_col).where("n_shingles > 0").select(F.col("doc_id").alias("__n"), "component_id")
     found = materialize(found, "found")
     ids = rows.select("__row", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "__row").alias("order"))
     kept = found.join(ids, found["__n"] == ids["__row"]).groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.__row").alias("__kept"))
     gone = found.join(kept, found["__n"] == kept["__kept"], "left_anti").select(F.col("__n").alias("__gone"))
-    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
+    return without(rows, "__row", gone).select(*docs.columns)
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """docs without the rows whose id is in gone (column __gone).
+
+    Only rows that pass a Bloom filter of these ids are joined: a join of all would move every text as soon as the ids are too many to
+    be broadcast. Beyond most_bits all are joined, with the same result.
+    """
+    filter_ = bloom(gone.select(F.xxhash64("__gone").alias("h")), most_bits)
+    if filter_ is None:
+        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    @F.arrow_udf("boolean")
+    def passes(h: pa.Array) -> pa.Array:
+        return pa.array(in_bloom(shared.value, h.to_numpy()))
+
+    passed = passes(F.xxhash64(id_col))
+    met = docs.where(passed)
+    return docs.where(~passed).unionByName(met.join(gone, met[id_col] == gone["__gone"], "left_anti"))
