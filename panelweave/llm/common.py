@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _WRITTEN = threading.local()
+#: What a worker keeps from task to task.
+KEPT: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,11 +76,12 @@ def recorded(spark: SparkSession, into: list[str]) -> Iterator[None]:
         into.extend(made[n:])
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows, where the session has the default of 10,000: long texts would make those hundreds of MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of fewer rows and bytes, where the session has the defaults of 10,000 and 64 MB: long texts, or parts of filters
+    that tasks send, would make batches of that size, which executors hold twice and workers again."""
+    for key, default, most in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
@@ -88,8 +91,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     return (x or b"" for x in column.cast(pa.large_binary()).to_pylist())
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batches of about `limit` bytes and one row at least, so that very long texts don't add up."""
+def small_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about `limit` bytes and one row at least, so that very long texts don't add up.
+
+    What other tasks have left in KEPT goes, but for `keeps`: else workers would carry an earlier operator's tables through all later ones.
+    """
+    for name in KEPT.keys() - {keeps}:
+        del KEPT[name]
     for batch in batches:
         rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, rows):

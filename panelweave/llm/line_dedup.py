@@ -19,6 +19,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -75,19 +76,20 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, most_bits: int) -
         for k in range(0, bits // 8, SEGMENT):
             a, b = once[k : k + SEGMENT], twice[k : k + SEGMENT]
             if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT]), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["k", "once", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT]), pa.array([zlib.compress(a.tobytes(), 1)]), pa.array([zlib.compress(b.tobytes(), 1)])], names=["k", "once", "twice"])
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in small_batches(batches):
             for k, a, b in zip(batch.column("k").to_pylist(), batch.column("once"), batch.column("twice"), strict=True):
                 once, twice = own.setdefault(k, (np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, np.uint8)))
-                a, b = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
+                a, b = (np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8) for x in (a, b))
                 twice[: len(a)] |= b | (once[: len(a)] & a)
                 once[: len(a)] |= a
         for k, (_, twice) in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([twice.tobytes()])], names=["k", "twice"])
 
+    # compressed here: a few MB of shuffled parts, which a task reads at a time, would be tens of MB of nearly empty filters else
     parts = docs.select(text_col).mapInArrow(fill, "k bigint, once binary, twice binary").repartition("k")
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.mapInArrow(merge, "k bigint, twice binary").collect():  # most_bits at most, in one job

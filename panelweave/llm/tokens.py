@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from operator import attrgetter
 from typing import TYPE_CHECKING
 
@@ -19,7 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .common import small_batches, texts
+from .common import KEPT, small_batches, texts
 
 if TYPE_CHECKING:
     from pyspark import Broadcast
@@ -122,15 +121,16 @@ def read_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-@lru_cache(maxsize=1)
 def encoder_of(vocabulary: str) -> Encoder:
-    """The worker's encoder; its words stay for the worker's next tasks."""
-    return Encoder(vocabulary)
+    """The worker's encoder; its words stay for the worker's next tasks, if these encode too."""
+    if KEPT.get("encoder", (None,))[0] != vocabulary:
+        KEPT["encoder"] = vocabulary, Encoder(vocabulary)
+    return KEPT["encoder"][1]
 
 
 def encoded(batches: Iterable[pa.RecordBatch], vocabulary: Broadcast, text_col: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with the ids of each row's text, and end_id after them."""
     encoder = encoder_of(vocabulary.value)
     end = np.array([end_id], dtype=ID)
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, keeps="encoder"):
         yield batch, [np.concatenate([encoder.encode(t), end]) for t in texts(batch.column(text_col))]
